@@ -116,3 +116,30 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c of ``counts``, in one array."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def mapped(df: DataFrame, text: str, keep: list[str], fields: str, make) -> DataFrame:
+    """``keep`` columns of ``df`` plus ``fields`` (DDL), which ``make()`` computes from texts.
+
+    ``make()`` is called once in each task and returns a function from a list of texts (null: None)
+    to the list of new columns. A kept column that has the name of a new one gives way to it.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    small_batches(df.sparkSession)
+    new = StructType.fromDDL(fields)
+    taken = {n.lower() for n in new.names}
+    src = df.select(*[F.col(c) for c in keep if c.lower() not in taken], F.col(text).alias("_text_"))
+    schema = StructType([*src.schema.fields[:-1], *new.fields])
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches):
+        work = make()
+        for b in batches:
+            made = work(b.column(b.num_columns - 1).to_pylist())
+            columns = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=schema.names)
+
+    return src.mapInArrow(run, schema)
