@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import exact_dedup, jpeg, language, pii, sharding, toxicity
+from affinis.llm import exact_dedup, jpeg, language, minhash, pii, sharding, toxicity
 from affinis.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs)
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_media": op6_media,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_minhash": op9_minhash,
     "op10_language": op10_language,
 }
 
