@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import exact_dedup, jpeg, language, minhash, pii, sharding, toxicity
+from affinis.llm import exact_dedup, jpeg, language, minhash, pii, repeats, sharding, toxicity
 from affinis.llm.common import held_out, table
 
 
@@ -27,6 +27,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op6_media": op6_media,
+    "op7_repeats": op7_repeats,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash": op9_minhash,
     "op10_language": op10_language,
