@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import exact_dedup, jpeg, language, minhash, pii, repeats, sharding, toxicity
+from affinis.llm import exact_dedup, jpeg, language, minhash, mixing, pieces, pii, repeats, sharding, toxicity
 from affinis.llm.common import held_out, table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.model_of(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, model, keep=["doc_id"])
+    back = pieces.decode(encoded, model)
+    return back.select("doc_id", "n_ids", "n_other", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -23,6 +31,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, model, mixing.TARGETS, keep=["doc_id"])
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -46,9 +60,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
+    "op5_mixing": op5_mixing,
     "op6_media": op6_media,
     "op7_repeats": op7_repeats,
     "op8_exact_dedup": op8_exact_dedup,
