@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts are long, so batches are held far below Spark's default.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch. Texts are long, so batches are held below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,14 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to sizes that suit long texts, unless the session asks for fewer rows."""
+    """Hold Arrow batches to sizes that suit long texts, unless the session asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower().rstrip("b")
+    if not (size.isdigit() and int(size) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:

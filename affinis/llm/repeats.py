@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import dropped, small_batches, written
 
-KEY, NEXT, GRAM = 20, 14, 4
+KEY, NEXT, GRAM, STRIDE = 20, 14, 4, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,6 +57,14 @@ def chosen(h: np.ndarray, least_words: int) -> np.ndarray:
     return np.unique(at)
 
 
+def _spaced(k: np.ndarray) -> np.ndarray:
+    """Indices to keep of keys in text order: of a run of equal keys (one word over and over) the
+    ends and every STRIDE-th, which still lie within KEY words of each other."""
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    at = np.arange(len(k)) - np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    return np.flatnonzero((at % STRIDE == 0) | np.concatenate([new[1:], [True]]))
+
+
 def suffixes(docs: DataFrame, text: str, doc_id: str, least_words: int) -> DataFrame:
     """One row per retained suffix: doc_id, pos, k1 (next KEY words), k2 (the NEXT after these)."""
     import pyarrow as pa
@@ -81,6 +89,8 @@ def suffixes(docs: DataFrame, text: str, doc_id: str, least_words: int) -> DataF
                 for j in range(KEY, KEY + NEXT):
                     c = (c ^ wide[p + j]) * MIX
                     c ^= c >> np.uint64(31)
+                keep = _spaced(a)
+                p, a, c = p[keep], a[keep], c[keep]
                 ids.append(np.full(len(p), i, np.int64)), pos.append(p), k1.append(a.view(np.int64)), k2.append((c >> np.uint64(32)).astype(np.int32))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2))], names=["doc_id", "pos", "k1", "k2"])
@@ -125,14 +135,12 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             return
         d, p, k, k2 = (np.concatenate([b.column(c).to_numpy() for b in table]) for c in range(4))
         x, y = pairs(d, p, k)
-        far = np.array([0, len(d) - 1] if len(d) > 1 else [0])
-        # beside a partition's ends, the nearest suffix of another document in the same group
+        # both ends of the first and the last run, and the nearest suffixes of other documents in
+        # their groups: at most six rows, whatever the partition holds
+        first, last = np.flatnonzero((k == k[0]) & (d == d[0])), np.flatnonzero((k == k[-1]) & (d == d[-1]))
         head = np.flatnonzero((k == k[0]) & (d != d[0]))[:1]
         tail = np.flatnonzero((k == k[-1]) & (d != d[-1]))[-1:]
-        e = np.unique(np.concatenate([far, head, tail]))
-        # every member of an end's run may lack a neighbour inside, so all of these come out
-        edge = np.flatnonzero(((k == k[0]) & (d == d[0])) | ((k == k[-1]) & (d == d[-1])))
-        e = np.unique(np.concatenate([e, edge]))
+        e = np.unique(np.concatenate([first[[0, -1]], last[[0, -1]], head, tail]))
         out = pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([d[x], d[e]])), pa.array(np.concatenate([d[y], np.zeros(len(e), np.int64)]), mask=np.concatenate([np.zeros(len(x), bool), np.ones(len(e), bool)])), pa.array(np.concatenate([p[x], p[e]])), pa.array(np.concatenate([p[y], np.zeros(len(e), np.int32)])), pa.array(np.concatenate([np.zeros(len(x), np.int64), k[e]])), pa.array(np.concatenate([np.zeros(len(x), np.int32), k2[e]]))],
             names=["a", "b", "pa", "pb", "k1", "k2"],
@@ -207,9 +215,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_
     (code points, ends exclusive), n_words, partner_id, matches, duplicate.
 
     A passage counts if another document holds at least ``least_words`` of the same words in a row
-    (words are what white space separates, case matters). duplicate is true if a document with a
-    smaller id holds a part of it. Null and empty texts and rows with a null id have no passages. Of
-    rows with the same id the greatest text counts, and they are one document. Extra columns are
+    (words are what white space separates, case matters). partner_id is the least id among the
+    neighbours that it was compared with; duplicate is true if that is smaller than doc_id. Null and empty texts and rows with a null id have no passages. Of
+    rows with the same id the greatest text counts, and they are one document. Where one word stands
+    hundreds of times over, the longer of two such runs may be covered in part only. Extra columns are
     ignored; an empty table gives an empty table.
     """
     m = merged(matches(docs, text, doc_id, least_words))
