@@ -67,7 +67,7 @@ def most_active(ratings: DataFrame, k: int) -> DataFrame:
 
 
 def rows_of(ratings: DataFrame, entities: DataFrame) -> DataFrame:
-    return ratings.join(F.broadcast(entities.select("e")), "e", "left_semi")
+    return ratings.join(entities.select("e"), "e", "left_semi")
 
 
 def row_lengths(ratings: DataFrame) -> DataFrame:

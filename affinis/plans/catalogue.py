@@ -438,11 +438,12 @@ def fixture_roundtrip(spark, sf_dir):
 def incremental_sums(spark, sf_dir):
     """Six sums after three micro-batches, equal to those of the whole table."""
     import tempfile
+    import uuid
 
     from affinis.streaming.deltas import SumStore
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    store = SumStore(spark, f"{shared or tempfile.mkdtemp()}/sums-{spark.sparkContext.applicationId}-{id(object())}")
+    store = SumStore(spark, f"{shared or tempfile.mkdtemp()}/sums-{uuid.uuid4().hex}")
     r = rel.suppliers(spark, sf_dir)
     for b in range(3):
         store.add(r.where(F.pmod(F.col("d"), F.lit(3)) == b), b)
