@@ -21,14 +21,15 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.common import connected_components, dropped, mapped, small_batches, written
 
-BANDS, ROWS, HASHES, BATCH = 40, 4, 512, 64
+BANDS, ROWS, HASHES, BATCH = 40, 4, 640, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 4096  # members of a bucket that one task holds
+GROUP = 8  # partners of a text that are verified together
 
 
 def _constants(hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,25 +147,30 @@ def pruned(pairs: DataFrame, reps: DataFrame, least: list[int], percent: int) ->
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. Each text is sent
-    once for each pair that needs it; the two of a pair meet in a group of two rows."""
+    """Pairs whose full sets have 100 * intersection >= percent * union.
+
+    Pairs with the same ``a`` are verified GROUP at a time, so that a text with many partners is sent
+    once for GROUP of them. The size of a group is fixed, whatever the number of partners."""
     import pyarrow as pa
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    two = ends.join(texts, "id").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+    part = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / GROUP).alias("part")
+    grouped = pairs.select("a", "b", part)
+    ends = grouped.select("a", "part", F.col("b").alias("id")).union(grouped.groupBy("a", "part").agg(F.first("a").alias("id")))
+    sets = ends.join(texts, "id").groupBy("a", "part").agg(F.collect_list(F.struct("id", "text")).alias("members")).select("a", "members")
 
     def run(batches):
         for c in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(c.column(2).to_pylist(), c.column(3).to_pylist(), strict=True)):
-                s, t = shingles(x, words), shingles(y, words)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    keep.append(i)
-            k = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([c.column(0).take(k), c.column(1).take(k)], names=["a", "b"])
+            out_a, out_b = [], []
+            for a, members in zip(c.column(0).to_pylist(), c.column(1), strict=True):
+                own = {m["id"].as_py(): shingles(m["text"].as_py(), words) for m in members}
+                s = own.pop(a)
+                for b, t in own.items():
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        out_a.append(a), out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long")
+    return sets.mapInArrow(run, "a long, b long")
 
 
 def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
@@ -176,6 +182,8 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
     def pairs_of(g):
         ids, n, comp, bands, sig, band, part, low = g
         size = len(ids)
+        _, of, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        count = counts[of]
         out_a, out_b = [], []
         step = max(1, 200_000 // size)
         for lo in range(0, size, step):
@@ -190,7 +198,10 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
             first = (bands[x] == bands[y]).argmax(axis=1) == band
             x, y = x[first], y[first]
             k = survivors(sig[x], sig[y], least)
-            out_a.append(ids[x[k]]), out_b.append(ids[y[k]])
+            # the member of the smaller class comes first: it has the more partners
+            x, y = x[k], y[k]
+            small = count[x] <= count[y]
+            out_a.append(ids[np.where(small, x, y)]), out_b.append(ids[np.where(small, y, x)])
         return out_a, out_b
 
     def run(batches):
@@ -201,7 +212,7 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
             a, b = pairs_of((cols[0], cols[1], cols[2], cols[3], cols[4], cols[5][0], cols[6], bool(cols[7][0])))
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for x in batches:
             if not x.num_rows:
@@ -222,7 +233,7 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Two texts are linked if 100 * intersection >= percent * union of their shingle sets;
@@ -260,7 +271,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     spots = spots.select("key", "band", "id", "comp", "part", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(part, j) AS p, greatest(part, j) AS q))")).alias("at"))
     rows = spots.join(reps, "id").select("key", "at.p", "at.q", "id", "n", "comp", "bands", "sig", "band", "part")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    second = written(_crossed(rows, least, percent).join(tested, ["a", "b"], "left_anti"), "second")
+    # round one has tested pairs with the lesser id first
+    second = written(_crossed(rows, least, percent).alias("s").join(tested.alias("t"), F.expr("least(s.a, s.b) = t.a AND greatest(s.a, s.b) = t.b"), "left_anti"), "second")
     more = written(verified(second, texts, words, percent), "more")
     if not more.isEmpty():
         classes = written(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "final")
