@@ -26,7 +26,8 @@ from affinis.llm.common import dropped, small_batches, written
 
 BLANK = "▁"
 LONGEST = 48  # code points of a chunk that is folded in SQL; its boundaries fit a bigint
-HOT = 262_144  # entries of the broadcast table of frequent chunks
+PART = 20_000  # chunks whose lattices one task holds
+HOT = 131_072  # entries of the broadcast table of frequent chunks
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COARSE = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 @dataclass
@@ -172,46 +173,98 @@ def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = 200_000) ->
     return docs.select(F.col(text)).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def lattices(chunks: DataFrame, m: Model) -> DataFrame:
-    """(chunk, n, edges): edges are structs (s, e, id, score) over code point positions. The chunks
-    are already dealt by chunk, so neither the explode, the join nor the grouping moves rows."""
-    spark = chunks.sparkSession
-    table = spark.createDataFrame([(p, i, float(m.scores[i])) for p, i in m.ids.items()], "piece string, id int, score double")
-    cuts = F.expr(f"flatten(transform(sequence(0, length(chunk) - 1), s -> transform(sequence(1, least({m.widest}, length(chunk) - s)), l -> struct(s AS s, s + l AS e, substring(chunk, s + 1, l) AS piece))))")
-    sub = chunks.where(F.length("chunk") <= LONGEST).select("chunk", "n", F.explode(cuts).alias("x")).select("chunk", "n", "x.s", "x.e", "x.piece")
-    return sub.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR e - s = 1").groupBy("chunk").agg(F.max("n").alias("n"), F.collect_list(F.struct("s", "e", "id", "score")).alias("edges"))
+#: An edge is one bigint: rank (30 bits, the lower the better) . s . e (6 bits each) . id (16 bits).
+#: Packed edges sort by rank and then by place, and a list of them is cheap to collect.
+RANK, START_AT, END_AT = 28, 22, 16
+NO_PIECE = 0xFFFF
+
 
+def ranks(m: Model) -> tuple[dict[str, int], int, str]:
+    """(rank of each piece, rank of an unknown code point, SQL for the score of an edge ``x``)."""
+    own = {p: m.scores[i] for p, i in m.ids.items()}
+    if all(v == int(v) and 0 <= -v < 2**30 - 16 for v in own.values()):
+        return {p: int(-v) for p, v in own.items()}, int(-m.penalty), f"(-cast(shiftright(x, {RANK}) AS double))"
+    order = sorted({*own.values(), m.penalty}, reverse=True)
+    at = {v: k for k, v in enumerate(order)}
+    table = ", ".join(f"{v!r}D" for v in order)
+    return {p: at[v] for p, v in own.items()}, at[m.penalty], f"get(array({table}), cast(shiftright(x, {RANK}) AS int))"
 
-def _ids_of(start: str, stop: str, chunk: str, found: str, m: Model) -> str:
+
+def lattices(chunks: DataFrame, m: Model) -> DataFrame:
+    """(chunk, n, edges): packed edges in order of rank and place; code points that are no piece have
+    an edge of their own. ``chunks`` must be dealt by chunk: then neither the explode, the join nor
+    the grouping moves rows."""
+    spark = chunks.sparkSession
+    rank, lost, _ = ranks(m)
+    if max(m.ids.values(), default=0) >= NO_PIECE:
+        raise ValueError("more pieces than an edge can name")
+    table = spark.createDataFrame([(p, rank[p] << RANK | i) for p, i in m.ids.items()], "piece string, code long")
+    # two plain explodes, so that substrings are cut in generated code and not in a lambda
+    starts = chunks.where(F.length("chunk") <= LONGEST).select("chunk", "n", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
+    spans = starts.select("chunk", "n", "s", F.explode(F.expr(f"sequence(1, least({m.widest}, length(chunk) - s))")).alias("l"))
+    place = F.expr(f"shiftleft(cast(s AS bigint), {START_AT}) | shiftleft(cast(s + l AS bigint), {END_AT})").alias("place")
+    sub = spans.select("chunk", "n", place, "l", F.expr("substring(chunk, s + 1, l)").alias("piece"))
+    edge = F.coalesce("code", F.lit(lost << RANK | NO_PIECE)).bitwiseOR(F.col("place"))
+    return sub.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR l = 1").groupBy("chunk").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _ids_of(start: str, found: str, m: Model) -> str:
     """SQL: the ids of a segment, its piece or else the byte pieces of its only code point."""
     if not m.bytes_:
-        return f"array(coalesce({found}, {m.unknown}))"
-    spelled = f"transform(sequence(1, octet_length(substring({chunk}, {start} + 1, 1))), b -> {m.bytes_[0]} + cast(conv(hex(substring(encode(substring({chunk}, {start} + 1, 1), 'UTF-8'), b, 1)), 16, 10) AS int))"
-    return f"CASE WHEN {found} IS NOT NULL THEN array({found}) ELSE {spelled} END"
+        return f"array(CASE WHEN {found} = {NO_PIECE} THEN {m.unknown} ELSE {found} END)"
+    char = f"encode(substring(chunk, {start} + 1, 1), 'UTF-8')"
+    return f"CASE WHEN {found} < {NO_PIECE} THEN array({found}) ELSE transform(sequence(1, octet_length({char})), b -> {m.bytes_[0]} + cast(conv(hex(substring({char}, b, 1)), 16, 10) AS int)) END"
+
+
+def _best(m: Model) -> str:
+    """SQL: an array of (score, s, id, ids so far) for each position, folded over the edges."""
+    score = ranks(m)[2]
+    s, i = f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"cast(x & {NO_PIECE} AS int)"
+    more = f"CASE WHEN {i} < {NO_PIECE} THEN 1 ELSE {'octet_length(substring(chunk, ' + s + ' + 1, 1))' if m.bytes_ else '1'} END"
+    new = f"named_struct('score', get(acc, {s}).score + {score}, 's', {s}, 'id', {i}, 'n', get(acc, {s}).n + {more})"
+    step = f"""aggregate(filter(edges, x -> (shiftright(x, {END_AT}) & 63) = at), named_struct('score', -1.7e308D, 's', 0, 'id', 0, 'n', 0),
+        (a, x) -> CASE WHEN get(acc, {s}).score + {score} > a.score OR (get(acc, {s}).score + {score} = a.score AND {s} < a.s) THEN {new} ELSE a END)"""
+    return f"aggregate(sequence(1, length(chunk)), array(named_struct('score', 0.0D, 's', 0, 'id', 0, 'n', 0)), (acc, at) -> concat(acc, array({step})))"
 
 
 def viterbi_ids(m: Model) -> Column:
     """Fold of ``edges`` to the ids of the best path; of equal paths the one with the longest last
     piece stays, as in the library."""
-    step = f"""aggregate(filter(edges, x -> x.e = at), named_struct('score', -1.7e308D, 's', 0, 'id', cast(NULL AS int)),
-        (a, x) -> CASE WHEN get(acc, x.s).score + coalesce(x.score, {m.penalty}D) > a.score OR (get(acc, x.s).score + coalesce(x.score, {m.penalty}D) = a.score AND x.s < a.s)
-                       THEN named_struct('score', get(acc, x.s).score + coalesce(x.score, {m.penalty}D), 's', x.s, 'id', x.id) ELSE a END)"""
-    best = f"aggregate(sequence(1, length(chunk)), array(named_struct('score', 0.0D, 's', 0, 'id', cast(NULL AS int))), (acc, at) -> concat(acc, array({step})))"
-    walk = """aggregate(sequence(1, length(chunk)), named_struct('at', length(chunk), 'path', cast(array() AS array<struct<s:int,e:int,id:int>>)),
-        (w, k) -> CASE WHEN w.at = 0 THEN w ELSE named_struct('at', get(best, w.at).s, 'path', concat(array(named_struct('s', get(best, w.at).s, 'e', w.at, 'id', get(best, w.at).id)), w.path)) END, w -> w.path)"""
-    return F.expr(f"aggregate(array({best}), cast(array() AS array<array<int>>), (o, best) -> transform({walk}, p -> {_ids_of('p.s', 'p.e', 'chunk', 'p.id', m)}), o -> flatten(o))")
+    walk = """aggregate(sequence(1, length(chunk)), named_struct('at', length(chunk), 'path', cast(array() AS array<struct<s:int,id:int>>)),
+        (w, k) -> CASE WHEN w.at = 0 THEN w ELSE named_struct('at', get(best, w.at).s, 'path', concat(array(named_struct('s', get(best, w.at).s, 'id', get(best, w.at).id)), w.path)) END, w -> w.path)"""
+    return F.expr(f"aggregate(array({_best(m)}), cast(array() AS array<array<int>>), (o, best) -> transform({walk}, p -> {_ids_of('p.s', 'p.id', m)}), o -> flatten(o))")
+
+
+def viterbi_count(m: Model) -> Column:
+    """The number of ids on the best path, without the path: one fold over the edges by end and start.
+
+    ``done`` holds (score, n) of every position that is settled, the rest of the state is the best
+    edge so far into the position in hand. Of equal edges the first, longest one stays."""
+    rank = f"shiftright(x, {RANK})"
+    by_end = f"array_sort(transform(edges, x -> shiftleft(shiftright(x, {END_AT}) & 63, 52) | shiftleft(shiftright(x, {START_AT}) & 63, 46) | shiftleft({rank}, 16) | (x & {NO_PIECE})))"
+    score = ranks(m)[2].replace(rank, f"(shiftright(y, 16) & {(1 << 30) - 1})")
+    e, s = "cast(shiftright(y, 52) AS int)", "cast(shiftright(y, 46) & 63 AS int)"
+    more = f"CASE WHEN (y & {NO_PIECE}) < {NO_PIECE} THEN 1 ELSE {'octet_length(substring(chunk, ' + s + ' + 1, 1))' if m.bytes_ else '1'} END"
+    grown = "CASE WHEN a.e > 0 THEN concat(a.done, array(named_struct('score', a.score, 'n', a.n))) ELSE a.done END"
+    start = "named_struct('done', array(named_struct('score', 0.0D, 'n', 0)), 'e', 0, 'score', 0.0D, 'n', 0)"
+    step = f"""CASE WHEN {e} > a.e THEN element_at(transform(array({grown}), d -> named_struct('done', d, 'e', {e}, 'score', get(d, {s}).score + {score}, 'n', get(d, {s}).n + {more})), 1)
+        WHEN get(a.done, {s}).score + {score} > a.score THEN named_struct('done', a.done, 'e', a.e, 'score', get(a.done, {s}).score + {score}, 'n', get(a.done, {s}).n + {more}) ELSE a END"""
+    return F.expr(f"aggregate({by_end}, {start}, (a, y) -> {step}, a -> a.n)")
 
 
 def merge_ids(m: Model) -> Column:
     """Fold of ``edges`` to the ids of best-first merging. Boundaries are bits of a bigint; an edge
     can be merged if both its ends are boundaries and one boundary lies between them."""
-    joins = "transform(array_sort(transform(filter(edges, x -> x.e - x.s > 1), x -> named_struct('r', -x.score, 's', x.s, 'e', x.e))), x -> named_struct('ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'inner', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)))"
+    s, e = f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"cast(shiftright(x, {END_AT}) & 63 AS int)"
+    joins = f"transform(filter(edges, x -> {e} - {s} > 1), x -> named_struct('ends', shiftleft(1L, {s}) | shiftleft(1L, {e}), 'inner', shiftleft(1L, {e}) - shiftleft(1L, {s} + 1)))"
     mask = f"""aggregate(array({joins}), shiftleft(1L, length(chunk) + 1) - 1L, (m0, js) -> CASE WHEN size(js) = 0 THEN m0 ELSE
         aggregate(sequence(1, length(chunk) - 1), m0, (m, k) -> m & ~coalesce(get(filter(js, j -> (m & j.ends) = j.ends AND bit_count(m & j.inner) = 1), 0).inner, 0L)) END)"""
-    found = "get(filter(edges, x -> x.s = p AND x.e = q), 0).id"
-    part = _ids_of("p", "q", "chunk", "hit", m)
-    spots = f"aggregate(array({mask}), cast(array() AS array<int>), (o, m) -> filter(sequence(0, length(chunk)), i -> (shiftright(m, i) & 1L) = 1L))"
-    return F.expr(f"aggregate(array({spots}), cast(array() AS array<array<int>>), (o, b) -> flatten(transform(sequence(0, size(b) - 2), i -> transform(array(named_struct('p', get(b, i), 'q', get(b, i + 1))), z -> aggregate(array(z), cast(array() AS array<int>), (u, z2) -> aggregate(array(z2.p), cast(array() AS array<int>), (u2, p) -> aggregate(array(z2.q), cast(array() AS array<int>), (u3, q) -> aggregate(array({found}), cast(array() AS array<int>), (u4, hit) -> {part}))))))), o -> flatten(o))")
+    # an edge is kept if its ends are boundaries with none between; each segment has exactly one
+    inside = f"(shiftleft(1L, {e}) - shiftleft(1L, {s} + 1))"
+    kept = f"filter(edges, x -> (m & (shiftleft(1L, {s}) | shiftleft(1L, {e}))) = (shiftleft(1L, {s}) | shiftleft(1L, {e})) AND (m & {inside}) = 0)"
+    path = f"array_sort(transform({kept}, x -> shiftleft(shiftright(x, {START_AT}) & 63, 16) | (x & {NO_PIECE})))"
+    start, found = "cast(shiftright(y, 16) AS int)", f"cast(y & {NO_PIECE} AS int)"
+    return F.expr(f"aggregate(array({mask}), cast(array() AS array<array<int>>), (o, m) -> transform({path}, y -> {_ids_of(start, found, m)}), o -> flatten(o))")
 
 
 def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True) -> DataFrame:
@@ -222,13 +275,14 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True)
     spark = docs.sparkSession
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "20000")
-    folds = {"merge": merge_ids(m), "viterbi": viterbi_ids(m)}
-    mine = folds.pop(m.algorithm)
-    (rest,) = folds.values()
+    mine = merge_ids(m) if m.algorithm == "merge" else viterbi_ids(m)
+    rest = viterbi_count(m) if m.algorithm == "merge" else F.size(merge_ids(m))
     counts = written(chunk_counts(docs, text, m), "chunks")
+    # partitions of a fixed number of chunks hold their edges in memory; beyond that the aggregate sorts
+    spark.conf.set(key, str(2 * PART))
     try:
-        short = lattices(counts.repartition("chunk"), m).select("chunk", "n", mine.alias("ids"), (F.size(rest) if both else F.lit(None).cast("int")).alias("other"))
+        dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
+        short = lattices(dealt, m).select("chunk", "n", mine.alias("ids"), (rest if both else F.lit(None)).cast("int").alias("other"))
 
         def long_ones(batches):
             one, two = (fold_merge, fold_viterbi) if m.algorithm == "merge" else (fold_viterbi, fold_merge)
@@ -302,9 +356,8 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             known = frequent.value
             parts, sizes, others = [], [], []
             rares = b.column(len(names) + 1)
-            for i, t in enumerate(b.column(len(names)).to_pylist()):
-                own = {r["chunk"]: (np.array(r["ids"], "<i4").tobytes(), r["other"] or 0) for r in (rares[i].as_py() or ())}
-                got = [known.get(c) or own[c] for c in find(escaped(t, prefix))] if t else []
+            for t, rare in zip(b.column(len(names)).to_pylist(), _unpacked(rares), strict=True):
+                got = [known.get(c) or rare[c] for c in find(escaped(t, prefix))] if t else []
                 data = b"".join([x[0] for x in got])
                 parts.append(data), sizes.append(len(data) // 4), others.append(sum([x[1] for x in got]) if both else None)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -313,6 +366,25 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     return whole.mapInArrow(put, schema)
 
 
+def _unpacked(rares) -> list[dict[str, tuple[bytes, int]]]:
+    """A column of lists of (chunk, ids, other) as one dictionary for each row; by whole columns,
+    because Python objects for each nested value would cost more than all else here."""
+    flat = rares.flatten()
+    out: list[dict[str, tuple[bytes, int]]] = []
+    if not len(flat):
+        return [{} for _ in range(len(rares))]
+    chunks, ids, other = flat.field(0).to_pylist(), flat.field(1), flat.field(2).to_pylist()
+    data = ids.flatten().to_numpy().astype("<i4").tobytes()
+    size = ids.value_lengths().to_numpy(zero_copy_only=False) * 4
+    ends = np.cumsum(size).tolist()
+    rows = list(zip(chunks, [(data[e - n : e], o or 0) for e, n, o in zip(ends, size.tolist(), other, strict=True)], strict=True))
+    at = 0
+    for n in rares.value_lengths().to_pylist():
+        out.append(dict(rows[at : at + (n or 0)]))
+        at += n or 0
+    return out
+
+
 def decoded(ids: list[int], m: Model) -> str:
     """The text of a list of ids. Byte pieces in a row are read as UTF-8."""
     own = {i: b for b, i in enumerate(m.bytes_)}
@@ -334,28 +406,38 @@ def decoded(ids: list[int], m: Model) -> str:
 
 
 def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) plus decoded, the text of the ids (null where they are null)."""
-    from affinis.llm.common import mapped
+    """Columns ``keep`` (default: all) plus decoded, the text of the ids (null where they are null).
 
-    def make():
-        table = [p.replace(BLANK, " ") if p in m.ids else None for p in m.pieces]
+    Whole columns of ids are looked up and joined in Arrow; only rows with byte or unknown pieces are
+    read one by one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import StringType, StructField, StructType
 
-        def work(rows):
+    small_batches(encoded.sparkSession)
+    names = [c for c in (encoded.columns if keep is None else keep) if c.lower() != "decoded"]
+    src = encoded.select(*names, F.col(ids).alias("_ids_"))
+    schema = StructType([*src.schema.fields[:-1], StructField("decoded", StringType())])
+
+    def run(batches):
+        table = pa.array([p.replace(BLANK, " ") if p in m.ids else None for p in m.pieces], pa.string())
+        for b in batches:
+            rows = b.column(b.num_columns - 1)
+            sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), table.take(rows.flatten()))
+            text = pc.binary_join(pieces, "").to_pylist()
             out = []
-            for r in rows:
-                got = [table[i] for i in r] if r is not None else None
-                if got is None:
+            for i, t in enumerate(text):
+                if t is None:  # some id is no text, or there are no ids at all
+                    row = rows[i].as_py()
+                    out.append(None if row is None else decoded(row, m))
+                elif not rows[i].is_valid:
                     out.append(None)
-                elif None in got:
-                    out.append(decoded(r, m))
                 else:
-                    t = "".join(got)
                     out.append(t[1:] if m.prefix and t[:1] == " " else t)
-            return [out]
-
-        return work
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=schema.names)
 
-    return mapped(encoded, ids, encoded.columns if keep is None else keep, "decoded string", make)
+    return src.mapInArrow(run, schema)
 
 
 def model_of(spark: SparkSession) -> Model:
