@@ -1,31 +1,34 @@
-"""Repeated passages by sparse suffix arrays.
-
-1. In each text, word positions are chosen by content: the least hash of 4 words in any window of
-   ``WINDOW`` positions. Whatever its surroundings, a passage of ``least_words`` words holds a chosen
-   position with at least ``KEY`` words of the passage to its right.
-2. The suffixes at these positions are sorted over the cluster by their next ``KEY`` words and the
-   words after these (as hashes), then by document. Ranges of the order are dealt to tasks by
-   sampled splitters, so even a passage in a third of all rows is spread. Each suffix is compared
-   with its neighbours of other documents in that order, also across the ends of ranges.
-3. Neighbours that agree on ``KEY`` words meet on a diagonal (difference of positions). Each diagonal
-   of two documents is compared once on the words themselves: matches are extended left and right
-   to their full length and kept from ``least_words`` words on.
+"""Repeated passages by windows at content-chosen anchors.
+
+1. Every window of ``least_words`` words has an anchor that its own words choose: the position with
+   the least hash of ``GRAM`` words among those with at least ``KEY`` words of the window to their
+   right. Equal windows have equal anchors, whatever surrounds them.
+2. The keys of a text (hashes of the ``KEY`` words at its anchors, each once) are sorted over the
+   cluster. Keys of a single document go; the windows at the other ones stay. What stays too much does no
+   harm, so the first and last key of every sorted range simply stay.
+3. The hashes of the windows that stay are sorted over the cluster, then by document. Every window
+   gets the least id among the other documents that hold it. Ranges are dealt to tasks by sampled
+   splitters, so even a passage in a third of all rows is spread; windows at the ends of ranges get
+   their ids from a table of at most two rows a range.
+4. Back in text order, windows in a row with the same partner are one match.
+
+Words and windows are compared by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, small_batches, written
+from affinis.llm.common import BATCH_ROWS, dropped, small_batches, written
 
-KEY, NEXT, GRAM, STRIDE = 20, 14, 4, 16
+KEY, GRAM = 20, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Rows of one Arrow batch of numbers, where the session does not ask for fewer.
+NUMBERS = 1 << 14
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -33,173 +36,219 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([one(w) for w in (text or "").encode("utf-8", "surrogatepass").split()], np.uint64)
 
 
-def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each position; where fewer are left, of those (with zeros)."""
-    n = len(h)
-    wide = np.concatenate([h, np.zeros(k, np.uint64)])
-    s = np.zeros(n, np.uint64)
-    for i in range(k):
-        s = (s ^ wide[i : i + n]) * MIX
-        s ^= s >> np.uint64(31)
-    return s
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position that has as many; by doubling."""
+    n = max(0, len(h) - k + 1)
+
+    def joined(x, y):
+        z = (x * ODD) ^ y
+        z ^= z >> np.uint64(31)
+        z *= MIX
+        return z ^ (z >> np.uint64(29))
+
+    out, at, width, s = None, 0, 1, h
+    while True:
+        if k & width:
+            part = s[at : at + n]
+            out = part if out is None else joined(out, part)
+            at += width
+        if 2 * width > k:
+            return out
+        s = joined(s[:-width], s[width:])
+        width *= 2
+
+
+def anchors(h: np.ndarray, least_words: int) -> np.ndarray:
+    """Position of the anchor of each window of ``least_words`` words."""
+    window = least_words - (KEY - 1)
+    if len(h) < least_words or window < 1:
+        return np.zeros(0, np.int64)
+    g = _grams(h, GRAM)[: len(h) - KEY + 1]
+    return np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1) + np.arange(len(h) - least_words + 1)
 
 
 def chosen(h: np.ndarray, least_words: int) -> np.ndarray:
-    """Positions of suffixes that are retained: minimisers with KEY words to their right."""
-    window = least_words - (KEY - 1) - (GRAM - 1)
-    n = len(h) - KEY + 1
-    if n < 1 or window < 1:
-        return np.zeros(0, np.int64)
-    g = _rolled(h, GRAM)[:n]
-    if n <= window:
-        return np.array([g.argmin()])
-    at = np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1) + np.arange(n - window + 1)
-    return np.unique(at)
+    """Positions that are the anchor of some window."""
+    return np.unique(anchors(h, least_words))
+
+
+def _edges(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points at which words start and stop (exclusive)."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.concatenate([[False], (c != 32) & ((c < 9) | (c > 13)), [False]])
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
 
 
-def _spaced(k: np.ndarray) -> np.ndarray:
-    """Indices to keep of keys in text order: of a run of equal keys (one word over and over) the
-    ends and every STRIDE-th, which still lie within KEY words of each other."""
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    at = np.arange(len(k)) - np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    return np.flatnonzero((at % STRIDE == 0) | np.concatenate([new[1:], [True]]))
+def _numbers(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``written``, with Arrow batches that suit rows of a few numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if int(was) == BATCH_ROWS:
+        spark.conf.set(key, str(NUMBERS))
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(key, was)
 
 
-def suffixes(docs: DataFrame, text: str, doc_id: str, least_words: int) -> DataFrame:
-    """One row per retained suffix: doc_id, pos, k1 (next KEY words), k2 (the NEXT after these)."""
+def _columns(batches) -> list[np.ndarray]:
+    """All rows of a partition, as one array a column; [] where there are none."""
+    table = [b for b in batches if b.num_rows]
+    return [np.concatenate([b.column(c).to_numpy() for b in table]) for c in range(table[0].num_columns)] if table else []
+
+
+def keys(docs: DataFrame, text: str, doc_id: str, least_words: int) -> DataFrame:
+    """doc_id, k: the distinct hashes of the KEY words at a document's anchors."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            ids, pos, k1, k2 = [], [], [], []
+            ids, ks = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None:
                     continue
                 h = word_hashes(t)
                 p = chosen(h, least_words)
-                if not len(p):
-                    continue
-                wide = np.concatenate([h, np.zeros(KEY + NEXT, np.uint64)])
-                a, c = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
-                for j in range(KEY):
-                    a = (a ^ wide[p + j]) * MIX
-                    a ^= a >> np.uint64(31)
-                for j in range(KEY, KEY + NEXT):
-                    c = (c ^ wide[p + j]) * MIX
-                    c ^= c >> np.uint64(31)
-                keep = _spaced(a)
-                p, a, c = p[keep], a[keep], c[keep]
-                ids.append(np.full(len(p), i, np.int64)), pos.append(p), k1.append(a.view(np.int64)), k2.append((c >> np.uint64(32)).astype(np.int32))
+                if len(p):
+                    k = np.unique(_grams(h, KEY)[p])
+                    ids.append(np.full(len(k), i, np.int64)), ks.append(k.view(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2))], names=["doc_id", "pos", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ks))], names=["doc_id", "k"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, pos int, k1 long, k2 int")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, k long")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of (doc_id, k), sorted by k and doc_id: rows whose k several documents of the partition hold,
+    and those of its first and last k."""
+    import pyarrow as pa
 
+    def run(batches):
+        cols = _columns(batches)
+        if not cols:
+            return
+        d, k = cols
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        last = np.concatenate([first[1:], [len(k)]]) - 1
+        stay = d[first] != d[last]
+        stay[[0, -1]] = True
+        stay = np.repeat(stay, last - first + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(d[stay]), pa.array(k[stay])], names=["doc_id", "k"])
+
+    return rows.select("doc_id", "k").mapInArrow(run, "doc_id long, k long")
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Sorted suffixes to pairs of neighbours (a < b) of different documents that share k1.
 
-    Runs of one document inside a group are passed over: each suffix meets the last one of the run
-    before, and the members of a group's first run meet the head of the second. The first and last
-    groups of a partition also come out as they are (b null), to be joined with those of others."""
+def _windows(rows: DataFrame, least_words: int) -> DataFrame:
+    """Of (doc_id, text, ks): one row per window whose anchor has a key of ks."""
     import pyarrow as pa
 
-    def pairs(d, p, k):
-        n = len(d)
-        group = np.concatenate([[True], k[1:] != k[:-1]])
-        run = group | np.concatenate([[True], d[1:] != d[:-1]])
-        start = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-        prev = start - 1
-        ok = ~group[start]
-        i = np.flatnonzero(ok)
-        x, y = prev[i], i
-        # members of a group's first run look ahead to the second run
-        heads = np.flatnonzero(run)
-        nxt = np.full(n, -1)
-        after = np.searchsorted(heads, np.arange(n), side="right")
-        inside = after < len(heads)
-        nxt[inside] = heads[after[inside]]
-        j = np.flatnonzero(~ok & (nxt >= 0))
-        j = j[~group[nxt[j]]]
-        x, y = np.concatenate([x, j]), np.concatenate([y, nxt[j]])
-        swap = d[x] > d[y]
-        return np.where(swap, y, x), np.where(swap, x, y)
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, t, ks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = word_hashes(t)
+                at = anchors(h, least_words)
+                if not len(at):
+                    continue
+                p = np.flatnonzero(np.isin(_grams(h, KEY).view(np.int64), ks.values.to_numpy())[at])
+                start, stop = _edges(t)
+                out.append((np.full(len(p), i, np.int64), p.astype(np.int32), start[p].astype(np.int32), stop[p + least_words - 1].astype(np.int32), _grams(h, least_words)[p].view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "pos", "from", "to", "hash"])
+
+    return rows.select("doc_id", "text", "ks").mapInArrow(run, "doc_id long, pos int, from int, to int, hash long")
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    """Of windows sorted by hash and doc_id: those that several documents hold, with the least id of
+    the others. Windows of a partition's first and last hash keep their hash and have no partner yet."""
+    import pyarrow as pa
 
     def run(batches):
-        table = [b for b in batches if b.num_rows]
-        if not table:
+        cols = _columns(batches)
+        if not cols:
             return
-        d, p, k, k2 = (np.concatenate([b.column(c).to_numpy() for b in table]) for c in range(4))
-        x, y = pairs(d, p, k)
-        # both ends of the first and the last run, and the nearest suffixes of other documents in
-        # their groups: at most six rows, whatever the partition holds
-        first, last = np.flatnonzero((k == k[0]) & (d == d[0])), np.flatnonzero((k == k[-1]) & (d == d[-1]))
-        head = np.flatnonzero((k == k[0]) & (d != d[0]))[:1]
-        tail = np.flatnonzero((k == k[-1]) & (d != d[-1]))[-1:]
-        e = np.unique(np.concatenate([first[[0, -1]], last[[0, -1]], head, tail]))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([d[x], d[e]])), pa.array(np.concatenate([d[y], np.zeros(len(e), np.int64)]), mask=np.concatenate([np.zeros(len(x), bool), np.ones(len(e), bool)])), pa.array(np.concatenate([p[x], p[e]])), pa.array(np.concatenate([p[y], np.zeros(len(e), np.int32)])), pa.array(np.concatenate([np.zeros(len(x), np.int64), k[e]])), pa.array(np.concatenate([np.zeros(len(x), np.int32), k2[e]]))],
-            names=["a", "b", "pa", "pb", "k1", "k2"],
-        )
-        yield out
-
-    return rows.select("doc_id", "pos", "k1", "k2").mapInArrow(run, "a long, b long, pa int, pb int, k1 long, k2 int")
+        d, p, f, t, h = cols
+        n = len(d)
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        run_ = new | np.concatenate([[True], d[1:] != d[:-1]])
+        group = np.cumsum(new) - 1
+        least = d[new]
+        heads = np.flatnonzero(run_)
+        second = heads[1:][~new[heads[1:]] & new[heads[:-1]]]
+        several, after = np.zeros(len(least), bool), np.zeros(len(least), np.int64)
+        several[group[second]], after[group[second]] = True, d[second]
+        open_ = np.zeros(n, bool)
+        open_[(group == 0) | (group == group[-1])] = True
+        i = np.flatnonzero(open_ | several[group])
+        o, g = open_[i], group[i]
+        partner = np.where(d[i] == least[g], after[g], least[g])
+        yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(p[i]), pa.array(f[i]), pa.array(t[i]), pa.array(partner, mask=o), pa.array(h[i], mask=~o)], names=["doc_id", "pos", "from", "to", "partner", "hash"])
+
+    return rows.select("doc_id", "pos", "from", "to", "hash").mapInArrow(run, "doc_id long, pos int, from int, to int, partner long, hash long")
+
+
+def _stretches(rows: DataFrame, least_words: int) -> DataFrame:
+    """Of windows sorted by doc_id and pos: windows in a row with the same partner, as one."""
+    import pyarrow as pa
 
+    names = ["doc_id", "start", "stop", "from", "to", "partner"]
+
+    def batch(cols):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d, p, f, t, q = (b.column(c).to_numpy() for c in range(5))
+            new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1])])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(d)]]) - 1
+            cols = [d[first], p[first], (p[last] + least_words).astype(np.int32), f[first], t[last], q[first]]
+            if held is not None:
+                if held[0] == d[0] and held[2] - least_words + 1 == p[0] and held[5] == q[0]:
+                    cols[1][0], cols[3][0] = held[1], held[3]
+                else:
+                    cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(held, cols, strict=True)]
+            held = [c[-1] for c in cols]
+            if len(cols[0]) > 1:
+                yield batch([c[:-1] for c in cols])
+        if held is not None:
+            yield batch([np.array([x]) for x in held])
+
+    return rows.select("doc_id", "pos", "from", "to", "partner").mapInArrow(run, "doc_id long, start int, stop int, from int, to int, partner long")
 
-def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = 50) -> DataFrame:
-    """Maximal matches of neighbouring suffixes: doc_id, start, stop (words), from, to (code points),
-    partner. Every match comes twice, once for either document."""
-    import pyarrow as pa
 
+def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = 50) -> DataFrame:
+    """Stretches of repeated words: doc_id, start, stop (words), from, to (code points), partner, the
+    least id of the other documents that hold each window of ``least_words`` words of the stretch."""
     spark = docs.sparkSession
-    made = written(suffixes(docs, text, doc_id, least_words), "suffixes")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = made.repartitionByRange(n, "k1", "k2", "doc_id", "pos").sortWithinPartitions("k1", "k2", "doc_id", "pos")
-    near = written(_neighbours(order), "neighbours")
+    made = written(keys(docs, text, doc_id, least_words), "keys")
+    order = made.repartitionByRange(n, "k", "doc_id").sortWithinPartitions("k", "doc_id")
+    shared = _numbers(spark, _shared(order), "shared")
     dropped(made)
-    inner = near.where("b IS NOT NULL").select("a", "b", "pa", "pb")
-    # ends of partitions: few rows; in each group the documents form a chain in the same order
-    by = Window.partitionBy("k1").orderBy("k2", "a", "pa")
-    ends = near.where("b IS NULL").select("a", "pa", "k1", "k2").distinct().withColumn("b", F.lead("a").over(by)).withColumn("pb", F.lead("pa").over(by)).where("b IS NOT NULL AND a <> b")
-    ends = ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("CASE WHEN a < b THEN pa ELSE pb END").alias("px"), F.expr("CASE WHEN a < b THEN pb ELSE pa END").alias("py")).toDF("a", "b", "pa", "pb")
-    lines = inner.union(ends).groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("diagonal")).agg(F.min("pa").alias("lo"), F.max("pa").alias("hi"))
-    pairs = lines.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "lo", "hi")).alias("lines"))
-    pairs = written(pairs, "pairs")
-    dropped(near)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    side = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    both = side.join(texts, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("y"))
-    rows = both.join(pairs, ["a", "b"]).select("a", "b", "x", "y", "lines")
-
-    def run(batches):
-        for c in batches:
-            out = []
-            for a, b, x, y, ls in zip(*(c.column(i).to_pylist() for i in range(5)), strict=True):
-                hx, hy = word_hashes(x), word_hashes(y)
-                sx = sy = None
-                for line in ls:
-                    d, lo, hi = line["diagonal"], line["lo"], line["hi"]
-                    first = max(0, -d)
-                    last = min(len(hx), len(hy) - d)
-                    same = np.concatenate([[False], hx[first:last] == hy[first + d : last + d], [False]])
-                    start = np.flatnonzero(same[1:] & ~same[:-1]) + first
-                    stop = np.flatnonzero(~same[1:] & same[:-1]) + first
-                    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
-                        if e - s < least_words or e <= lo or s > hi + KEY:
-                            continue
-                        if sx is None:
-                            sx, sy = [m.span() for m in WORD.finditer(x)], [m.span() for m in WORD.finditer(y)]
-                        out.append((a, s, e, sx[s][0], sx[e - 1][1], b))
-                        out.append((b, s + d, e + d, sy[s + d][0], sy[e + d - 1][1], a))
-            if out:
-                v = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), *(pa.array(v[:, i].astype(np.int32)) for i in range(1, 5)), pa.array(v[:, 5])], names=["doc_id", "start", "stop", "from", "to", "partner"])
-
-    return rows.mapInArrow(run, "doc_id long, start int, stop int, from int, to int, partner long")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    some = shared.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    rows = texts.join(some, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("ks").alias("ks"))
+    windows = written(_windows(rows, least_words), "windows")
+    dropped(shared)
+    order = windows.repartitionByRange(n, "hash", "doc_id", "pos").sortWithinPartitions("hash", "doc_id")
+    found = _numbers(spark, _partners(order), "partners")
+    dropped(windows)
+    # windows at the ends of ranges: at most two hashes a range
+    ends = found.where("hash IS NOT NULL").drop("partner")
+    least = ends.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = ends.join(F.broadcast(least), "hash").groupBy("hash", "least").agg(F.min(F.expr("CASE WHEN doc_id > least THEN doc_id END")).alias("after"))
+    ends = ends.join(F.broadcast(least), "hash").withColumn("partner", F.expr("CASE WHEN doc_id = least THEN after ELSE least END"))
+    whole = found.where("hash IS NULL").drop("hash").unionByName(ends.select("doc_id", "pos", "from", "to", "partner"))
+    out = _numbers(spark, _stretches(whole.repartition(n, "doc_id").sortWithinPartitions("doc_id", "pos"), least_words), "matches")
+    dropped(found)
+    return out
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -215,11 +264,11 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_
     (code points, ends exclusive), n_words, partner_id, matches, duplicate.
 
     A passage counts if another document holds at least ``least_words`` of the same words in a row
-    (words are what white space separates, case matters). partner_id is the least id among the
-    neighbours that it was compared with; duplicate is true if that is smaller than doc_id. Null and empty texts and rows with a null id have no passages. Of
-    rows with the same id the greatest text counts, and they are one document. Where one word stands
-    hundreds of times over, the longer of two such runs may be covered in part only. Extra columns are
-    ignored; an empty table gives an empty table.
+    (words are what white space separates, case matters). partner_id is the least id among all other
+    documents that hold such words of it; duplicate is true if that is smaller than doc_id. matches
+    counts the stretches of the passage that differ in their least partner. Null and empty texts and
+    rows with a null id have no passages. Of rows with the same id the greatest text counts, and they
+    are one document. Extra columns are ignored; an empty table gives an empty table.
     """
     m = merged(matches(docs, text, doc_id, least_words))
     return m.select("doc_id", "start_word", "end_word", "start_char", "end_char", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_id", "matches", (F.col("partner_id") < F.col("doc_id")).alias("duplicate"))
@@ -233,4 +282,4 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.withColumn(text, F.when(F.col("_cuts_").isNull(), F.col(text)).otherwise(pieces)).select(*docs.columns)
 
 
-__all__ = ["chosen", "matches", "merged", "repeated", "suffixes", "without_repeats", "word_hashes"]
+__all__ = ["anchors", "chosen", "keys", "matches", "merged", "repeated", "without_repeats", "word_hashes"]
