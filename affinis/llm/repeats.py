@@ -190,6 +190,38 @@ def _partners(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "from", "to", "hash").mapInArrow(run, "doc_id long, pos int, from int, to int, partner long, hash long")
 
 
+def _two_least(rows: DataFrame) -> DataFrame:
+    """Of (hash, doc_id): the two least ids of each hash in each partition, a row for either."""
+    import pyarrow as pa
+
+    def run(batches):
+        best: dict[int, list[int]] = {}
+        for b in batches:
+            h, d = (b.column(c).to_numpy() for c in range(2))
+            for x in np.unique(h).tolist():
+                best[x] = sorted({*best.get(x, []), *np.unique(d[h == x])[:2].tolist()})[:2]
+        out = [(x, i) for x, ids in best.items() for i in ids]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(2)], names=["hash", "doc_id"])
+
+    return rows.select("hash", "doc_id").mapInArrow(run, "hash long, doc_id long")
+
+
+def _looked_up(rows: DataFrame, hashes: np.ndarray, least: np.ndarray, after: np.ndarray) -> DataFrame:
+    """Windows of the given (sorted) hashes, with the least id of the other documents."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            d, h = b.column(0).to_numpy(), b.column(4).to_numpy()
+            at = np.searchsorted(hashes, h)
+            i = np.flatnonzero(np.append(hashes, 0)[at] == h) if len(hashes) else np.zeros(0, np.int64)
+            i = i[at[i] < len(hashes)]
+            partner = np.where(d[i] == least[at[i]], after[at[i]], least[at[i]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(i)) for c in range(4)), pa.array(partner, pa.int64())], names=["doc_id", "pos", "from", "to", "partner"])
+
+    return rows.select("doc_id", "pos", "from", "to", "hash").mapInArrow(run, "doc_id long, pos int, from int, to int, partner long")
+
+
 def _stretches(rows: DataFrame, least_words: int) -> DataFrame:
     """Of windows sorted by doc_id and pos: windows in a row with the same partner, as one."""
     import pyarrow as pa
@@ -240,12 +272,14 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_w
     order = windows.repartitionByRange(n, "hash", "doc_id", "pos").sortWithinPartitions("hash", "doc_id")
     found = _numbers(spark, _partners(order), "partners")
     dropped(windows)
-    # windows at the ends of ranges: at most two hashes a range
-    ends = found.where("hash IS NOT NULL").drop("partner")
-    least = ends.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    least = ends.join(F.broadcast(least), "hash").groupBy("hash", "least").agg(F.min(F.expr("CASE WHEN doc_id > least THEN doc_id END")).alias("after"))
-    ends = ends.join(F.broadcast(least), "hash").withColumn("partner", F.expr("CASE WHEN doc_id = least THEN after ELSE least END"))
-    whole = found.where("hash IS NULL").drop("hash").unionByName(ends.select("doc_id", "pos", "from", "to", "partner"))
+    # windows at the ends of ranges: at most two hashes a range, so their ids fit the driver
+    ends = found.where("hash IS NOT NULL")
+    ids: dict[int, set[int]] = {}
+    for r in _two_least(ends).collect():
+        ids.setdefault(r["hash"], set()).add(r["doc_id"])
+    several = sorted((x, *sorted(i)[:2]) for x, i in ids.items() if len(i) > 1)
+    hashes, least, after = np.array(several, np.int64).reshape(-1, 3).T
+    whole = found.where("hash IS NULL").drop("hash").unionByName(_looked_up(ends, hashes, least, after))
     out = _numbers(spark, _stretches(whole.repartition(n, "doc_id").sortWithinPartitions("doc_id", "pos"), least_words), "matches")
     dropped(found)
     return out

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from affinis.llm import repeats
 
@@ -47,3 +48,34 @@ def test_repeated_lines_equal_brute_force(spark):
     d = frame(spark, texts)
     want, _ = brute(texts)
     assert equal(covered(repeats.repeated(d).collect(), texts), want)
+
+
+@pytest.mark.parametrize("length", [50, 55, 62])
+def test_least_partner_of_every_copy(spark, length):
+    rnd = np.random.RandomState(length)
+    noise = lambda n: [f"x{v}" for v in rnd.randint(0, 10**9, n)]
+    texts = {}
+    for k in range(5):
+        p = noise(length)
+        for i in range(40):
+            texts[100 * k + i] = " ".join([*noise(rnd.randint(0, 60)), *p, *noise(rnd.randint(0, 60))])
+    rows = repeats.repeated(frame(spark, texts)).collect()
+    assert len(rows) == 200 and {r.n_words for r in rows} == {length}
+    assert all(r.partner_id == (r.doc_id - r.doc_id % 100 or 0) + (r.doc_id % 100 == 0) for r in rows)
+    assert [r.doc_id for r in rows if not r.duplicate] and sorted(r.doc_id for r in rows if not r.duplicate) == [0, 100, 200, 300, 400]
+
+
+def test_copies_beyond_shorter_neighbours(spark):
+    """Two whole copies among many documents that hold only 20 to 49 words of the passage."""
+    rnd = np.random.RandomState(3)
+    noise = lambda n: [f"x{v}" for v in rnd.randint(0, 10**9, n)]
+    texts = {}
+    for k in range(20):
+        p = noise(60)
+        for i in range(20):
+            a = rnd.randint(0, 30)
+            texts[100 * k + i] = " ".join([*noise(30), *(p if i in (4, 15) else p[a : a + rnd.randint(20, 50)]), *noise(30)])
+    d = frame(spark, texts)
+    want, later = brute(texts)
+    assert equal(covered(repeats.repeated(d).collect(), texts), want)
+    assert equal(covered(repeats.matches(d).where("partner < doc_id").collect(), texts, "start", "stop"), later)
