@@ -3,11 +3,13 @@
 1. A softmax classifier over form features and the log odds of hashed words is fitted on a bounded
    sample of labelled rows. It gives every document posteriors p over the domains.
 2. Every document gets a nonnegative rate r. Expected token totals of the domains are
-   S_k = sum r t p_k. Projected gradient descent on
-       1/2 sum_k (S_k - T_k)^2 / (T_k T) + ridge/2 sum t/T (r - 1)^2
-   fits the rates: each round is one distributed sum of as many numbers as there are domains. A rate
-   depends on the document's own p and on the past residuals only, so rounds exchange nothing else,
-   and a lost task is simply computed again.
+   S_k = sum r t p_k. The rates nearest to 1 whose totals meet the targets are the projections
+   r = max(0, 1 + p . y) of one number y_k a domain. These minimise
+       1/2 sum_k (S_k - T_k)^2 / T_k + ridge/2 sum t (r - 1)^2
+   for a ridge that falls until the totals are met. y follows gradient steps that are scaled by the
+   derivative of the totals, so that rare domains move as fast as large ones. Each round is one
+   distributed sum of the totals and their derivative; a rate depends on the document's own p and on
+   y only, so rounds exchange nothing else, and a lost task is simply computed again.
 3. A rate becomes copies: its whole part, and one more with the chance of its fraction, decided by a
    hash of the id.
 """
@@ -15,6 +17,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,9 +167,16 @@ class Fit:
     step: float
     ridge: float
 
+    @property
+    def missed(self) -> np.ndarray:
+        """How far each total is from its target, as a share of it."""
+        return np.abs(self.totals - self.targets) / np.where(self.targets > 0, self.targets, 1.0)
+
 
 def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, lift: float = LIFT, ridge: float = 1e-2, rounds: int = 60, tolerance: float = 1e-2) -> Fit:
-    """known: tokens, p. Runs until every domain's total is within ``tolerance`` of its target."""
+    """known: tokens, p. Runs until every domain's total is within ``tolerance`` of its target. Where
+    no rates do that, or ``rounds`` are over, the rates of the full ridge are given and it warns;
+    ``missed`` says by how much."""
     import pyarrow as pa
 
     k = len(domains)
@@ -175,37 +185,57 @@ def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor:
         raise ValueError("target weights must be positive")
     share /= share.sum()
 
-    def total(residuals: np.ndarray, step: float) -> np.ndarray:
+    def sums(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their derivative by y, and sum t r^2 / 2, whose derivative the totals are."""
+
         def run(batches):
-            s = np.zeros(k)
+            s = np.zeros(k + k * k + 1)
             for b in batches:
                 if b.num_rows:
-                    p = b.column(1).flatten().to_numpy().reshape(-1, k)
-                    s += (replayed(p, residuals, step, ridge) * b.column(0).to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(s)], names=["k", "s"])
+                    p, t = b.column(1).flatten().to_numpy().reshape(-1, k), b.column(0).to_numpy()
+                    r = np.maximum(0.0, 1 + p @ y)
+                    s[:k] += (r * t) @ p
+                    s[k:-1] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+                    s[-1] += (t * r) @ r / 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s)], names=["k", "s"])
 
         rows = known.select("tokens", "p").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(k)
+        out = np.zeros(k + k * k + 1)
         for r in rows:
             out[r.k] = r.s
-        return out
+        return out[:k], out[k:-1].reshape(k, k), float(out[-1])
 
-    now = total(np.zeros((0, k)), 0.0)
+    y = np.zeros(k)
+    now, slope, half = sums(y)
     at = domains.index(anchor)
     goal = share * (lift * now[at] / share[at])
     if not now[at] > 0:
         return Fit(goal, now, np.zeros((0, k)), 0.0, ridge)
-    # the curvature is at most the largest ratio of what a domain has to what it shall have; steps
-    # under twice its inverse converge
-    step = 1.5 / (max(1.0, float((now / goal).max())) + ridge)
-    past: list[np.ndarray] = []
-    for _ in range(rounds):
-        e = (now - goal) / goal
-        if np.abs(e).max() <= tolerance:
-            break
-        past.append(e)
-        now = total(np.array(past), step)
-    return Fit(goal, now, np.array(past).reshape(-1, k), step, ridge)
+    met = lambda s: bool((np.abs(s - goal) <= tolerance * goal).all())
+    left, pull, tame = rounds, ridge, None
+    while not met(now) and left > 0 and pull >= 1e-6 * ridge:
+        # the least of the convex sum t r^2 / 2 - T . y + pull/2 y . T y is where the ridge holds
+        g = now - goal + pull * goal * y
+        if (np.abs(g) <= 0.1 * tolerance * goal).all():
+            tame = tame or (y, now)
+            pull /= 10
+            continue
+        d = -np.linalg.solve(slope + np.diag(pull * goal), g)
+        height, size = half - goal @ y + pull / 2 * (goal * y) @ y, 1.0
+        while left > 0:
+            left -= 1
+            z = y + size * d
+            s, m, h = sums(z)
+            if h - goal @ z + pull / 2 * (goal * z) @ z <= height + 1e-4 * size * (g @ d) + 1e-12 * abs(height):
+                y, now, slope, half = z, s, m, h
+                break
+            size /= 2
+    if not met(now) and tame:  # out of reach: without the full ridge, rates would grow for nothing
+        y, now = tame
+    f = Fit(goal, now, -y.reshape(1, k) if y.any() else np.zeros((0, k)), 1.0, ridge)
+    if not met(now):
+        warnings.warn("totals off their targets by " + ", ".join(f"{n} {x:.1%}" for n, x in zip(domains, f.missed, strict=True)), stacklevel=2)
+    return f
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -218,8 +248,9 @@ def mixed(docs: DataFrame, model: Model, weights: dict[str, float] | None = None
     """Columns ``keep`` (default: all) plus tokens, p_<domain> for each domain, rate and copies.
 
     Null and empty texts have no tokens; their rate follows from the posteriors of an empty text.
-    Repeated rows get equal rates. Where the anchor domain has no tokens all rates are 1. Columns of
-    ``docs`` with the new names give way.
+    Repeated rows get equal rates. Where the anchor domain has no tokens all rates are 1. Where no
+    rates meet the targets, those of the full ridge are used, and ``fit`` warns. Columns of ``docs``
+    with the new names give way.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"tokens", "p", "rate", "copies", *(f"p_{d}" for d in model.domains)}]
     known = written(posteriors(docs.select(*names, F.col(text).alias("_body_"), F.col(doc_id).alias("_id_")), model, "_body_", [*names, "_id_"]), "posteriors")
