@@ -5,6 +5,7 @@
 2. Words are matched by the automaton that arises when the Levenshtein automata of distance 1 are
    intersected with the trie of all terms. Its states are sets of (trie node, edits) and are
    determinised as they are met, so a word costs a few table steps and most words die early.
+   Words with one digit or sign inside are matched whole where none of their letter runs is a hit.
 3. Each hit is weighed by its context window: marks of quotation and words of reporting around it
    speak for a quotation, address of the reader for abuse.
 4. A logistic regression on a few sums of these scores gives the document's score.
@@ -23,6 +24,8 @@ from affinis.llm.common import bounded_sample, held_out, mapped, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W_]+|[\"'“”„‟«»‹›‘’]")
+#: Two runs of letters with one digit or sign between them; a second one would be a second edit.
+BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([^\w\s]|[\d_])(?=([^\W\d_]+))")
 FUZZY_FROM = 5  # letters a term needs before one edit is allowed
 # fixed values: marks of quotation, words of reporting, words of address
 QUOTES = set("\"“”„‟«»‹›")
@@ -115,6 +118,32 @@ class Model:
 FEATURES = 7
 
 
+def _broken(lower: str, hits: dict[str, tuple[int, float]], matcher: Matcher) -> list[tuple[int, int]]:
+    """Spans of words with a digit or sign inside that match a term; adds them to ``hits``."""
+    spans: list[tuple[int, int]] = []
+    for x in BROKEN.finditer(lower):
+        a, b = x.start(), x.end(3)
+        if b - a < FUZZY_FROM or x[1] in hits or x[3] in hits or (spans and a < spans[-1][1]):
+            continue
+        m = matcher.match(lower[a:b])
+        if m[0]:
+            hits[lower[a:b]] = m
+            spans.append((a, b))
+    return spans
+
+
+def _joined(lower: str, spans: list[tuple[int, int]]) -> list[str]:
+    """Tokens, with each span as one token in place of those that it meets."""
+    out, i = [], 0
+    for t in TOKEN.finditer(lower):
+        if i == len(spans) or t.end() <= spans[i][0]:
+            out.append(t[0])
+        while i < len(spans) and spans[i][1] <= t.end():  # the last token that meets the span
+            out.append(lower[slice(*spans[i])])
+            i += 1
+    return out
+
+
 def features(text: str | None, matcher: Matcher, model: Model) -> np.ndarray:
     """Sums over the hits of a text: bias, any, log count, log weight, density, best, stems."""
     out = np.zeros(FEATURES)
@@ -122,9 +151,10 @@ def features(text: str | None, matcher: Matcher, model: Model) -> np.ndarray:
     lower = (text or "").lower()
     words = set(WORD.findall(lower))
     hits = {w: m for w in words if (m := matcher.match(w))[0]}
+    broken = _broken(lower, hits, matcher)
     if not hits:
         return out
-    tokens = TOKEN.findall(lower)
+    tokens = _joined(lower, broken) if broken else TOKEN.findall(lower)
     scores, stems = [], 0
     for i, w in enumerate(tokens):
         m = hits.get(w) or (hits.get(w.strip("0123456789")) if not w.isalpha() else None)
