@@ -6,8 +6,9 @@ numbers without the plus, grouped card numbers. It is trained by gradient ascent
 table and decoded by Viterbi for many windows at once in numpy.
 
 Decoding is constrained: a token can be part of a span only near a trigger (a digit, an at sign, or
-a spelled-out at). Elsewhere the tag is O, so the chain falls apart into windows, and decoding these
-is exact for the whole text.
+a spelled-out at or dot) or where it is joined to such tokens around an address. Elsewhere the tag is
+O, so the chain falls apart into windows of any length, and decoding these is exact for the whole
+text. Tagged addresses are completed by what their form joins to them.
 """
 
 from __future__ import annotations
@@ -225,19 +226,29 @@ def train(labelled: list[tuple[str, str]] | None = None, rounds: int = 300, rate
     return f
 
 
+BLOCK = 4096  # tokens whose emissions are held at once
+CELLS = 4096 * 96  # tokens of all chains that are decoded at once, if one chain is not longer
+
+
 def viterbi(k: np.ndarray, size: np.ndarray, f: Field) -> np.ndarray:
-    """Best tags of many windows at once: k (windows, length), size: their true lengths."""
+    """Best tags of many windows at once: k (windows, length), size: their true lengths. The state is
+    carried from block to block of tokens."""
     w, n = k.shape
-    e, m = _emissions(k, f), f.move + _allowed_moves()
-    best = START + e[:, 0]
+    m = f.move + _allowed_moves()
+    wide = np.pad(k, ((0, 0), (2, 2)), constant_values=f.emit.shape[1] - 1)
     back = np.zeros((w, n, len(TAGS)), np.int8)
-    for t in range(1, n):
-        c = best[:, :, None] + m[None]
-        back[:, t] = c.argmax(axis=1)
-        step = c.max(axis=1) + e[:, t]
-        live = (t < size)[:, None]
-        back[:, t] = np.where(live, back[:, t], np.arange(len(TAGS))[None])
-        best = np.where(live, step, best)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        e = _emissions(wide[:, lo : hi + 4], f)[:, 2:-2]
+        if lo == 0:
+            best = START + e[:, 0]
+        for t in range(max(1, lo), hi):
+            c = best[:, :, None] + m[None]
+            back[:, t] = c.argmax(axis=1)
+            step = c.max(axis=1) + e[:, t - lo]
+            live = (t < size)[:, None]
+            back[:, t] = np.where(live, back[:, t], np.arange(len(TAGS))[None])
+            best = np.where(live, step, best)
     tags = np.zeros((w, n), np.int8)
     tags[:, -1] = best.argmax(axis=1)
     for t in range(n - 1, 0, -1):
@@ -245,39 +256,63 @@ def viterbi(k: np.ndarray, size: np.ndarray, f: Field) -> np.ndarray:
     return np.where(np.arange(n)[None] < size[:, None], tags, 0)
 
 
-TRIGGER = re.compile(r"[0-9@]|\b[aA][tT]\b")
-
-
-def windows(text: str, width: int = 96) -> list[list[tuple[int, int]]]:
-    """Token spans near triggers, as separate chains. A trigger run longer than ``width`` tokens
-    is cut there, so that memory stays bounded for texts of digits alone."""
+ADDRESS = re.compile(r"(?i)@|\b(?:at|dot)\b")
+TRIGGER = re.compile(r"(?i)[0-9@]|\b(?:at|dot)\b")
+JOINED = re.compile(r"[\w.%+-]*")
+
+
+def _near(text: str, toks: list[tuple[int, int]]) -> np.ndarray:
+    """Tokens within REACH of a trigger, and what is joined to these around an address."""
+    n = len(toks)
+    near = np.zeros(n, bool)
+    at = np.flatnonzero([bool(TRIGGER.search(text[s:e])) for s, e in toks])
+    if not len(at):
+        return near
+    near[np.clip(np.repeat(at, 2 * REACH + 1) + np.tile(np.arange(-REACH, REACH + 1), len(at)), 0, n - 1)] = True
+    for step in (1, -1):
+        seen = np.zeros(n, bool)
+        for i in at:
+            if not ADDRESS.search(text[slice(*toks[i])]):
+                continue
+            j = min(max(i + step * REACH, 0), n - 1)
+            while 0 <= j + step < n and not seen[j]:
+                seen[j] = True
+                left, right = sorted((toks[j], toks[j + step]))
+                if left[1] != right[0] or not JOINED.fullmatch(text, left[0], right[1]):
+                    break
+                j += step
+                near[j] = True
+    return near
+
+
+def windows(text: str) -> list[list[tuple[int, int]]]:
+    """Token spans near triggers, as separate chains of any length."""
     found: list[list[tuple[int, int]]] = []
     end = -1
-    pad = 60
+    pad, most = 60, 200
+
+    def until(m) -> int:
+        b = m.end() + pad
+        return b if m.group().isdigit() else JOINED.match(text, min(b, len(text)), b + most).end()
+
     for m in TRIGGER.finditer(text):
         if m.start() < end:
             continue
         # a stretch: from well before this trigger up to where no trigger has come for a while
-        a, b = max(0, m.start() - pad, end), m.end() + pad
+        a, b = max(0, m.start() - pad, end), until(m)
         for nxt in TRIGGER.finditer(text, m.end()):
             if nxt.start() > b:
                 break
-            b = nxt.end() + pad
-        while a > 0 and text[a - 1].isalnum() and a > end and m.start() - a < 200:
+            b = max(b, until(nxt))
+        while a > 0 and JOINED.fullmatch(text, a - 1, a) and a > end and m.start() - a < most:
             a -= 1
         toks = [(a + s, a + e) for s, e in _tokens(text[a:b])]
         end = b
-        hot = np.array([bool(TRIGGER.search(text[s:e])) for s, e in toks], bool)
-        at = np.flatnonzero(hot)
-        if not len(at):
-            continue
-        near = np.zeros(len(toks), bool)
-        near[np.clip(np.repeat(at, 2 * REACH + 1) + np.tile(np.arange(-REACH, REACH + 1), len(at)), 0, len(toks) - 1)] = True
         run: list[tuple[int, int]] = []
-        for t, ok in zip(toks, near, strict=True):
+        for t, ok in zip(toks, _near(text, toks), strict=True):
             if ok:
                 run.append(t)
-            if run and (not ok or len(run) == width):
+            elif run:
                 found.append(run)
                 run = []
         if run:
@@ -289,6 +324,8 @@ def windows(text: str, width: int = 96) -> list[list[tuple[int, int]]]:
 SPELLED = re.compile(r"(?i)[\w.%+-]+[ ]*[\[(]?[ ]*(?:@|\bat\b)[ ]*[\])]?[ ]*[\w-]+(?:[ ]*[\[(]?[ ]*\bdot\b[ ]*[\])]?[ ]*[\w-]+|\.[\w-]+)+")
 BRACKETED = re.compile(r"(?i)[\[(][ ]*(?:@|at)[ ]*[\])]|\bdot\b")
 
+HEADLESS = re.compile(r"(?i)[\[( ]*(?:@|at\b)")
+
 
 def _plausible(kind: str, s: str) -> bool:
     d = sum("0" <= c <= "9" for c in s)
@@ -303,6 +340,20 @@ def _plausible(kind: str, s: str) -> bool:
     return len(s) <= 120 and SPELLED.fullmatch(s) is not None and BRACKETED.search(s) is not None
 
 
+def _completed(text: str, a: int, b: int, most: int = 120) -> tuple[int, int]:
+    """A tagged address with what its form joins to it on both sides."""
+    start = a
+    if HEADLESS.match(text, a):
+        while start > 0 and a - start < most and text[start - 1] in " [(":
+            start -= 1
+    while start > 0 and a - start < most and JOINED.fullmatch(text, start - 1, start):
+        start -= 1
+    while start < a and text[start] in ".%+-":
+        start += 1
+    m = SPELLED.match(text, start, b + most)
+    return (start, max(b, m.end())) if m and m.end() > a else (a, b)
+
+
 def field_spans(texts: list[str | None], f: Field, block: int = 4096) -> list[list[Span]]:
     """Spans that the random field finds in each text; only such as pass a check of their form."""
     out: list[list[Span]] = [[] for _ in texts]
@@ -311,8 +362,13 @@ def field_spans(texts: list[str | None], f: Field, block: int = 4096) -> list[li
 
     def flush():
         chains.sort(key=lambda c: len(c[2]))
-        for lo in range(0, len(chains), block):
-            part = chains[lo : lo + block]
+        lo = 0
+        while lo < len(chains):
+            # as many chains as fill the cells of one block, at least one
+            hi = lo + 1
+            while hi < min(lo + block, len(chains)) and (hi + 1 - lo) * len(chains[hi][2]) <= CELLS:
+                hi += 1
+            part, lo = chains[lo:hi], hi
             size = np.array([len(c[2]) for c in part])
             k = np.full((len(part), size.max()), f.emit.shape[1] - 1)
             k[np.repeat(np.arange(len(part)), size), ragged(size)] = np.concatenate([c[2] for c in part])
@@ -325,7 +381,9 @@ def field_spans(texts: list[str | None], f: Field, block: int = 4096) -> list[li
                         while j < n and TAGS[row[j]][0] == "I":
                             j += 1
                         kind, a, b = TAGS[row[i]][2:], toks[i][0], toks[j - 1][1]
-                        if _plausible(kind, texts[doc][a:b]):
+                        if kind == "email":
+                            a, b = _completed(texts[doc], a, b)
+                        if _plausible(kind, texts[doc][a:b]) and (kind, a, b) not in out[doc][-1:]:
                             out[doc].append((kind, a, b))
                         i = j
                     else:
