@@ -72,8 +72,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return Model(languages, (table - table.mean(axis=1, keepdims=True)).astype(np.float32) if languages else table)
 
 
-def mixtures(texts: list[str | None], model: Model, rounds: int = 8, most: int = 3, penalty: float = 2.0, floor: float = -12.0):
-    """(proportions (documents, languages), size of the chosen set). Documents without words: zeros."""
+def mixtures(texts: list[str | None], model: Model, rounds: int = 8, most: int | None = None, penalty: float = 2.0, floor: float = -12.0):
+    """(proportions (documents, languages), size of the chosen set). Documents without words: zeros.
+    Sets grow up to ``most`` languages (default: all) as long as the likelihood pays for the penalty."""
     k, n = len(model.languages), len(texts)
     if not n or not k:
         return np.zeros((n, k)), np.zeros(n, int)
@@ -111,20 +112,21 @@ def mixtures(texts: list[str | None], model: Model, rounds: int = 8, most: int =
     best = single.argmax(axis=1)
     chosen = np.eye(k, dtype=np.float32)[best]
     size = np.ones(len(own), int)
-    if k > 1 and most > 1:
+    most = k if most is None else min(most, k)
+    if most > 1:
         full = fit(np.full((len(own), k), 1 / k, np.float32), rounds)
         rank = full.copy()
         rank[np.arange(len(own)), best] = 2
         order = np.argsort(-rank, axis=1, kind="stable")
         at = single[np.arange(len(own)), best]
-        for s in range(2, min(most, k) + 1):
+        for s in range(2, most + 1):
             mask = np.zeros((len(own), k), np.float32)
             np.put_along_axis(mask, order[:, :s], 1, axis=1)
             pi = full * mask + 1e-3 * mask
             pi = fit(pi / pi.sum(axis=1, keepdims=True), max(2, rounds // 2))
             now = likelihood(pi)
             # a further language is a further parameter, priced by the number of words
-            better = now - at > penalty * 0.5 * np.log(words + 1) + penalty
+            better = now - at > (s - size) * (penalty * 0.5 * np.log(words + 1) + penalty)
             chosen[better], size[better], at = pi[better], s, np.where(better, now, at)
     out, sizes = np.zeros((n, k)), np.zeros(n, int)
     out[own], sizes[own] = chosen, size
