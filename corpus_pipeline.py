@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from affinis.llm import exact_dedup, language, minhash, mixing, pieces
 from affinis.llm.common import table, written
@@ -23,15 +24,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts."""
-    stay = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One row of each class of equal texts, the one that exact_dedup keeps. A null id stays where no
+    row of the class has an id; rows that share an id stay each if their texts differ."""
+    stay = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id_"), F.col("text_sha256").alias("_class_")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("_of_", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))
+    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id_")) & (F.col("_of_") == F.col("_class_")), "left_semi")
+    # of rows with the same id and class, the longest text
+    best = F.max_by(F.struct(*COLUMNS), F.struct(F.length("text"), F.col("text")))
+    return rows.groupBy("_of_").agg(F.coalesce(best, F.first(F.struct(*COLUMNS))).alias("_row_")).select("_row_.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id."""
-    stay = minhash.near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each class of near-duplicates, the one with the least id. Rows with a null id
+    all stay; so do all rows of an id that is kept."""
+    stay = minhash.near_dedup(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id_")).distinct()
+    rows = docs.select(*COLUMNS)
+    return rows.join(stay, F.col("doc_id") == F.col("_id_"), "left_semi").unionByName(rows.where("doc_id IS NULL"))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
