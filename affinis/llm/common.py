@@ -55,6 +55,13 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def fewer_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most an eighth of the session's shuffle partitions, though never in fewer than two
+    for each core: for short rows, whose files would be many and tiny."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to sizes that suit long texts, unless the session asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,30 +1,43 @@
 """Exact deduplication in three combining stages, on built-in expressions only.
 
+A first pass counts digests (no texts), by salt and then in all. A digest that occurs once has nothing
+to be compared with, so its row is a class of its own. Rows of the other digests go through three
+stages, with the whole text as a grouping key in each; the digest only decides where a row goes.
+
 Stage 1 is the map-side half of the first aggregate: every task keeps one row of each text it has
 read. Stage 2 merges those rows by (digest, salt, text), so a text that fills a third of the table
-is spread over ``salts`` tasks. Stage 3 combines the at most ``salts`` winners of each text. The text
-itself is a grouping key in every stage; the digest only decides where a row goes.
+is spread over ``salts`` tasks. Stage 3 combines the at most ``salts`` winners of each text. The
+verdict goes back to the rows by (digest, salt, text) too.
 
-The verdict goes back to the rows by (digest, second hash, salt), so that the rows of a hot group are
-again spread over the salts.
+Which digests occur twice is told by a table of bits, of at most 2**FILTER_BITS / 64 words whatever
+the input, which is broadcast. A bit that is set by another digest only sends a row through the stages
+that could have done without; so on inputs with very many repeated digests more rows pass them, and
+the result stays the same.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import SPACES
+from affinis.llm.common import SPACES, fewer_files, written
 
 #: Lengths and ids are packed into one decimal (length first, then the smaller id), because the
 #: hash aggregate holds decimals in place while structs would force a sort on whole texts.
 SPAN = 10**20
 TOP = 2**63
+FILTER_BITS = 26
 
 
 def normalised(text: Column) -> Column:
     """The text without the characters of [\\x20\\x09-\\x0D]; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, F.coalesce(text, F.lit("")))
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
 def _rank(doc_id: Column, text: Column) -> Column:
@@ -34,24 +47,37 @@ def _rank(doc_id: Column, text: Column) -> Column:
     return (length * F.expr(f"{SPAN}BD") + low).cast("decimal(38,0)")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16) -> DataFrame:
-    """One row per (text class, salt that occurs in it): digest, check, salt, keep_id, group_size."""
-    if not 1 <= salts <= 62:  # a salt is a bit of a bigint
-        raise ValueError("salts must be between 1 and 62")
-    norm = normalised(F.col(text))
-    rows = docs.select(F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), norm.alias("norm"), _salt(F.col(doc_id), salts).alias("salt"), _rank(F.col(doc_id), F.col(text)).alias("rank"))
+def _salt(doc_id: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("salt")), F.lit(salts)).cast("int")
+
+
+def exact_groups(rows: DataFrame, salts: int) -> DataFrame:
+    """Of rows (digest, salt, norm, rank): one row per (text class, salt that occurs in it) with
+    digest, norm, salt, keep_id, group_size."""
     salted = rows.groupBy("digest", "salt", "norm").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
     whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("seen"))
     low = F.expr(f"rank % {SPAN}BD")
     keep = F.expr(f"{TOP}BD") - low
-    return whole.select("digest", F.xxhash64("norm").alias("check"), F.when(low > 0, keep).cast("bigint").alias("keep_id"), "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
+    return whole.select("digest", "norm", F.when(low > 0, keep).cast("bigint").alias("keep_id"), "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
 
 
-def _salt(doc_id: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("salt")), F.lit(salts)).cast("int")
+def repeated_bits(light: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(word, mask): the bits of all digests of (digest, salt) that occur twice."""
+    counts = light.groupBy("digest", "salt").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    return counts.select(_bit(bits).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def _bit(bits: int) -> Column:
+    return F.xxhash64("digest").bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16) -> DataFrame:
+def _marked(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``twice``: false only if the digest occurs once."""
+    at = rows.withColumn("bit", _bit(bits)).withColumn("word", F.shiftright("bit", 6))
+    return at.join(F.broadcast(words), "word", "left").withColumn("twice", F.coalesce(F.expr("shiftright(mask, cast(bit & 63 AS int)) & 1L"), F.lit(0)) == 1).drop("word", "bit", "mask")
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16, bits: int = FILTER_BITS) -> DataFrame:
     """All columns of ``docs`` are left behind but the id: doc_id, keep_id, group_size, kept,
     text_sha256, one row per row of ``docs``.
 
@@ -60,10 +86,18 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
     Repeated rows of one id all count in group_size and carry the same verdict. Extra columns, of any
     name, are ignored. An empty table gives an empty table.
     """
-    norm = normalised(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.xxhash64(norm).alias("check"), _salt(F.col(doc_id), salts).alias("salt"))
-    groups = exact_groups(docs, text, doc_id, salts).select(F.lower(F.hex("digest")).alias("text_sha256"), "check", "salt", "keep_id", "group_size")
-    return rows.join(groups, ["text_sha256", "check", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    if not 1 <= salts <= 62:  # a salt is a bit of a bigint
+        raise ValueError("salts must be between 1 and 62")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    salt = _salt(F.col("doc_id"), salts).alias("salt")
+    light = written(source.select("doc_id", digest_of(F.col("text")).alias("digest"), salt), "digests")
+    words = written(repeated_bits(light, bits), "bits")
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    single = _marked(light, words, bits).where("NOT twice").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
+    several = _marked(source.withColumn("digest", digest_of(F.col("text"))), words, bits).where("twice").select("doc_id", "digest", salt, normalised(F.col("text")).alias("norm"), _rank(F.col("doc_id"), F.col("text")).alias("rank"))
+    groups = exact_groups(several.drop("doc_id"), salts)
+    judged = several.drop("rank").join(groups, ["digest", "salt", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
+    return single.unionByName(fewer_files(judged))
 
 
 ORACLE = r"""
