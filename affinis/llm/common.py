@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +64,11 @@ def fewer_files(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to sizes that suit long texts, unless the session asks for smaller ones."""
+    """Hold the batches of scans and of Arrow to sizes that suit long texts, unless the session asks
+    for smaller ones. The settings stay in the session, because plans take them up when they run."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -73,6 +78,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Rows of one Arrow batch of numbers, where the session does not ask for fewer.
+NUMBERS = 1 << 14
+
+
+@contextmanager
+def numbers(spark: SparkSession):
+    """Arrow batches that suit rows of a few numbers, for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if int(was) == BATCH_ROWS:
+        spark.conf.set(key, str(NUMBERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def held_out(doc_id: Column) -> Column:
     """The remainder 2 of crc32 of the id as text marks the rows that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

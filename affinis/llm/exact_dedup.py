@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import SPACES, fewer_files, written
+from affinis.llm.common import SPACES, fewer_files, small_batches, written
 
 #: Lengths and ids are packed into one decimal (length first, then the smaller id), because the
 #: hash aggregate holds decimals in place while structs would force a sort on whole texts.
@@ -88,6 +88,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
     """
     if not 1 <= salts <= 62:  # a salt is a bit of a bigint
         raise ValueError("salts must be between 1 and 62")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     salt = _salt(F.col("doc_id"), salts).alias("salt")
     light = written(source.select("doc_id", digest_of(F.col("text")).alias("digest"), salt), "digests")

@@ -2,10 +2,12 @@
 
 1. Each text becomes a set of hashed word shingles, a MinHash signature and band keys. Texts with
    the same set are one node, its least id stands for them.
-2. Round one pairs every member of a bucket with the bucket's least id, so a bucket of n members
-   gives n - 1 pairs. Pairs are compared batch by batch of their signatures; a pair goes as soon as
-   the posterior probability of similarity at or above the threshold falls under ``miss``. Survivors
-   are verified on their full sets, and the links give provisional classes.
+2. Band keys are sorted over the cluster in ranges by (key, id), so a bucket of any size is spread.
+   Round one pairs every member of a bucket with the least id that its range has of the bucket, and
+   these with each other, so a bucket of n members gives n - 1 pairs. Pairs are compared batch by
+   batch of their signatures; a pair goes as soon as the posterior probability of similarity at or
+   above the threshold falls under ``miss``. Survivors are verified on their full sets, and the
+   links give provisional classes.
 3. Round two visits the buckets that still hold several classes, and compares all members of
    different classes there. The comparison happens inside a task on signatures; only survivors
    leave it, each from the first bucket the two share. They are verified like the others.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import connected_components, dropped, mapped, small_batches, written
+from affinis.llm.common import connected_components, dropped, fewer_files, mapped, numbers, small_batches, written
 
 BANDS, ROWS, HASHES, BATCH = 40, 4, 640, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +63,11 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """A key of 128 bits."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """Least value of HASHES hash functions over the set."""
     low = (s >> np.uint64(32)).astype(np.uint32)
@@ -132,6 +139,41 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """Of (key, id) in ranges sorted by both: (key, id, first) for the members of buckets that hold
+    several, ``first`` being the least id that the range has of the bucket. Buckets at the ends of a
+    range may go on in the next one; their rows are ``open`` and stay even if they are alone."""
+    import pyarrow as pa
+
+    names = ["key", "id", "first", "open"]
+
+    def run(batches):
+        held = None  # a row that was alone in its bucket when its batch ended
+        key = first = opening = None
+        for b in batches:
+            k, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if held is not None:
+                k, i = np.append(held[0], k), np.append(held[1], i)
+            if not len(k):
+                continue
+            opening = k[0] if opening is None else opening
+            goes_on = held is None and key is not None and k[0] == key
+            new = np.concatenate([[not goes_on], k[1:] != k[:-1]])
+            heads = np.flatnonzero(new)
+            bucket = np.cumsum(new)  # 0: the bucket of the batch before
+            least = np.append(first if goes_on else 0, i[heads])[bucket]
+            size = np.append(2, np.diff(np.append(heads, len(k))))[bucket]
+            stay = (size > 1) | (k == opening)
+            key, first = k[-1], least[-1]
+            held = None if stay[-1] else (k[-1], i[-1])
+            g = np.flatnonzero(stay)
+            yield pa.RecordBatch.from_arrays([pa.array(k[g]), pa.array(i[g]), pa.array(least[g]), pa.array((k == opening)[g])], names=names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([first]), pa.array([first]), pa.array([True])], names=names)
+
+    return keyed.select("key", "id").mapInArrow(run, "key long, id long, first long, open boolean")
+
+
 def pruned(pairs: DataFrame, reps: DataFrame, least: list[int], percent: int) -> DataFrame:
     """Pairs (a, b) that survive the comparison of their signatures."""
     import pyarrow as pa
@@ -157,13 +199,17 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     part = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / GROUP).alias("part")
     grouped = pairs.select("a", "b", part)
     ends = grouped.select("a", "part", F.col("b").alias("id")).union(grouped.groupBy("a", "part").agg(F.first("a").alias("id")))
-    sets = ends.join(texts, "id").groupBy("a", "part").agg(F.collect_list(F.struct("id", "text")).alias("members")).select("a", "members")
+    sets = ends.join(texts, "id").groupBy("a", "part").agg(F.collect_set(F.struct("id", "text")).alias("members")).select("a", "members")
 
     def run(batches):
         for c in batches:
             out_a, out_b = [], []
             for a, members in zip(c.column(0).to_pylist(), c.column(1), strict=True):
-                own = {m["id"].as_py(): shingles(m["text"].as_py(), words) for m in members}
+                own: dict[int, np.ndarray] = {}
+                for m in members:
+                    i, t = m["id"].as_py(), shingles(m["text"].as_py(), words)
+                    if len(t) and (i not in own or set_key(t) > set_key(own[i])):  # an id with several texts
+                        own[i] = t
                 s = own.pop(a)
                 for b, t in own.items():
                     both = len(np.intersect1d(s, t, assume_unique=True))
@@ -177,12 +223,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
     """Surviving pairs of members of one bucket that belong to different classes.
 
-    rows: key, id, n, comp, bands, sig, band; sorted by key within partitions."""
+    rows: key, p, q, id, n, comp, bands, sig, part; sorted by key, p, q within partitions."""
     import pyarrow as pa
 
     def pairs_of(g):
-        ids, n, comp, bands, sig, band, part, low = g
+        key, ids, n, comp, bands, sig, part, low = g
         size = len(ids)
+        band = int((bands[0] == key).argmax())
         _, of, counts = np.unique(comp, return_inverse=True, return_counts=True)
         count = counts[of]
         out_a, out_b = [], []
@@ -210,7 +257,7 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
 
         def done():
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            a, b = pairs_of((cols[0], cols[1], cols[2], cols[3], cols[4], cols[5][0], cols[6], bool(cols[7][0])))
+            a, b = pairs_of((key[0], *cols[:6], bool(cols[6][0])))
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -220,7 +267,7 @@ def _crossed(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
                 continue
             k = np.array(list(zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)))
             cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            cols = [x.column(3).to_numpy(), x.column(4).to_numpy(), x.column(5).to_numpy(), np.asarray(x.column(6).flatten().to_numpy()).reshape(-1, BANDS), _matrix(x.column(7)), x.column(8).to_numpy(), x.column(9).to_numpy(), (k[:, 1] != k[:, 2])]
+            cols = [x.column(3).to_numpy(), x.column(4).to_numpy(), x.column(5).to_numpy(), np.asarray(x.column(6).flatten().to_numpy()).reshape(-1, BANDS), _matrix(x.column(7)), x.column(8).to_numpy(), (k[:, 1] != k[:, 2])]
             for s, e in zip([0, *cut], [*cut, len(k)], strict=True):
                 now = tuple(k[s])
                 if key is not None and now != key:
@@ -241,45 +288,56 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     component_id is the least id reachable. Fewer than ``words`` words make one shingle; a null text
     or one without words has the empty set, is linked with nothing and stands for itself. A row with
     a null id is linked with nothing, its component is null and it is kept. Repeated rows of one id
-    count as one node. Extra columns are ignored; an empty table gives an empty table.
+    count as one node; if their texts differ, the text whose set has the greatest hash tells its links.
+    Extra columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
     least = least_matches(percent / 100, miss)
+    made = written(features(docs, text, doc_id, words).withColumn("row", F.monotonically_increasing_id()), "features")
+    # one row for each id, that of its greatest set; then the least id of each set, merged by salt
+    # first and handed back by salt
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt")
-    made = written(features(docs, text, doc_id, words).withColumn("salt", salt), "features")
-    full = made.where("n > 0 AND doc_id IS NOT NULL")
-    # the least id of each set: merged by salt first, and handed back by salt
-    small = full.groupBy("k1", "k2", "salt").agg(F.min("doc_id").alias("id"))
-    group = small.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("seen")).select("k1", "k2", "rep", F.explode(F.expr("filter(sequence(0, 15), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
-    members = written(full.select("doc_id", "n", "k1", "k2", "salt").join(group, ["k1", "k2", "salt"]).select("doc_id", "n", "rep"), "members")
-    reps = written(full.join(group.select("k1", "k2", "salt", "rep"), ["k1", "k2", "salt"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "bands", "sig").dropDuplicates(["id"]), "reps")
-    alone = written(made.where("n = 0 OR doc_id IS NULL").select("doc_id", "n"), "alone")
-    dropped(made)
+    ids = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("k1").alias("k1"), F.max_by("k2", "k1").alias("k2"), F.max_by("row", "k1").alias("row"))
+    ids = written(ids.select("doc_id", "k1", "k2", "row", salt), "ids")
+    sets = ids.groupBy("k1", "k2", "salt").agg(F.min("doc_id").alias("id")).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("seen"))
+    sets = sets.select("k1", "k2", "rep", F.explode(F.expr("filter(sequence(0, 15), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
+    members = written(fewer_files(ids.join(sets, ["k1", "k2", "salt"]).select("doc_id", "rep", "row")), "members")
+    nodes = written(made.select("row", F.col("doc_id").alias("id"), "n", "bands", "sig").join(members.where("doc_id = rep").select("row"), "row", "left_semi").drop("row"), "nodes")
+    counts = written(fewer_files(made.select("doc_id", "n")), "counts")
+    dropped(made, ids)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
-    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    stars = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    first = keyed.select("key", F.col("id").alias("b")).join(stars, "key").where("a <> b").select("a", "b").distinct()
-    tested = written(pruned(first, reps, least, percent), "survivors")
+    order = nodes.select(F.explode("bands").alias("key"), "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    with numbers(spark):
+        spots = written(shared_buckets(order), "buckets")
+    ends = spots.where("open").select("key", "first").distinct()
+    across = ends.join(ends.groupBy("key").agg(F.min("first").alias("a")), "key").select("a", F.col("first").alias("b"))
+    first = spots.select(F.col("first").alias("a"), F.col("id").alias("b")).union(across).where("a <> b").distinct()
+    tested = written(pruned(first, nodes, least, percent), "survivors")
     links = written(verified(tested, texts, words, percent), "links")
-    classes = written(connected_components(links), "classes")
+    classes = written(fewer_files(connected_components(links)), "classes")
 
-    of = reps.select("id", "bands").join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.posexplode("bands").alias("band", "key"))
+    of = written(spots.select("key", "id").distinct().join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "spots")
+    dropped(spots, links)
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    spots = of.join(mixed, "key").select("key", "band", "id", "comp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"))
+    at = of.join(mixed, "key").select("key", "id", "comp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"))
     # a bucket beyond BLOCK members is compared block by block
-    spots = spots.select("key", "band", "id", "comp", "part", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(part, j) AS p, greatest(part, j) AS q))")).alias("at"))
-    rows = spots.join(reps, "id").select("key", "at.p", "at.q", "id", "n", "comp", "bands", "sig", "band", "part")
+    at = at.select("key", "id", "comp", "part", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(part, j) AS p, greatest(part, j) AS q))")).alias("at"))
+    rows = at.join(nodes, "id").select("key", "at.p", "at.q", "id", "n", "comp", "bands", "sig", "part")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     # round one has tested pairs with the lesser id first
     second = written(_crossed(rows, least, percent).alias("s").join(tested.alias("t"), F.expr("least(s.a, s.b) = t.a AND greatest(s.a, s.b) = t.b"), "left_anti"), "second")
+    dropped(nodes, tested, of)
     more = written(verified(second, texts, words, percent), "more")
     if not more.isEmpty():
-        classes = written(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "final")
-    ends = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
-    every = ends.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        before = classes
+        classes = written(fewer_files(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))), "classes")
+        dropped(before)
+    dropped(second, more)
+    ends = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    every = counts.join(ends, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return fewer_files(every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 __all__ = ["features", "least_matches", "near_dedup", "shingles", "signature", "survivors"]

@@ -22,13 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import BATCH_ROWS, dropped, small_batches, written
+from affinis.llm.common import dropped, numbers, small_batches, written
 
 KEY, GRAM = 20, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Rows of one Arrow batch of numbers, where the session does not ask for fewer.
-NUMBERS = 1 << 14
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -81,14 +79,8 @@ def _edges(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbers(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``written``, with Arrow batches that suit rows of a few numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    if int(was) == BATCH_ROWS:
-        spark.conf.set(key, str(NUMBERS))
-    try:
+    with numbers(spark):
         return written(df, name)
-    finally:
-        spark.conf.set(key, was)
 
 
 def _columns(batches) -> list[np.ndarray]:
