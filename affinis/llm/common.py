@@ -85,14 +85,16 @@ NUMBERS = 1 << 14
 @contextmanager
 def numbers(spark: SparkSession):
     """Arrow batches that suit rows of a few numbers, for what is run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    if int(was) == BATCH_ROWS:
-        spark.conf.set(key, str(NUMBERS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(rows), spark.conf.get(size)
+    if was == (str(BATCH_ROWS), str(BATCH_BYTES)):
+        spark.conf.set(rows, str(NUMBERS))
+        spark.conf.set(size, str(BATCH_BYTES // 4))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        spark.conf.set(rows, was[0])
+        spark.conf.set(size, was[1])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,30 +6,41 @@
 2. Every chunk is exploded into its substrings of bounded length, which are equi-joined to the piece
    table. The matches are the edges of the chunk's lattice, grouped by chunk. The join side that is
    broadcast is the piece table, whose size the model fixes.
-3. Higher-order aggregates fold each lattice. ``viterbi`` finds the path of the best total score
-   (what a unigram model asks for). ``merge`` finds the path that a BPE model asks for: it joins the
-   best-scored adjacent pair again and again. ``auto`` takes what the model file says.
-4. Documents are put together from the chunks: frequent chunks from a broadcast table of fixed size,
-   all others by a join on the document.
+3. Higher-order aggregates fold each lattice to a path, which is kept as one number: a bit for each
+   boundary between pieces. ``viterbi`` finds the path of the best total score (what a unigram model
+   asks for). ``merge`` finds the path that a BPE model asks for: it joins the best-scored adjacent
+   pair again and again. Both paths are there for every chunk; the model file says which one gives
+   ``ids``.
+4. Documents are put together from the chunks, in blocks of bounded size. Paths of frequent chunks
+   come from a broadcast table of fixed size. All others are joined by chunk and sent to the blocks
+   that hold them, where they meet the block's documents.
+
+A block is named by its place in the scan. Where a scan deals its rows otherwise when it is read
+again, a block misses paths and folds those chunks by itself, with the same result.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, small_batches, written
+from affinis.llm.common import dropped, numbers, small_batches, written
 
 BLANK = "▁"
-LONGEST = 48  # code points of a chunk that is folded in SQL; its boundaries fit a bigint
+LONGEST = 40  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
 PART = 20_000  # chunks whose lattices one task holds
-HOT = 131_072  # entries of the broadcast table of frequent chunks
+HOT = 262_144  # entries of the broadcast table of frequent chunks
+BLOCK = 4 << 20  # code points of the documents that are put together at once
+WORDS = 300_000  # distinct words that a task holds
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COARSE = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+
+
 @dataclass
 class Model:
     pieces: list[str]
@@ -40,11 +51,11 @@ class Model:
     prefix: bool = True
     ids: dict[str, int] = field(default_factory=dict)  # pieces that stand for text
 
-    @property
+    @cached_property
     def widest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    @property
+    @cached_property
     def cutter(self) -> re.Pattern:
         """Chunks of the escaped text: a run of letters, one digit, or a run of other signs, each with
         the blanks before it. If a piece reaches across such a cut, chunks end at blanks only."""
@@ -55,7 +66,7 @@ class Model:
         whole = re.compile(rf"{BLANK}*(?:{letters}|\d|{signs}|{control})?")
         return fine if all(whole.fullmatch(p) for p in self.ids) else COARSE
 
-    @property
+    @cached_property
     def penalty(self) -> float:
         """Score of a code point that is no piece, as the library sets it."""
         return min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
@@ -87,27 +98,27 @@ def _spelled(ch: str, m: Model) -> list[int]:
     return [m.bytes_[b] for b in ch.encode("utf-8", "surrogatepass")] if m.bytes_ else [m.unknown]
 
 
-def fold_viterbi(chunk: str, m: Model) -> list[int]:
-    """The best path of one chunk, in Python; for chunks beyond LONGEST, and as a check of the fold."""
-    n, widest = len(chunk), m.widest
-    best = [(0.0, 0)] + [(-np.inf, 0)] * n
+def bounds_viterbi(chunk: str, m: Model) -> list[int]:
+    """Boundaries of the best path of one chunk, in Python; for chunks beyond LONGEST, and as a check
+    of the fold. Of equal paths the one with the longest last piece stays, as in the library."""
+    n, widest, penalty, ids, scores = len(chunk), m.widest, m.penalty, m.ids, m.scores
+    best = [0.0] + [-np.inf] * n
+    back = [0] * (n + 1)
     for e in range(1, n + 1):
         for s in range(max(0, e - widest), e):
-            i = m.ids.get(chunk[s:e])
-            w = m.scores[i] if i is not None else m.penalty if e - s == 1 else None
-            if w is not None and best[s][0] + w > best[e][0]:
-                best[e] = best[s][0] + w, s
-    out: list[list[int]] = []
+            i = ids.get(chunk[s:e])
+            w = scores[i] if i is not None else penalty if e - s == 1 else None
+            if w is not None and best[s] + w > best[e]:
+                best[e], back[e] = best[s] + w, s
+    out = [n]
     while n:
-        s = best[n][1]
-        i = m.ids.get(chunk[s:n])
-        out.append([i] if i is not None else _spelled(chunk[s:n], m))
-        n = s
-    return [i for x in reversed(out) for i in x]
+        n = back[n]
+        out.append(n)
+    return out[::-1]
 
 
-def fold_merge(chunk: str, m: Model) -> list[int]:
-    """Best-first merging of one chunk with a priority queue, in Python."""
+def bounds_merge(chunk: str, m: Model) -> list[int]:
+    """Boundaries after best-first merging of one chunk with a priority queue, in Python."""
     import heapq
 
     parts = list(chunk)
@@ -134,71 +145,115 @@ def fold_merge(chunk: str, m: Model) -> list[int]:
         offer(i)
         if left[i] >= 0:
             offer(left[i])
+    return [i for i, p in enumerate(parts) if p] + [len(chunk)]
+
+
+def ids_at(chunk: str, bounds: list[int], m: Model) -> list[int]:
+    """The ids of the pieces between the boundaries."""
     out: list[int] = []
-    for p in parts:
-        if p:
-            out += [m.ids[p]] if p in m.ids else _spelled(p, m)
+    for s, e in zip(bounds, bounds[1:], strict=False):
+        i = m.ids.get(chunk[s:e])
+        out += [i] if i is not None else _spelled(chunk[s:e], m)
     return out
 
 
+def fold_viterbi(chunk: str, m: Model) -> list[int]:
+    return ids_at(chunk, bounds_viterbi(chunk, m), m)
+
+
+def fold_merge(chunk: str, m: Model) -> list[int]:
+    return ids_at(chunk, bounds_merge(chunk, m), m)
+
+
 # --- the lattice --------------------------------------------------------------------------------
 
 
-def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = 200_000) -> DataFrame:
+def words_of(text: str, m: Model) -> tuple[list[str], list[str]]:
+    """The text at its blanks: words that have one blank before them (without it), and pieces of the
+    escaped text. Chunks never go on behind a blank, so words can be cut one by one."""
+    words = text.split(" ")
+    if "" not in words:
+        if m.prefix:
+            return words, []
+        return words[1:], words[:1]
+    return [], COARSE.findall(escaped(text, m.prefix))
+
+
+def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> DataFrame:
     """(chunk, n): distinct chunks of all texts with their counts, combined in each task first."""
     from collections import Counter
 
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
-    find, prefix = m.cutter.findall, m.prefix
+    find = m.cutter.findall
 
     def run(batches):
         held: Counter = Counter()
+        odd: Counter = Counter()
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["chunk", "n"])
-            held.clear()
-            return made
+            made: dict[str, int] = {}
+            for lead, words in ((BLANK, held), ("", odd)):
+                for w, n in words.items():
+                    for c in find(lead + w):
+                        made[c] = made.get(c, 0) + n
+            held.clear(), odd.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(made.keys()), pa.string()), pa.array(list(made.values()), pa.int64())], names=["chunk", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    held.update(find(escaped(t, prefix)))
-            if len(held) >= flush:
+                    words, rest = words_of(t, m)
+                    held.update(words), odd.update(rest)
+            if len(held) + len(odd) >= flush:
                 yield out()
-        if held:
+        if held or odd:
             yield out()
 
     return docs.select(F.col(text)).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-#: An edge is one bigint: rank (30 bits, the lower the better) . s . e (6 bits each) . id (16 bits).
-#: Packed edges sort by rank and then by place, and a list of them is cheap to collect.
-RANK, START_AT, END_AT = 28, 22, 16
+#: An edge is one bigint: end . start (6 bits each) . late (1 bit) . rank (29 bits, the lower the
+#: better) . id (16 bits). Packed edges sort by their end and then by their start.
+END_AT, START_AT, LATE_AT, RANK = 52, 46, 45, 16
+RANKS = (1 << 29) - 1
 NO_PIECE = 0xFFFF
+#: A path is one bigint, with a bit for each boundary; with integer scores its cost stands above.
+COST = LONGEST + 1
+PATHS = (1 << COST) - 1
 
 
-def ranks(m: Model) -> tuple[dict[str, int], int, str]:
-    """(rank of each piece, rank of an unknown code point, SQL for the score of an edge ``x``)."""
+def ranks(m: Model) -> tuple[dict[str, int], int, list[float]]:
+    """(rank of each piece, rank of an unknown code point, score of each rank or nothing). If scores
+    are integers, ranks are the scores with the sign turned, and the cost of a path is their sum."""
     own = {p: m.scores[i] for p, i in m.ids.items()}
-    if all(v == int(v) and 0 <= -v < 2**30 - 16 for v in own.values()):
-        return {p: int(-v) for p, v in own.items()}, int(-m.penalty), f"(-cast(shiftright(x, {RANK}) AS double))"
+    if all(v == int(v) and v <= 0 for v in own.values()) and -LONGEST * m.penalty < 2 ** (63 - COST):
+        return {p: int(-v) for p, v in own.items()}, int(-m.penalty), []
     order = sorted({*own.values(), m.penalty}, reverse=True)
     at = {v: k for k, v in enumerate(order)}
-    table = ", ".join(f"{v!r}D" for v in order)
-    return {p: at[v] for p, v in own.items()}, at[m.penalty], f"get(array({table}), cast(shiftright(x, {RANK}) AS int))"
+    return {p: at[v] for p, v in own.items()}, at[m.penalty], order
+
+
+def late_pieces(m: Model) -> set[str]:
+    """Pieces that two neighbours make of which one has a lesser score than the piece: merging them
+    can become possible after worse pieces have been made."""
+    own = {p: m.scores[i] for p, i in m.ids.items()}
+    later = lambda part, v: len(part) > 1 and part in own and own[part] <= v
+    whole = lambda part: len(part) == 1 or part in own
+    return {p for p, v in own.items() if any(whole(p[:k]) and whole(p[k:]) and (later(p[:k], v) or later(p[k:], v)) for k in range(1, len(p)))}
 
 
 def lattices(chunks: DataFrame, m: Model) -> DataFrame:
-    """(chunk, n, edges): packed edges in order of rank and place; code points that are no piece have
+    """(chunk, n, edges): packed edges in order of end and start; code points that are no piece have
     an edge of their own. ``chunks`` must be dealt by chunk: then neither the explode, the join nor
     the grouping moves rows."""
     spark = chunks.sparkSession
     rank, lost, _ = ranks(m)
     if max(m.ids.values(), default=0) >= NO_PIECE:
         raise ValueError("more pieces than an edge can name")
-    table = spark.createDataFrame([(p, rank[p] << RANK | i) for p, i in m.ids.items()], "piece string, code long")
+    late = late_pieces(m)
+    table = spark.createDataFrame([(p, (p in late) << LATE_AT | rank[p] << RANK | i) for p, i in m.ids.items()], "piece string, code long")
     # two plain explodes, so that substrings are cut in generated code and not in a lambda
     starts = chunks.where(F.length("chunk") <= LONGEST).select("chunk", "n", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
     spans = starts.select("chunk", "n", "s", F.explode(F.expr(f"sequence(1, least({m.widest}, length(chunk) - s))")).alias("l"))
@@ -208,90 +263,67 @@ def lattices(chunks: DataFrame, m: Model) -> DataFrame:
     return sub.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR l = 1").groupBy("chunk").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _ids_of(start: str, found: str, m: Model) -> str:
-    """SQL: the ids of a segment, its piece or else the byte pieces of its only code point."""
-    if not m.bytes_:
-        return f"array(CASE WHEN {found} = {NO_PIECE} THEN {m.unknown} ELSE {found} END)"
-    char = f"encode(substring(chunk, {start} + 1, 1), 'UTF-8')"
-    return f"CASE WHEN {found} < {NO_PIECE} THEN array({found}) ELSE transform(sequence(1, octet_length({char})), b -> {m.bytes_[0]} + cast(conv(hex(substring({char}, b, 1)), 16, 10) AS int)) END"
-
-
-def _best(m: Model) -> str:
-    """SQL: an array of (score, s, id, ids so far) for each position, folded over the edges."""
-    score = ranks(m)[2]
-    s, i = f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"cast(x & {NO_PIECE} AS int)"
-    more = f"CASE WHEN {i} < {NO_PIECE} THEN 1 ELSE {'octet_length(substring(chunk, ' + s + ' + 1, 1))' if m.bytes_ else '1'} END"
-    new = f"named_struct('score', get(acc, {s}).score + {score}, 's', {s}, 'id', {i}, 'n', get(acc, {s}).n + {more})"
-    step = f"""aggregate(filter(edges, x -> (shiftright(x, {END_AT}) & 63) = at), named_struct('score', -1.7e308D, 's', 0, 'id', 0, 'n', 0),
-        (a, x) -> CASE WHEN get(acc, {s}).score + {score} > a.score OR (get(acc, {s}).score + {score} = a.score AND {s} < a.s) THEN {new} ELSE a END)"""
-    return f"aggregate(sequence(1, length(chunk)), array(named_struct('score', 0.0D, 's', 0, 'id', 0, 'n', 0)), (acc, at) -> concat(acc, array({step})))"
-
-
-def viterbi_ids(m: Model) -> Column:
-    """Fold of ``edges`` to the ids of the best path; of equal paths the one with the longest last
-    piece stays, as in the library."""
-    walk = """aggregate(sequence(1, length(chunk)), named_struct('at', length(chunk), 'path', cast(array() AS array<struct<s:int,id:int>>)),
-        (w, k) -> CASE WHEN w.at = 0 THEN w ELSE named_struct('at', get(best, w.at).s, 'path', concat(array(named_struct('s', get(best, w.at).s, 'id', get(best, w.at).id)), w.path)) END, w -> w.path)"""
-    return F.expr(f"aggregate(array({_best(m)}), cast(array() AS array<array<int>>), (o, best) -> transform({walk}, p -> {_ids_of('p.s', 'p.id', m)}), o -> flatten(o))")
-
-
-def viterbi_count(m: Model) -> Column:
-    """The number of ids on the best path, without the path: one fold over the edges by end and start.
-
-    ``done`` holds (score, n) of every position that is settled, the rest of the state is the best
-    edge so far into the position in hand. Of equal edges the first, longest one stays."""
-    rank = f"shiftright(x, {RANK})"
-    by_end = f"array_sort(transform(edges, x -> shiftleft(shiftright(x, {END_AT}) & 63, 52) | shiftleft(shiftright(x, {START_AT}) & 63, 46) | shiftleft({rank}, 16) | (x & {NO_PIECE})))"
-    score = ranks(m)[2].replace(rank, f"(shiftright(y, 16) & {(1 << 30) - 1})")
-    e, s = "cast(shiftright(y, 52) AS int)", "cast(shiftright(y, 46) & 63 AS int)"
-    more = f"CASE WHEN (y & {NO_PIECE}) < {NO_PIECE} THEN 1 ELSE {'octet_length(substring(chunk, ' + s + ' + 1, 1))' if m.bytes_ else '1'} END"
-    grown = "CASE WHEN a.e > 0 THEN concat(a.done, array(named_struct('score', a.score, 'n', a.n))) ELSE a.done END"
-    start = "named_struct('done', array(named_struct('score', 0.0D, 'n', 0)), 'e', 0, 'score', 0.0D, 'n', 0)"
-    step = f"""CASE WHEN {e} > a.e THEN element_at(transform(array({grown}), d -> named_struct('done', d, 'e', {e}, 'score', get(d, {s}).score + {score}, 'n', get(d, {s}).n + {more})), 1)
-        WHEN get(a.done, {s}).score + {score} > a.score THEN named_struct('done', a.done, 'e', a.e, 'score', get(a.done, {s}).score + {score}, 'n', get(a.done, {s}).n + {more}) ELSE a END"""
-    return F.expr(f"aggregate({by_end}, {start}, (a, y) -> {step}, a -> a.n)")
-
-
-def merge_ids(m: Model) -> Column:
-    """Fold of ``edges`` to the ids of best-first merging. Boundaries are bits of a bigint; an edge
-    can be merged if both its ends are boundaries and one boundary lies between them."""
-    s, e = f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"cast(shiftright(x, {END_AT}) & 63 AS int)"
-    joins = f"transform(filter(edges, x -> {e} - {s} > 1), x -> named_struct('ends', shiftleft(1L, {s}) | shiftleft(1L, {e}), 'inner', shiftleft(1L, {e}) - shiftleft(1L, {s} + 1)))"
-    mask = f"""aggregate(array({joins}), shiftleft(1L, length(chunk) + 1) - 1L, (m0, js) -> CASE WHEN size(js) = 0 THEN m0 ELSE
-        aggregate(sequence(1, length(chunk) - 1), m0, (m, k) -> m & ~coalesce(get(filter(js, j -> (m & j.ends) = j.ends AND bit_count(m & j.inner) = 1), 0).inner, 0L)) END)"""
-    # an edge is kept if its ends are boundaries with none between; each segment has exactly one
-    inside = f"(shiftleft(1L, {e}) - shiftleft(1L, {s} + 1))"
-    kept = f"filter(edges, x -> (m & (shiftleft(1L, {s}) | shiftleft(1L, {e}))) = (shiftleft(1L, {s}) | shiftleft(1L, {e})) AND (m & {inside}) = 0)"
-    path = f"array_sort(transform({kept}, x -> shiftleft(shiftright(x, {START_AT}) & 63, 16) | (x & {NO_PIECE})))"
-    start, found = "cast(shiftright(y, 16) AS int)", f"cast(y & {NO_PIECE} AS int)"
-    return F.expr(f"aggregate(array({mask}), cast(array() AS array<array<int>>), (o, m) -> transform({path}, y -> {_ids_of(start, found, m)}), o -> flatten(o))")
-
-
-def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True) -> DataFrame:
-    """(chunk, n, ids, other): every distinct chunk of the texts with its ids; ``other`` is the number
-    of ids that the other algorithm gives, null unless ``both``. Written to the shared folder."""
-    import pyarrow as pa
-
+def viterbi_path(m: Model) -> Column:
+    """Fold of ``edges`` to the path of the best total score; of equal paths the one with the longest
+    last piece stays. ``done`` holds the best path to every settled position, ``now`` the best one so
+    far to the position in hand."""
+    e, s, rank = f"cast(shiftright(x, {END_AT}) AS int)", f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"(shiftright(x, {RANK}) & {RANKS})"
+    order = ranks(m)[2]
+    if not order:  # of two paths with equal costs, the lesser number has the longer last piece
+        weight = f"(shiftleft({rank}, {COST}) | shiftleft(1L, {e}))"
+        step = f"""CASE WHEN {e} > size(a.done) THEN named_struct('done', concat(a.done, array(a.now)), 'now', (CASE WHEN {s} = size(a.done) THEN a.now ELSE get(a.done, {s}) END) + {weight})
+            ELSE named_struct('done', a.done, 'now', least(a.now, get(a.done, {s}) + {weight})) END"""
+        return F.expr(f"aggregate(edges, named_struct('done', array(1L), 'now', {2**63 - 1}L), (a, x) -> {step}, a -> a.now & {PATHS}L)")
+    score = f"get(array({', '.join(f'{v!r}D' for v in order)}), cast({rank} AS int))"
+    end = f"shiftleft(1L, {e})"
+    grown = "CASE WHEN {e} > size(a.done) THEN concat(a.done, array(named_struct('score', a.score, 'path', a.path))) ELSE a.done END".format(e=e)
+    step = f"""CASE WHEN {e} > size(a.done) THEN element_at(transform(array({grown}), d -> named_struct('done', d, 'score', get(d, {s}).score + {score}, 'path', get(d, {s}).path | {end})), 1)
+        WHEN get(a.done, {s}).score + {score} > a.score THEN named_struct('done', a.done, 'score', get(a.done, {s}).score + {score}, 'path', get(a.done, {s}).path | {end}) ELSE a END"""
+    return F.expr(f"aggregate(edges, named_struct('done', array(named_struct('score', 0.0D, 'path', 1L)), 'score', -1.7e308D, 'path', 0L), (a, x) -> {step}, a -> a.path)")
+
+
+def merge_path(m: Model) -> Column:
+    """Fold of ``edges`` to the path that best-first merging leaves. An edge can be merged if both its
+    ends are boundaries and one boundary lies between them.
+
+    One pass over the edges in order of rank does it, unless a merge makes an edge possible whose turn
+    is over. Only late edges can be such; where one is, the path becomes -1 and a fold that looks for
+    the best edge before every merge takes over."""
+    rank = f"(shiftright(x, {RANK}) & {RANKS})"
+    # edges as numbers of rank . start . end, in that order
+    packed = f"x -> shiftleft({rank}, 12) | shiftleft(shiftright(x, {START_AT}) & 63, 6) | shiftright(x, {END_AT})"
+    order = f"sort_array(transform(filter(edges, x -> (shiftright(x, {END_AT}) - (shiftright(x, {START_AT}) & 63)) > 1), {packed}))"
+    s, e = "cast(shiftright({0}, 6) & 63 AS int)", "cast({0} & 63 AS int)"
+    ends = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
+    inner = f"(shiftleft(1L, {e}) - shiftleft(2L, {s}))"
+    can = lambda path, y: f"({path} & {ends.format(y)}) = {ends.format(y)} AND bit_count({path} & {inner.format(y)}) = 1"
+    late = f"transform(filter(edges, x -> (shiftright(x, {LATE_AT}) & 1) = 1), {packed})"
+    start = "shiftleft(1L, length(chunk) + 1) - 1L"
+    merged = f"path & ~{inner.format('y')}"
+    step = f"""CASE WHEN path < 0 OR NOT ({can('path', 'y')}) THEN path
+        WHEN size(late) > 0 AND exists(late, z -> z < y AND {can('(' + merged + ')', 'z')}) THEN -1L ELSE {merged} END"""
+    slow = f"""aggregate(sequence(1, greatest(length(chunk) - 1, 1)), {start}, (path, k) -> path & ~coalesce(get(transform(slice(filter(js, y -> {can('path', 'y')}), 1, 1), y -> {inner.format('y')}), 0), 0L))"""
+    fast = f"aggregate(array({late}), 0L, (o, late) -> aggregate(js, {start}, (path, y) -> {step}))"
+    return F.expr(f"aggregate(array({order}), 0L, (o, js) -> CASE WHEN size(js) = 0 THEN {start} ELSE aggregate(array({fast}), 0L, (u, quick) -> CASE WHEN quick >= 0 THEN quick ELSE {slow} END) END)")
+
+
+def bounds_of(path: int) -> list[int]:
+    """The boundaries that the bits of a path stand for."""
+    return [i for i in range(path.bit_length()) if path >> i & 1]
+
+
+def dictionary(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
+    """(chunk, n, merge, viterbi): every distinct chunk of at most LONGEST code points with its two
+    paths. Written to the shared folder."""
     spark = docs.sparkSession
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
-    mine = merge_ids(m) if m.algorithm == "merge" else viterbi_ids(m)
-    rest = viterbi_count(m) if m.algorithm == "merge" else F.size(merge_ids(m))
     counts = written(chunk_counts(docs, text, m), "chunks")
     # partitions of a fixed number of chunks hold their edges in memory; beyond that the aggregate sorts
     spark.conf.set(key, str(2 * PART))
     try:
         dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
-        short = lattices(dealt, m).select("chunk", "n", mine.alias("ids"), (rest if both else F.lit(None)).cast("int").alias("other"))
-
-        def long_ones(batches):
-            one, two = (fold_merge, fold_viterbi) if m.algorithm == "merge" else (fold_viterbi, fold_merge)
-            for b in batches:
-                cs = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([one(c, m) for c in cs], pa.list_(pa.int32())), pa.array([len(two(c, m)) if both else None for c in cs], pa.int32())], names=["chunk", "n", "ids", "other"])
-
-        long = counts.where(F.length("chunk") > LONGEST).mapInArrow(long_ones, "chunk string, n long, ids array<int>, other int")
-        out = written(short.unionByName(long), "pieces")
+        out = written(lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi")), "pieces")
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     dropped(counts)
@@ -301,22 +333,112 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True)
 # --- documents ----------------------------------------------------------------------------------
 
 
-def _hot(pieces: DataFrame, most: int) -> dict[str, tuple[bytes, int]]:
-    """The most frequent chunks of bounded length: at most ``most`` entries."""
-    rows = pieces.where(F.length("chunk") <= LONGEST).orderBy(F.desc("n"), "chunk").limit(most).select("chunk", "ids", "other").toArrow()
-    ids = rows.column("ids").combine_chunks() if rows.num_rows else None
-    if ids is None:
-        return {}
-    flat, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy()
-    ends = (ends - ends[0]) * 4
-    other = rows.column("other").to_pylist()
-    return {c: (flat[ends[i] : ends[i + 1]], other[i] or 0) for i, c in enumerate(rows.column("chunk").to_pylist())}
+def _hot(pieces: DataFrame, most: int) -> DataFrame:
+    """The most frequent chunks: at most ``most``, all of a count or none."""
+    total, least = 0, None
+    counts = pieces.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("m")).collect()
+    for r in sorted(counts, reverse=True):
+        total += r.m
+        if total > most:
+            break
+        least = r.n
+    return pieces.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
+class Coder:
+    """Ids of texts from the paths of chunks. One for each task."""
+
+    def __init__(self, m: Model, frequent: dict[str, tuple[int, int]], both: bool):
+        self.m, self.frequent, self.both, self.find = m, frequent, both, m.cutter.findall
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # of frequent chunks, and of those beyond LONGEST
+        self.rare: dict[str, tuple[int, int]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+
+    def block(self) -> None:
+        """Forget what belongs to the block before."""
+        self.rare, self.words = {}, {}
+
+    def learn(self, chunks: list[str], merge: list[int], viterbi: list[int]) -> None:
+        self.rare.update(zip(chunks, zip(merge, viterbi, strict=True), strict=True))
+
+    def _ids(self, chunk: str) -> tuple[bytes, bytes]:
+        got = self.known.get(chunk)
+        if got is None:
+            m = self.m
+            paths = self.frequent.get(chunk) or self.rare.get(chunk)
+            bounds = [bounds_of(p) for p in paths] if paths else [bounds_merge(chunk, m), bounds_viterbi(chunk, m)]
+            if m.algorithm == "viterbi":
+                bounds.reverse()
+            one = np.array(ids_at(chunk, bounds[0], m), "<i4").tobytes()
+            two = b"" if not self.both else one if bounds[0] == bounds[1] else np.array(ids_at(chunk, bounds[1], m), "<i4").tobytes()
+            got = one, two
+            if chunk in self.frequent or len(chunk) > LONGEST and len(self.known) < 2 * HOT:
+                self.known[chunk] = got
+        return got
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        got = [self._ids(c) for c in self.find(word)]
+        return got[0] if len(got) == 1 else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
+
+    def text(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids of the model's algorithm and of the other one, as 32-bit numbers."""
+        if not text:
+            return b"", b""
+        words, rest = words_of(text, self.m)
+        held, got = self.words, [self._word(w) for w in rest]
+        for w in words:
+            x = held.get(w)
+            if x is None:
+                if len(held) >= WORDS:
+                    held.clear()
+                x = held[w] = self._word(BLANK + w)
+            got.append(x)
+        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got]) if self.both else b""
+
+
+def _blocks(batches, at: int):
+    """(number of the block, its batches), each of about BLOCK code points in column ``at``. The number
+    comes from the place of the rows in the scan, whatever the size of its batches."""
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    k = TaskContext.get().partitionId() << 24
+    held, size = [], 0
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            done = sizes[start - 1] if start else 0
+            stop = int(np.searchsorted(sizes, done + BLOCK - size)) + 1  # the row that fills the block
+            held.append(b.slice(start, stop - start))
+            if stop <= b.num_rows:
+                yield k, held
+                held, size, k = [], 0, k + 1
+            else:
+                size += int(sizes[-1] - done)
+            start = stop
+    if held:
+        yield k, held
+
+
+def packed(chunks: list[str], merge: np.ndarray, viterbi: np.ndarray) -> bytes:
+    """Chunks and their paths as bytes: count, lengths, paths, chunks."""
+    raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+    return b"".join([np.array([len(raw)], "<u4").tobytes(), np.array([len(r) for r in raw], np.uint8).tobytes(), merge.astype("<i8").tobytes(), viterbi.astype("<i8").tobytes(), *raw])
+
+
+def unpacked(data: bytes) -> tuple[list[str], list[int], list[int]]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = 4 + 17 * n + np.cumsum(np.frombuffer(data, np.uint8, n, 4)).astype(np.int64)
+    starts = np.append(4 + 17 * n, ends)[:-1]
+    merge, viterbi = np.frombuffer(data, "<i8", 2 * n, 4 + n).reshape(2, n).tolist()
+    return [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], merge, viterbi
 
 
 def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT) -> DataFrame:
-    """Columns ``keep`` (default: all) plus ids, n_ids and n_other.
+    """Columns ``keep`` (default: all) plus ids, n_ids, other_ids and n_other.
 
-    ids are the model's ids of the whole text. n_other counts the ids of the other algorithm (the
+    ids are the model's ids of the whole text. other_ids are those of the other algorithm (the
     best-score path for a BPE model, merging for a unigram model), null unless ``both``. Null and
     empty texts have no ids. Repeated rows get equal ids. Columns with the new names give way.
     """
@@ -325,64 +447,96 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
 
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = dictionary(docs, m, text, both)
-    frequent = spark.sparkContext.broadcast(_hot(pieces, hot))
-    find, prefix = m.cutter.findall, m.prefix
-    new = StructType.fromDDL("ids array<int>, n_ids int, n_other int")
+    pieces = dictionary(docs, m, text)
+    top = _hot(pieces, hot).select("chunk", "merge", "viterbi").toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True), strict=True)))
+    new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
-    rows = docs.select(*names, F.col(text).alias("_text_"), F.xxhash64(*[F.col(c) for c in names if dict(docs.dtypes)[c].split("<")[0] != "map"], F.col(text)).alias("_key_"))
+    rows = docs.select(*names, F.col(text).alias("_text_"))
+    schema = StructType([*rows.schema.fields[:-1], *new.fields])
+
+    def spots(batches):
+        find, known, seen = m.cutter.findall, frequent.value, {}
+        for block, held in _blocks(batches, 0):
+            words: set[str] = set()
+            rest: set[str] = set()
+            for b in held:
+                for t in b.column(0).to_pylist():
+                    if t:
+                        one, two = words_of(t, m)
+                        words.update(one), rest.update(two)
+            out: set[str] = set()
+            for w in words:
+                got = seen.get(w)
+                if got is None:
+                    got = tuple([c for c in find(BLANK + w) if c not in known and len(c) <= LONGEST])
+                    if len(seen) < WORDS:
+                        seen[w] = got
+                out.update(got)
+            for w in rest:
+                out.update([c for c in find(w) if c not in known and len(c) <= LONGEST])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(list(out), pa.string())], names=["block", "chunk"])
+
+    def grouped(batches):
+        """The paths of a task's chunks, packed by block."""
 
-    def rare(batches):
+        def out():
+            block = np.concatenate([b.column(0).to_numpy() for b in held])
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            chunk = pa.concat_arrays([b.column(1) for b in held]).take(pa.array(order)).to_pylist()
+            one, two = (np.concatenate([b.column(c).to_numpy() for b in held])[order] for c in (2, 3))
+            ends = np.append(cuts[1:], len(block))
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([packed(chunk[s:e], one[s:e], two[s:e]) for s, e in zip(cuts, ends, strict=True)], pa.binary())], names=["block", "data"])
+
+        held, n = [], 0
         for b in batches:
-            known = frequent.value
-            key, chunk = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    new_ = {c for c in find(escaped(t, prefix)) if c not in known}
-                    key += [k] * len(new_)
-                    chunk += new_
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.string())], names=["_key_", "chunk"])
-
-    spots = rows.select("_key_", "_text_").mapInArrow(rare, "_key_ long, chunk string")
-    found = spots.join(pieces.select("chunk", "ids", "other"), "chunk").groupBy("_key_").agg(F.collect_list(F.struct("chunk", "ids", "other")).alias("_rare_"))
-    found = written(found, "rare")
-    dropped(pieces)
-    whole = rows.join(found, "_key_", "left").select(*names, "_text_", "_rare_")
-    schema = StructType([*whole.schema.fields[: len(names)], *new.fields])
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= 1 << 18:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    def stowed(batches):
+        for block, held in _blocks(batches, len(names)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
+        coder, at = Coder(m, frequent.value, both), None
         for b in batches:
-            known = frequent.value
-            parts, sizes, others = [], [], []
-            rares = b.column(len(names) + 1)
-            for t, rare in zip(b.column(len(names)).to_pylist(), _unpacked(rares), strict=True):
-                got = [known.get(c) or rare[c] for c in find(escaped(t, prefix))] if t else []
-                data = b"".join([x[0] for x in got])
-                parts.append(data), sizes.append(len(data) // 4), others.append(sum([x[1] for x in got]) if both else None)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids, pa.array(sizes, pa.int32()), pa.array(others, pa.int32())], names=schema.names)
-
-    return whole.mapInArrow(put, schema)
-
-
-def _unpacked(rares) -> list[dict[str, tuple[bytes, int]]]:
-    """A column of lists of (chunk, ids, other) as one dictionary for each row; by whole columns,
-    because Python objects for each nested value would cost more than all else here."""
-    flat = rares.flatten()
-    out: list[dict[str, tuple[bytes, int]]] = []
-    if not len(flat):
-        return [{} for _ in range(len(rares))]
-    chunks, ids, other = flat.field(0).to_pylist(), flat.field(1), flat.field(2).to_pylist()
-    data = ids.flatten().to_numpy().astype("<i4").tobytes()
-    size = ids.value_lengths().to_numpy(zero_copy_only=False) * 4
-    ends = np.cumsum(size).tolist()
-    rows = list(zip(chunks, [(data[e - n : e], o or 0) for e, n, o in zip(ends, size.tolist(), other, strict=True)], strict=True))
-    at = 0
-    for n in rares.value_lengths().to_pylist():
-        out.append(dict(rows[at : at + (n or 0)]))
-        at += n or 0
-    return out
+            for block, is_text, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if block != at:
+                    coder.block()
+                    at = block
+                if not is_text:
+                    coder.learn(*unpacked(data))
+                    continue
+                for rows_ in pa.ipc.open_stream(data):
+                    got = [coder.text(t) for t in rows_.column(len(names)).to_pylist()]
+                    lists = []
+                    for k in range(2):
+                        sizes = np.array([len(x[k]) for x in got], np.int64) // 4
+                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.frombuffer(b"".join([x[k] for x in got]), "<i4"))), pa.array(sizes.astype(np.int32))))
+                    if not both:
+                        lists[1] = pa.nulls(len(got), pa.list_(pa.int32())), pa.nulls(len(got), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1]], names=schema.names)
+
+    with numbers(spark):
+        some = rows.select("_text_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
+        found = written(some.select("block", "chunk", "merge", "viterbi").mapInArrow(grouped, "block long, data binary"), "paths")
+    dropped(pieces)
+    texts = rows.mapInArrow(stowed, "block long, data binary")
+    every = found.select("block", F.lit(False).alias("is_text"), "data").unionByName(texts.select("block", F.lit(True).alias("is_text"), "data"))
+    return every.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(put, schema)
 
 
 def decoded(ids: list[int], m: Model) -> str:

@@ -14,7 +14,7 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs, model, keep=["doc_id"])
     back = pieces.decode(encoded, model)
-    return back.select("doc_id", "n_ids", "n_other", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
+    return back.select("doc_id", "n_ids", "n_other", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids", "other_ids")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

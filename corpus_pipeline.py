@@ -52,7 +52,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with the text that they decode to in place of the original one."""
     model = pieces.model_of(spark)
-    encoded = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], both=False).drop("n_other")
+    encoded = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], both=False).drop("other_ids", "n_other")
     return pieces.decode(encoded, model).withColumnRenamed("decoded", "text")
 
 

@@ -1,5 +1,6 @@
 """Pieces, toxicity, personal data, media and languages: round trips, brute force, edge cases."""
 
+import dataclasses
 import hashlib
 import os
 import random
@@ -54,11 +55,33 @@ def test_ids_equal_the_library_and_decode(spark, model, library):
 
 def test_folds_equal_plain_python(spark, model):
     d = pieces.dictionary(Q.table(spark, SF, "documents").limit(40), model).collect()
+    assert len(d) > 1000
     for r in d:
-        assert r.ids == pieces.fold_merge(r.chunk, model) and r.other == len(pieces.fold_viterbi(r.chunk, model)), r.chunk
+        assert pieces.bounds_of(r.merge) == pieces.bounds_merge(r.chunk, model) and pieces.bounds_of(r.viterbi) == pieces.bounds_viterbi(r.chunk, model), r.chunk
 
 
-def test_viterbi_fold_is_the_unigram_library(spark, model):
+def test_merges_that_become_possible_late(spark):
+    """abc scores better than bc, which has to be made first: one pass in order of scores would miss it."""
+    scores = {"abc": -1.0, "bc": -2.0, "a": -9.0, "b": -9.0, "c": -9.0, "cd": -3.0, "d": -9.0, "abcd": -4.0}
+    m = pieces.Model(["<unk>", *scores], [0.0, *scores.values()], 0, [], "merge", False, {p: i + 1 for i, p in enumerate(scores)})
+    assert pieces.late_pieces(m) == {"abc"}
+    rnd = np.random.RandomState(5)
+    words = {"".join(rnd.choice(list("abcdx"), rnd.randint(1, 30))) for _ in range(400)}
+    for r in pieces.dictionary(spark.createDataFrame([(w,) for w in words], "text string"), m).collect():
+        assert pieces.bounds_of(r.merge) == pieces.bounds_merge(r.chunk, m), r.chunk
+
+
+def test_scores_that_are_no_integers(spark):
+    rnd = np.random.RandomState(8)
+    scores = {p: float(-rnd.rand() * 9) for p in ["a", "b", "c", "ab", "bc", "abc", "ca", "bca", "aa"]}
+    m = pieces.Model(["<unk>", *scores], [0.0, *scores.values()], 0, [], "viterbi", False, {p: i + 1 for i, p in enumerate(scores)})
+    words = {"".join(rnd.choice(list("abcx"), rnd.randint(1, 30))) for _ in range(300)}
+    for r in pieces.dictionary(spark.createDataFrame([(w,) for w in words], "text string"), m).collect():
+        assert pieces.bounds_of(r.viterbi) == pieces.bounds_viterbi(r.chunk, m) and pieces.bounds_of(r.merge) == pieces.bounds_merge(r.chunk, m), r.chunk
+
+
+@pytest.fixture(scope="module")
+def unigram():
     """The same pieces and scores, loaded by the library as a unigram model."""
     import sentencepiece as spm
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -66,11 +89,38 @@ def test_viterbi_fold_is_the_unigram_library(spark, model):
     with open(pieces.DEFAULT_MODEL, "rb") as f:
         proto = pb.ModelProto.FromString(f.read())
     proto.trainer_spec.model_type = 1
-    unigram = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    one = pieces.Model(**{**model.__dict__, "algorithm": "viterbi"})
+    return spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+def test_best_paths_are_those_of_the_unigram_library(spark, model, unigram):
     words = spark.createDataFrame([("ofreentionin",), ("thataningingnd",), ("elleoique",), ("Schlüssel",), ("nmftmlee",)], "text string")
-    for r in pieces.dictionary(words, one).collect():
-        assert r.ids == unigram.encode(r.chunk.lstrip(pieces.BLANK)), r.chunk
+    one = dataclasses.replace(model, algorithm="viterbi")
+    for r in pieces.encode(words, one, hot=0).collect():
+        assert r.ids == unigram.encode(r.text), r.text
+    for r in pieces.encode(words, model).collect():
+        assert r.other_ids == unigram.encode(r.text) and r.n_other == len(r.other_ids), r.text
+
+
+def test_blocks_that_miss_paths_fold_by_themselves(model, library):
+    coder = pieces.Coder(model, {}, True)
+    t = "Thedreat  ofoneainhe, 12 é" + "z" * 60
+    ids, other = (np.frombuffer(x, "<i4").tolist() for x in coder.text(t))
+    assert ids == library.encode(t) and pieces.decoded(other, model) == t
+
+
+def test_packed_paths():
+    chunks = ["▁a", "", "é" * 40]
+    assert pieces.unpacked(pieces.packed(chunks, np.array([1, 2, 2**60]), np.array([3, 4, 5]))) == (chunks, [1, 2, 2**60], [3, 4, 5])
+
+
+def test_small_blocks_give_the_same(spark, model, library, monkeypatch):
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(["abc", None, "de", "", "f" * 10, "g"])], names=["t"])
+    monkeypatch.setattr(pieces, "BLOCK", 4)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 1})())
+    got = [(k - (1 << 24), [t for x in held for t in x.column(0).to_pylist()]) for k, held in pieces._blocks([b, b.slice(0, 2)], 0)]
+    assert got == [(0, ["abc", None, "de"]), (1, ["", "f" * 10]), (2, ["g", "abc"]), (3, [None])]
 
 
 def test_piece_edge_cases(spark, odd, empty, model, library):
