@@ -56,6 +56,27 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+#: Bits of a filter of keys; as 64-bit words it has at most 2**20 rows, whatever the input.
+FILTER_BITS = 26
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def key_filter(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """(word, mask): the bits of the hashes of ``key``, in at most 2**bits / 64 rows. Written."""
+    at = keys.select(_bit(key, bits).alias("bit"))
+    return written(at.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")), "bits")
+
+
+def marked(rows: DataFrame, key: Column, words: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with the column ``name``: false only if ``key`` is none of the keys of the filter. The
+    filter is broadcast; it lets through too much where it is full, and never too little."""
+    at = rows.withColumn("_bit_", _bit(key, bits)).withColumn("word", F.shiftright("_bit_", 6))
+    return at.join(F.broadcast(words), "word", "left").withColumn(name, F.coalesce(F.expr("shiftright(mask, cast(_bit_ & 63 AS int)) & 1L"), F.lit(0)) == 1).drop("word", "_bit_", "mask")
+
+
 def fewer_files(df: DataFrame) -> DataFrame:
     """``df`` in at most an eighth of the session's shuffle partitions, though never in fewer than two
     for each core: for short rows, whose files would be many and tiny."""

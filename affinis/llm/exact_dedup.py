@@ -22,13 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import SPACES, fewer_files, small_batches, written
+from affinis.llm.common import FILTER_BITS, SPACES, fewer_files, key_filter, marked, small_batches, written
 
 #: Lengths and ids are packed into one decimal (length first, then the smaller id), because the
 #: hash aggregate holds decimals in place while structs would force a sort on whole texts.
 SPAN = 10**20
 TOP = 2**63
-FILTER_BITS = 26
 
 
 def normalised(text: Column) -> Column:
@@ -61,20 +60,9 @@ def exact_groups(rows: DataFrame, salts: int) -> DataFrame:
     return whole.select("digest", "norm", F.when(low > 0, keep).cast("bigint").alias("keep_id"), "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
 
 
-def repeated_bits(light: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(word, mask): the bits of all digests of (digest, salt) that occur twice."""
-    counts = light.groupBy("digest", "salt").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
-    return counts.select(_bit(bits).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 AS int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-
-
-def _bit(bits: int) -> Column:
-    return F.xxhash64("digest").bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def _marked(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``twice``: false only if the digest occurs once."""
-    at = rows.withColumn("bit", _bit(bits)).withColumn("word", F.shiftright("bit", 6))
-    return at.join(F.broadcast(words), "word", "left").withColumn("twice", F.coalesce(F.expr("shiftright(mask, cast(bit & 63 AS int)) & 1L"), F.lit(0)) == 1).drop("word", "bit", "mask")
+def repeated_digests(light: DataFrame) -> DataFrame:
+    """Digests that occur twice, of (digest, salt)."""
+    return light.groupBy("digest", "salt").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16, bits: int = FILTER_BITS) -> DataFrame:
@@ -92,10 +80,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     salt = _salt(F.col("doc_id"), salts).alias("salt")
     light = written(source.select("doc_id", digest_of(F.col("text")).alias("digest"), salt), "digests")
-    words = written(repeated_bits(light, bits), "bits")
+    digest = F.col("digest")
+    words = key_filter(repeated_digests(light), digest, bits)
     sha = F.lower(F.hex("digest")).alias("text_sha256")
-    single = _marked(light, words, bits).where("NOT twice").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
-    several = _marked(source.withColumn("digest", digest_of(F.col("text"))), words, bits).where("twice").select("doc_id", "digest", salt, normalised(F.col("text")).alias("norm"), _rank(F.col("doc_id"), F.col("text")).alias("rank"))
+    single = marked(light, digest, words, "twice", bits).where("NOT twice").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
+    several = marked(source.withColumn("digest", digest_of(F.col("text"))), digest, words, "twice", bits).where("twice").select("doc_id", "digest", salt, normalised(F.col("text")).alias("norm"), _rank(F.col("doc_id"), F.col("text")).alias("rank"))
     groups = exact_groups(several.drop("doc_id"), salts)
     judged = several.drop("rank").join(groups, ["digest", "salt", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
     return single.unionByName(fewer_files(judged))

@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import connected_components, dropped, fewer_files, mapped, numbers, small_batches, written
+from affinis.llm.common import connected_components, dropped, fewer_files, key_filter, mapped, marked, numbers, small_batches, written
 
 BANDS, ROWS, HASHES, BATCH = 40, 4, 640, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 4096  # members of a bucket that one task holds
 GROUP = 8  # partners of a text that are verified together
+HUB = 512  # partners of a text that one task deals with
 
 
 def _constants(hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +194,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """Pairs whose full sets have 100 * intersection >= percent * union.
 
     Pairs with the same ``a`` are verified GROUP at a time, so that a text with many partners is sent
-    once for GROUP of them. The size of a group is fixed, whatever the number of partners."""
+    once for GROUP of them. The size of a group is fixed, whatever the number of partners; those of a
+    hub are dealt to as many tasks as they need. Texts of no pair are left where they are."""
     import pyarrow as pa
 
-    part = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / GROUP).alias("part")
-    grouped = pairs.select("a", "b", part)
-    ends = grouped.select("a", "part", F.col("b").alias("id")).union(grouped.groupBy("a", "part").agg(F.first("a").alias("id")))
-    sets = ends.join(texts, "id").groupBy("a", "part").agg(F.collect_set(F.struct("id", "text")).alias("members")).select("a", "members")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("m")).where(f"m > {HUB}")
+    salted = pairs.join(hubs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / HUB)), F.lit(0)))
+    part = F.floor((F.row_number().over(Window.partitionBy("a", "salt").orderBy("b")) - 1) / GROUP).alias("part")
+    grouped = salted.select("a", "salt", "b", part)
+    ends = grouped.select("a", "salt", "part", F.col("b").alias("id")).union(grouped.groupBy("a", "salt", "part").agg(F.first("a").alias("id")))
+    own = F.col("id")
+    some = marked(texts, own, key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), own), "of_pair").where("of_pair").drop("of_pair")
+    sets = ends.join(some, "id").groupBy("a", "salt", "part").agg(F.collect_set(F.struct("id", "text")).alias("members")).select("a", "members")
 
     def run(batches):
         for c in batches:
