@@ -22,6 +22,7 @@ again, a block misses paths and folds those chunks by itself, with the same resu
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -29,11 +30,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, numbers, small_batches, written
+from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
 
 BLANK = "▁"
 LONGEST = 40  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
-PART = 20_000  # chunks whose lattices one task holds
+PART = 5_000  # chunks whose lattices one partition holds
 HOT = 262_144  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
 WORDS = 300_000  # distinct words that a task holds
@@ -196,7 +197,7 @@ def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> Da
             made: dict[str, int] = {}
             for lead, words in ((BLANK, held), ("", odd)):
                 for w, n in words.items():
-                    for c in find(lead + w):
+                    for c in (lead + w,) if lead and w.isalpha() else find(lead + w):  # letters stay together
                         made[c] = made.get(c, 0) + n
             held.clear(), odd.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(made.keys()), pa.string()), pa.array(list(made.values()), pa.int64())], names=["chunk", "n"])
@@ -215,10 +216,9 @@ def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> Da
 
 
 #: An edge is one bigint: end . start (6 bits each) . late (1 bit) . rank (29 bits, the lower the
-#: better) . id (16 bits). Packed edges sort by their end and then by their start.
-END_AT, START_AT, LATE_AT, RANK = 52, 46, 45, 16
-RANKS = (1 << 29) - 1
-NO_PIECE = 0xFFFF
+#: better). Packed edges sort by their end and then by their start.
+END_AT, START_AT, LATE_AT = 36, 30, 29
+RANKS = (1 << LATE_AT) - 1
 #: A path is one bigint, with a bit for each boundary; with integer scores its cost stands above.
 COST = LONGEST + 1
 PATHS = (1 << COST) - 1
@@ -250,16 +250,14 @@ def lattices(chunks: DataFrame, m: Model) -> DataFrame:
     the grouping moves rows."""
     spark = chunks.sparkSession
     rank, lost, _ = ranks(m)
-    if max(m.ids.values(), default=0) >= NO_PIECE:
-        raise ValueError("more pieces than an edge can name")
     late = late_pieces(m)
-    table = spark.createDataFrame([(p, (p in late) << LATE_AT | rank[p] << RANK | i) for p, i in m.ids.items()], "piece string, code long")
+    table = spark.createDataFrame([(p, (p in late) << LATE_AT | rank[p]) for p in m.ids], "piece string, code long")
     # two plain explodes, so that substrings are cut in generated code and not in a lambda
     starts = chunks.where(F.length("chunk") <= LONGEST).select("chunk", "n", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
     spans = starts.select("chunk", "n", "s", F.explode(F.expr(f"sequence(1, least({m.widest}, length(chunk) - s))")).alias("l"))
     place = F.expr(f"shiftleft(cast(s AS bigint), {START_AT}) | shiftleft(cast(s + l AS bigint), {END_AT})").alias("place")
     sub = spans.select("chunk", "n", place, "l", F.expr("substring(chunk, s + 1, l)").alias("piece"))
-    edge = F.coalesce("code", F.lit(lost << RANK | NO_PIECE)).bitwiseOR(F.col("place"))
+    edge = F.coalesce("code", F.lit(lost)).bitwiseOR(F.col("place"))
     return sub.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR l = 1").groupBy("chunk").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
@@ -267,13 +265,14 @@ def viterbi_path(m: Model) -> Column:
     """Fold of ``edges`` to the path of the best total score; of equal paths the one with the longest
     last piece stays. ``done`` holds the best path to every settled position, ``now`` the best one so
     far to the position in hand."""
-    e, s, rank = f"cast(shiftright(x, {END_AT}) AS int)", f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"(shiftright(x, {RANK}) & {RANKS})"
+    e, s, rank = f"cast(shiftright(x, {END_AT}) AS int)", f"cast(shiftright(x, {START_AT}) & 63 AS int)", f"(x & {RANKS})"
     order = ranks(m)[2]
     if not order:  # of two paths with equal costs, the lesser number has the longer last piece
-        weight = f"(shiftleft({rank}, {COST}) | shiftleft(1L, {e}))"
-        step = f"""CASE WHEN {e} > size(a.done) THEN named_struct('done', concat(a.done, array(a.now)), 'now', (CASE WHEN {s} = size(a.done) THEN a.now ELSE get(a.done, {s}) END) + {weight})
-            ELSE named_struct('done', a.done, 'now', least(a.now, get(a.done, {s}) + {weight})) END"""
-        return F.expr(f"aggregate(edges, named_struct('done', array(1L), 'now', {2**63 - 1}L), (a, x) -> {step}, a -> a.now & {PATHS}L)")
+        cost = f"shiftleft({rank}, {COST})"
+        settled = "a.now + shiftleft(1L, size(a.done))"
+        step = f"""if(shiftright(x, {END_AT}) > size(a.done), named_struct('done', concat(a.done, array({settled})), 'now', coalesce(get(a.done, {s}), {settled}) + {cost}),
+            if(get(a.done, {s}) + {cost} < a.now, named_struct('done', a.done, 'now', get(a.done, {s}) + {cost}), a))"""
+        return F.expr(f"aggregate(edges, named_struct('done', array(1L), 'now', {2**63 - 1}L), (a, x) -> {step}, a -> (a.now & {PATHS}L) | shiftleft(1L, length(chunk)))")
     score = f"get(array({', '.join(f'{v!r}D' for v in order)}), cast({rank} AS int))"
     end = f"shiftleft(1L, {e})"
     grown = "CASE WHEN {e} > size(a.done) THEN concat(a.done, array(named_struct('score', a.score, 'path', a.path))) ELSE a.done END".format(e=e)
@@ -289,19 +288,16 @@ def merge_path(m: Model) -> Column:
     One pass over the edges in order of rank does it, unless a merge makes an edge possible whose turn
     is over. Only late edges can be such; where one is, the path becomes -1 and a fold that looks for
     the best edge before every merge takes over."""
-    rank = f"(shiftright(x, {RANK}) & {RANKS})"
-    # edges as numbers of rank . start . end, in that order
-    packed = f"x -> shiftleft({rank}, 12) | shiftleft(shiftright(x, {START_AT}) & 63, 6) | shiftright(x, {END_AT})"
-    order = f"sort_array(transform(filter(edges, x -> (shiftright(x, {END_AT}) - (shiftright(x, {START_AT}) & 63)) > 1), {packed}))"
-    s, e = "cast(shiftright({0}, 6) & 63 AS int)", "cast({0} & 63 AS int)"
+    # edges as numbers of rank . start (6 bits) . late (1 bit) . end (6 bits), in that order
+    order = f"sort_array(transform(filter(edges, x -> shiftright(x, {END_AT}) - (shiftright(x, {START_AT}) & 63) > 1), x -> shiftleft(x & {RANKS}, 13) | shiftleft(shiftright(x, {LATE_AT}) & 127, 6) | shiftright(x, {END_AT})))"
+    s, e = "cast(shiftright({0}, 7) & 63 AS int)", "cast({0} & 63 AS int)"
     ends = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
     inner = f"(shiftleft(1L, {e}) - shiftleft(2L, {s}))"
     can = lambda path, y: f"({path} & {ends.format(y)}) = {ends.format(y)} AND bit_count({path} & {inner.format(y)}) = 1"
-    late = f"transform(filter(edges, x -> (shiftright(x, {LATE_AT}) & 1) = 1), {packed})"
+    late = "filter(js, y -> (y & 64) > 0)"
     start = "shiftleft(1L, length(chunk) + 1) - 1L"
     merged = f"path & ~{inner.format('y')}"
-    step = f"""CASE WHEN path < 0 OR NOT ({can('path', 'y')}) THEN path
-        WHEN size(late) > 0 AND exists(late, z -> z < y AND {can('(' + merged + ')', 'z')}) THEN -1L ELSE {merged} END"""
+    step = f"if(path >= 0 AND {can('path', 'y')}, if(size(late) > 0 AND exists(late, z -> z < y AND {can('(' + merged + ')', 'z')}), -1L, {merged}), path)"
     slow = f"""aggregate(sequence(1, greatest(length(chunk) - 1, 1)), {start}, (path, k) -> path & ~coalesce(get(transform(slice(filter(js, y -> {can('path', 'y')}), 1, 1), y -> {inner.format('y')}), 0), 0L))"""
     fast = f"aggregate(array({late}), 0L, (o, late) -> aggregate(js, {start}, (path, y) -> {step}))"
     return F.expr(f"aggregate(array({order}), 0L, (o, js) -> CASE WHEN size(js) = 0 THEN {start} ELSE aggregate(array({fast}), 0L, (u, quick) -> CASE WHEN quick >= 0 THEN quick ELSE {slow} END) END)")
@@ -323,7 +319,7 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
     spark.conf.set(key, str(2 * PART))
     try:
         dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
-        out = written(lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi")), "pieces")
+        out = written(fewer_files(lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi"))), "pieces")
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     dropped(counts)
@@ -345,55 +341,70 @@ def _hot(pieces: DataFrame, most: int) -> DataFrame:
     return pieces.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
+class _Words(dict):
+    """Looks words up, and asks ``coder`` for those that are not there yet."""
+
+    def __init__(self, coder: Coder, which: int):
+        self.coder, self.which = coder, which
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.coder.word(BLANK + word)
+        for held, ids in zip(self.coder.words, got, strict=True):
+            if len(held) >= WORDS:
+                held.clear()
+            held[word] = ids
+        return got[self.which]
+
+
 class Coder:
-    """Ids of texts from the paths of chunks. One for each task."""
+    """Ids of texts from the paths of chunks, as bytes. One for each task."""
 
     def __init__(self, m: Model, frequent: dict[str, tuple[int, int]], both: bool):
         self.m, self.frequent, self.both, self.find = m, frequent, both, m.cutter.findall
         self.known: dict[str, tuple[bytes, bytes]] = {}  # of frequent chunks, and of those beyond LONGEST
-        self.rare: dict[str, tuple[int, int]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.rare: dict[str, tuple[bytes, bytes]] = {}
+        self.words = _Words(self, 0), _Words(self, 1)
 
     def block(self) -> None:
         """Forget what belongs to the block before."""
-        self.rare, self.words = {}, {}
-
-    def learn(self, chunks: list[str], merge: list[int], viterbi: list[int]) -> None:
-        self.rare.update(zip(chunks, zip(merge, viterbi, strict=True), strict=True))
-
-    def _ids(self, chunk: str) -> tuple[bytes, bytes]:
-        got = self.known.get(chunk)
+        self.rare = {}
+        for held in self.words:
+            held.clear()
+
+    def spelled(self, chunk: str, merge: list[int], viterbi: list[int]) -> tuple[bytes, bytes]:
+        """Ids of a chunk between the boundaries of the model's algorithm, and those of the other one."""
+        one, two = (viterbi, merge) if self.m.algorithm == "viterbi" else (merge, viterbi)
+        kind = id_kind(self.m)
+        first = np.array(ids_at(chunk, one, self.m), kind).tobytes()
+        return first, b"" if not self.both else first if one == two else np.array(ids_at(chunk, two, self.m), kind).tobytes()
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        got = self.known.get(chunk) or self.rare.get(chunk)
         if got is None:
-            m = self.m
-            paths = self.frequent.get(chunk) or self.rare.get(chunk)
-            bounds = [bounds_of(p) for p in paths] if paths else [bounds_merge(chunk, m), bounds_viterbi(chunk, m)]
-            if m.algorithm == "viterbi":
-                bounds.reverse()
-            one = np.array(ids_at(chunk, bounds[0], m), "<i4").tobytes()
-            two = b"" if not self.both else one if bounds[0] == bounds[1] else np.array(ids_at(chunk, bounds[1], m), "<i4").tobytes()
-            got = one, two
-            if chunk in self.frequent or len(chunk) > LONGEST and len(self.known) < 2 * HOT:
+            paths = self.frequent.get(chunk)
+            got = self.spelled(chunk, *(map(bounds_of, paths) if paths else (bounds_merge(chunk, self.m), bounds_viterbi(chunk, self.m))))
+            if paths or len(chunk) > LONGEST and len(self.known) < 2 * HOT:
                 self.known[chunk] = got
         return got
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        got = [self._ids(c) for c in self.find(word)]
+    def word(self, word: str) -> tuple[bytes, bytes]:
+        if word in self.rare or word in self.frequent:
+            return self.chunk(word)
+        got = [self.chunk(c) for c in self.find(word)]
         return got[0] if len(got) == 1 else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
     def text(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of the model's algorithm and of the other one, as 32-bit numbers."""
+        """Ids of the model's algorithm and of the other one."""
         if not text:
             return b"", b""
         words, rest = words_of(text, self.m)
-        held, got = self.words, [self._word(w) for w in rest]
-        for w in words:
-            x = held.get(w)
-            if x is None:
-                if len(held) >= WORDS:
-                    held.clear()
-                x = held[w] = self._word(BLANK + w)
-            got.append(x)
-        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got]) if self.both else b""
+        got = [self.word(w) for w in rest]
+        one, two = (b"".join([x[k] for x in got]) + b"".join(map(self.words[k].__getitem__, words)) if k == 0 or self.both else b"" for k in range(2))
+        return one, two
+
+
+def id_kind(m: Model) -> str:
+    return "<u2" if len(m.pieces) <= 1 << 16 else "<u4"
 
 
 def _blocks(batches, at: int):
@@ -421,18 +432,17 @@ def _blocks(batches, at: int):
         yield k, held
 
 
-def packed(chunks: list[str], merge: np.ndarray, viterbi: np.ndarray) -> bytes:
-    """Chunks and their paths as bytes: count, lengths, paths, chunks."""
-    raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
-    return b"".join([np.array([len(raw)], "<u4").tobytes(), np.array([len(r) for r in raw], np.uint8).tobytes(), merge.astype("<i8").tobytes(), viterbi.astype("<i8").tobytes(), *raw])
+def packed(rows: list[tuple[str, bytes, bytes]]) -> bytes:
+    """Chunks and their ids as bytes: count, lengths, chunks, ids."""
+    cols = [[c.encode("utf-8", "surrogatepass") for c, _, _ in rows], [x for _, x, _ in rows], [x for _, _, x in rows]]
+    return b"".join([np.array([len(rows), *(len(x) for col in cols for x in col)], "<u4").tobytes(), *(x for col in cols for x in col)])
 
 
-def unpacked(data: bytes) -> tuple[list[str], list[int], list[int]]:
+def unpacked(data: bytes) -> dict[str, tuple[bytes, bytes]]:
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = 4 + 17 * n + np.cumsum(np.frombuffer(data, np.uint8, n, 4)).astype(np.int64)
-    starts = np.append(4 + 17 * n, ends)[:-1]
-    merge, viterbi = np.frombuffer(data, "<i8", 2 * n, 4 + n).reshape(2, n).tolist()
-    return [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], merge, viterbi
+    ends = (4 + 12 * n + np.cumsum(np.frombuffer(data, "<u4", 3 * n, 4))).tolist()
+    cut = [data[s:e] for s, e in zip([4 + 12 * n, *ends], ends, strict=False)]
+    return dict(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
 
 
 def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT) -> DataFrame:
@@ -456,7 +466,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     schema = StructType([*rows.schema.fields[:-1], *new.fields])
 
     def spots(batches):
-        find, known, seen = m.cutter.findall, frequent.value, {}
+        find, known = m.cutter.findall, frequent.value
         for block, held in _blocks(batches, 0):
             words: set[str] = set()
             rest: set[str] = set()
@@ -465,41 +475,36 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                     if t:
                         one, two = words_of(t, m)
                         words.update(one), rest.update(two)
-            out: set[str] = set()
-            for w in words:
-                got = seen.get(w)
-                if got is None:
-                    got = tuple([c for c in find(BLANK + w) if c not in known and len(c) <= LONGEST])
-                    if len(seen) < WORDS:
-                        seen[w] = got
-                out.update(got)
-            for w in rest:
-                out.update([c for c in find(w) if c not in known and len(c) <= LONGEST])
+            rest.update([w for w in [BLANK + w for w in words] if w not in known])
+            out = {c for w in rest for c in find(w) if c not in known and len(c) <= LONGEST}
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(list(out), pa.string())], names=["block", "chunk"])
 
     def grouped(batches):
-        """The paths of a task's chunks, packed by block."""
+        """The ids of a task's chunks, packed by block."""
+        coder = Coder(m, {}, both)
 
         def out():
-            block = np.concatenate([b.column(0).to_numpy() for b in held])
-            order = np.argsort(block, kind="stable")
-            block = block[order]
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            chunk = pa.concat_arrays([b.column(1) for b in held]).take(pa.array(order)).to_pylist()
-            one, two = (np.concatenate([b.column(c).to_numpy() for b in held])[order] for c in (2, 3))
-            ends = np.append(cuts[1:], len(block))
-            return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array([packed(chunk[s:e], one[s:e], two[s:e]) for s, e in zip(cuts, ends, strict=True)], pa.binary())], names=["block", "data"])
-
-        held, n = [], 0
+            blocks = []
+            for block, rows in by.items():
+                blocks.append(block), data.append(packed(rows))
+            made = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+            by.clear(), data.clear()
+            return made
+
+        by: defaultdict[int, list] = defaultdict(list)
+        data: list[bytes] = []
+        n, last, row = 0, None, None
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                n += b.num_rows
-            if n >= 1 << 18:
+            for block, chunk, one, two in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if chunk != last:  # rows of a chunk come one after the other
+                    last, row = chunk, (chunk, *coder.spelled(chunk, bounds_of(one), bounds_of(two)))
+                by[block].append(row)
+            n += b.num_rows
+            if n >= WORDS:
                 yield out()
-                held, n = [], 0
-        if held:
+                n = 0
+        if by:
             yield out()
 
     def stowed(batches):
@@ -511,21 +516,22 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
-        coder, at = Coder(m, frequent.value, both), None
+        coder, at, kind = Coder(m, frequent.value, both), None, np.dtype(id_kind(m))
         for b in batches:
             for block, is_text, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if block != at:
                     coder.block()
                     at = block
                 if not is_text:
-                    coder.learn(*unpacked(data))
+                    coder.rare.update(unpacked(data))
                     continue
                 for rows_ in pa.ipc.open_stream(data):
                     got = [coder.text(t) for t in rows_.column(len(names)).to_pylist()]
                     lists = []
                     for k in range(2):
-                        sizes = np.array([len(x[k]) for x in got], np.int64) // 4
-                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.frombuffer(b"".join([x[k] for x in got]), "<i4"))), pa.array(sizes.astype(np.int32))))
+                        sizes = np.array([len(x[k]) for x in got], np.int64) // kind.itemsize
+                        flat = np.frombuffer(b"".join([x[k] for x in got]), kind).astype(np.int32)
+                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat)), pa.array(sizes.astype(np.int32))))
                     if not both:
                         lists[1] = pa.nulls(len(got), pa.list_(pa.int32())), pa.nulls(len(got), pa.int32())
                     yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1]], names=schema.names)
