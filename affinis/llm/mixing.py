@@ -7,9 +7,10 @@
    r = max(0, 1 + p . y) of one number y_k a domain. These minimise
        1/2 sum_k (S_k - T_k)^2 / T_k + ridge/2 sum t (r - 1)^2
    for a ridge that falls until the totals are met. y follows gradient steps that are scaled by the
-   derivative of the totals, so that rare domains move as fast as large ones. Each round is one
-   distributed sum of the totals and their derivative; a rate depends on the document's own p and on
-   y only, so rounds exchange nothing else, and a lost task is simply computed again.
+   derivative of the totals, so that rare domains move as fast as large ones; after each step the
+   rates are projected to 0 and above again. Each round is one distributed sum of the totals and
+   their derivative; a rate depends on the document's own p and on y only, so rounds exchange
+   nothing else, and a lost task is simply computed again.
 3. A rate becomes copies: its whole part, and one more with the chance of its fraction, decided by a
    hash of the id.
 """
@@ -19,19 +20,21 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import bounded_sample, dropped, held_out, mapped, small_batches, written
+from affinis.llm.common import bounded_sample, dropped, held_out, mapped, numbers, small_batches, written
 
 DOMAINS = ["plain", "low", "toxic"]
 #: Target shares of expected tokens; the total is such that ``plain`` keeps a little more than it has.
 TARGETS = {"plain": 0.86, "low": 0.09, "toxic": 0.05}
 ANCHOR, LIFT = "plain", 1.02
 BUCKETS = 1 << 18
+HELD = 200_000  # runs of signs whose hashes a task holds
 FORM, TOP, LEAST = 8, 5, 3
 SIGN = re.compile(r"[^\w\s]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,10 +47,31 @@ class Model:
     weights: np.ndarray  # (features, domains)
 
 
+class _Buckets(dict):
+    """Hashed words of each run of signs between white space; forgets all when it holds too many."""
+
+    def __missing__(self, run: str) -> frozenset[int]:
+        if len(self) >= HELD:
+            self.clear()
+        got = self[run] = frozenset([xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in WORD.findall(run)])
+        return got
+
+
+_known = _Buckets()
+
+
 def buckets(text: str | None) -> np.ndarray:
     """Distinct hashed words of a text."""
-    one = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([one(w) for w in set(WORD.findall((text or "").lower()))], np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.array(sorted(frozenset().union(*map(_known.__getitem__, set((text or "").lower().split())))), np.int64)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point: 1 a sign (neither word nor space), 2 an ASCII digit, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    out[[m.start() for m in SIGN.finditer("".join(map(chr, range(0x110000))))]] = 1
+    out[48:58] = 2
+    return out
 
 
 def features(text: str | None, odds: np.ndarray) -> np.ndarray:
@@ -61,8 +85,9 @@ def features(text: str | None, odds: np.ndarray) -> np.ndarray:
     if not n:
         return x
     words = t.split()
-    digits = n - len(t.translate(NO_DIGITS))
-    x[1:FORM] = min(1, 4 * len(SIGN.findall(t)) / n), min(1, 4 * digits / n), sum(1 for w in words if w.isupper()) / max(1, len(words)), len(set(words)) / max(1, len(words)), min(1, t.count("\n") / max(1, len(words))), min(2, n / max(1, len(words)) / 10), np.log1p(len(words)) / 10
+    signs, digits = np.bincount(_kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3)[1:].tolist()
+    w = max(1, len(words))
+    x[1:FORM] = min(1, 4 * signs / n), min(1, 4 * digits / n), sum(map(str.isupper, words)) / w, len(set(words)) / w, min(1, t.count("\n") / w), min(2, n / w / 10), np.log1p(len(words)) / 10
     b = buckets(t)
     if len(b):
         o = odds[b]
@@ -72,9 +97,6 @@ def features(text: str | None, odds: np.ndarray) -> np.ndarray:
     return x
 
 
-NO_DIGITS = str.maketrans("", "", "0123456789")
-
-
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
@@ -151,20 +173,11 @@ def posteriors(docs: DataFrame, model: Model, text: str = "text", keep: list[str
     return mapped(docs, text, docs.columns if keep is None else keep, "tokens long, p array<double>", make)
 
 
-def replayed(p: np.ndarray, residuals: np.ndarray, step: float, ridge: float) -> np.ndarray:
-    """Rates after the rounds whose residuals (rounds, domains) are given, from 1."""
-    r = np.ones(len(p))
-    for e in residuals:
-        np.maximum(0.0, r - step * (p @ e + ridge * (r - 1)), out=r)
-    return r
-
-
 @dataclass
 class Fit:
     targets: np.ndarray
     totals: np.ndarray
-    residuals: np.ndarray
-    step: float
+    y: np.ndarray
     ridge: float
 
     @property
@@ -172,11 +185,18 @@ class Fit:
         """How far each total is from its target, as a share of it."""
         return np.abs(self.totals - self.targets) / np.where(self.targets > 0, self.targets, 1.0)
 
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, 1 + p @ self.y)
+
+    def rate(self, p: Column) -> Column:
+        return F.greatest(F.lit(0.0), reduce(lambda r, k: r + p[k] * F.lit(float(self.y[k])), range(len(self.y)), F.lit(1.0)))
+
 
-def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, lift: float = LIFT, ridge: float = 1e-2, rounds: int = 60, tolerance: float = 1e-2) -> Fit:
-    """known: tokens, p. Runs until every domain's total is within ``tolerance`` of its target. Where
-    no rates do that, or ``rounds`` are over, the rates of the full ridge are given and it warns;
-    ``missed`` says by how much."""
+def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, lift: float = LIFT, ridge: float = 1e-2, rounds: int = 200, tolerance: float = 1e-2) -> Fit:
+    """known: tokens, p. The rates that minimise the objective for the first of ``ridge``, a tenth of
+    it and so on, that brings every domain's total within ``tolerance`` of its target. Where none down
+    to a millionth does, the rates of the full ridge are given and it warns; ``missed`` says by how
+    much. It raises where ``rounds`` sums were not enough to find a minimum."""
     import pyarrow as pa
 
     k = len(domains)
@@ -184,9 +204,14 @@ def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor:
     if (share <= 0).any():
         raise ValueError("target weights must be positive")
     share /= share.sum()
+    left = rounds
 
     def sums(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Totals, their derivative by y, and sum t r^2 / 2, whose derivative the totals are."""
+        nonlocal left
+        left -= 1
+        if left < 0:
+            raise RuntimeError(f"no minimum within {rounds} rounds")
 
         def run(batches):
             s = np.zeros(k + k * k + 1)
@@ -199,7 +224,8 @@ def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor:
                     s[-1] += (t * r) @ r / 2
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s)], names=["k", "s"])
 
-        rows = known.select("tokens", "p").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        with numbers(known.sparkSession):
+            rows = known.select("tokens", "p").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         out = np.zeros(k + k * k + 1)
         for r in rows:
             out[r.k] = r.s
@@ -210,32 +236,29 @@ def fit(known: DataFrame, domains: list[str], weights: dict[str, float], anchor:
     at = domains.index(anchor)
     goal = share * (lift * now[at] / share[at])
     if not now[at] > 0:
-        return Fit(goal, now, np.zeros((0, k)), 0.0, ridge)
-    met = lambda s: bool((np.abs(s - goal) <= tolerance * goal).all())
-    left, pull, tame = rounds, ridge, None
-    while not met(now) and left > 0 and pull >= 1e-6 * ridge:
-        # the least of the convex sum t r^2 / 2 - T . y + pull/2 y . T y is where the ridge holds
+        return Fit(goal, now, y, ridge)
+    first, pull = None, ridge
+    while True:
+        # the least of the convex sum t r^2 / 2 - T . y + pull/2 y . T y is where the objective is least
         g = now - goal + pull * goal * y
-        if (np.abs(g) <= 0.1 * tolerance * goal).all():
-            tame = tame or (y, now)
-            pull /= 10
+        if (np.abs(g) <= 0.01 * tolerance * goal).all():
+            f = Fit(goal, now, y, pull)
+            if f.missed.max() <= tolerance:
+                return f
+            first, pull = first or f, pull / 10
+            if pull < 1e-6 * ridge:  # out of reach: without the full ridge, rates would grow for nothing
+                warnings.warn("totals off their targets by " + ", ".join(f"{n} {x:.1%}" for n, x in zip(domains, first.missed, strict=True)), stacklevel=2)
+                return first
             continue
         d = -np.linalg.solve(slope + np.diag(pull * goal), g)
         height, size = half - goal @ y + pull / 2 * (goal * y) @ y, 1.0
-        while left > 0:
-            left -= 1
+        while True:
             z = y + size * d
             s, m, h = sums(z)
             if h - goal @ z + pull / 2 * (goal * z) @ z <= height + 1e-4 * size * (g @ d) + 1e-12 * abs(height):
                 y, now, slope, half = z, s, m, h
                 break
             size /= 2
-    if not met(now) and tame:  # out of reach: without the full ridge, rates would grow for nothing
-        y, now = tame
-    f = Fit(goal, now, -y.reshape(1, k) if y.any() else np.zeros((0, k)), 1.0, ridge)
-    if not met(now):
-        warnings.warn("totals off their targets by " + ", ".join(f"{n} {x:.1%}" for n, x in zip(domains, f.missed, strict=True)), stacklevel=2)
-    return f
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -256,11 +279,5 @@ def mixed(docs: DataFrame, model: Model, weights: dict[str, float] | None = None
     known = written(posteriors(docs.select(*names, F.col(text).alias("_body_"), F.col(doc_id).alias("_id_")), model, "_body_", [*names, "_id_"]), "posteriors")
     f = fit(known, model.domains, weights or TARGETS)
 
-    def make():
-        def work(ps):
-            return [replayed(np.array(ps).reshape(-1, len(model.domains)), f.residuals, f.step, f.ridge).tolist()]
-
-        return work
-
-    out = mapped(known.withColumn("_p_", F.col("p")), "_p_", [*names, "_id_", "tokens", "p"], "rate double", make)
+    out = known.withColumn("rate", f.rate(F.col("p")))
     return out.select(*names, "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("_id_")).alias("copies"))

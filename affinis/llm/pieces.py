@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
 
 BLANK = "▁"
-LONGEST = 40  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
+LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
 PART = 5_000  # chunks whose lattices one partition holds
 HOT = 262_144  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
@@ -225,12 +225,21 @@ PATHS = (1 << COST) - 1
 
 
 def ranks(m: Model) -> tuple[dict[str, int], int, list[float]]:
-    """(rank of each piece, rank of an unknown code point, score of each rank or nothing). If scores
-    are integers, ranks are the scores with the sign turned, and the cost of a path is their sum."""
+    """(rank of each piece, rank of an unknown code point, score of each rank or nothing).
+
+    If scores are integers, ranks are costs that add up and order paths as the scores do. Scores far
+    below all others (as of pieces that training did not score) keep their distance from each other
+    and stay worse than any path without them, but come so near that sums fit a path's number."""
     own = {p: m.scores[i] for p, i in m.ids.items()}
-    if all(v == int(v) and v <= 0 for v in own.values()) and -LONGEST * m.penalty < 2 ** (63 - COST):
-        return {p: int(-v) for p, v in own.items()}, int(-m.penalty), []
     order = sorted({*own.values(), m.penalty}, reverse=True)
+    if all(v == int(v) and v <= 0 for v in order):
+        cost = [int(-v) for v in order]
+        i = max(range(len(cost) - 1), key=lambda i: cost[i + 1] - cost[i], default=0)
+        near = LONGEST * (cost[i] + cost[-1] - cost[min(i + 1, len(cost) - 1)]) + 1
+        less = max(0, cost[min(i + 1, len(cost) - 1)] - near)
+        rank = {v: c - (less if k > i else 0) for k, (v, c) in enumerate(zip(order, cost, strict=True))}
+        if LONGEST * rank[m.penalty] < 2 ** (63 - COST):
+            return {p: rank[v] for p, v in own.items()}, rank[m.penalty], []
     at = {v: k for k, v in enumerate(order)}
     return {p: at[v] for p, v in own.items()}, at[m.penalty], order
 
