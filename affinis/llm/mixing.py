@@ -48,21 +48,27 @@ class Model:
 
 
 class _Buckets(dict):
-    """Hashed words of each run of signs between white space; forgets all when it holds too many."""
+    """The hashed words of each run of signs between white space: a number, or a tuple if they are not
+    just one. Forgets all when it holds too many."""
 
-    def __missing__(self, run: str) -> frozenset[int]:
+    def __missing__(self, run: str) -> int | tuple[int, ...]:
         if len(self) >= HELD:
             self.clear()
-        got = self[run] = frozenset([xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in WORD.findall(run)])
+        got = tuple([xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in WORD.findall(run.lower())])
+        got = self[run] = got[0] if len(got) == 1 else got
         return got
 
 
 _known = _Buckets()
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """Distinct hashed words of a text."""
-    return np.array(sorted(frozenset().union(*map(_known.__getitem__, set((text or "").lower().split())))), np.int64)
+def buckets(runs: set[str]) -> np.ndarray:
+    """Distinct hashed words of the runs of a text."""
+    got = set(map(_known.__getitem__, runs))
+    for many in [x for x in got if type(x) is tuple]:
+        got.discard(many)
+        got.update(many)
+    return np.sort(np.fromiter(got, np.int64, len(got)))
 
 
 @cache
@@ -85,10 +91,11 @@ def features(text: str | None, odds: np.ndarray) -> np.ndarray:
     if not n:
         return x
     words = t.split()
+    runs = set(words)
     signs, digits = np.bincount(_kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3)[1:].tolist()
     w = max(1, len(words))
-    x[1:FORM] = min(1, 4 * signs / n), min(1, 4 * digits / n), sum(map(str.isupper, words)) / w, len(set(words)) / w, min(1, t.count("\n") / w), min(2, n / w / 10), np.log1p(len(words)) / 10
-    b = buckets(t)
+    x[1:FORM] = min(1, 4 * signs / n), min(1, 4 * digits / n), sum(map(str.isupper, words)) / w, len(runs) / w, min(1, t.count("\n") / w), min(2, n / w / 10), np.log1p(len(words)) / 10
+    b = buckets(runs)
     if len(b):
         o = odds[b]
         top = -np.partition(-o, min(TOP, len(o)) - 1, axis=0)[:TOP]
@@ -146,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> Model:
     def spread(batches):
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = buckets(t)
+                w = buckets(set((t or "").split()))
                 yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), *(pa.array(np.full(len(w), int(y == i))) for i in range(k))], names=["word", *(f"n{i}" for i in range(k))])
 
     counts = both.mapInArrow(spread, "word int, " + ", ".join(f"n{i} long" for i in range(k))).groupBy("word").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(k))).where(" + ".join(f"n{i}" for i in range(k)) + f" >= {LEAST}").toPandas()
