@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, numbers, small_batches, written
+from affinis.llm.common import dropped, key_filter, marked, numbers, small_batches, written
 
 KEY, GRAM = 20, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -199,19 +199,24 @@ def _two_least(rows: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, hashes: np.ndarray, least: np.ndarray, after: np.ndarray) -> DataFrame:
-    """Windows of the given (sorted) hashes, with the least id of the other documents."""
+    """All windows with their partner: those that have none yet get the least id of the other
+    documents by their hash, which must be one of the given (sorted) hashes, or they go."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            d, h = b.column(0).to_numpy(), b.column(4).to_numpy()
-            at = np.searchsorted(hashes, h)
-            i = np.flatnonzero(np.append(hashes, 0)[at] == h) if len(hashes) else np.zeros(0, np.int64)
-            i = i[at[i] < len(hashes)]
-            partner = np.where(d[i] == least[at[i]], after[at[i]], least[at[i]])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(i)) for c in range(4)), pa.array(partner, pa.int64())], names=["doc_id", "pos", "from", "to", "partner"])
+            d, h = b.column(0).to_numpy(), b.column(5).fill_null(0).to_numpy()
+            known = b.column(5).is_null().to_numpy(zero_copy_only=False)
+            partner = b.column(4).fill_null(0).to_numpy().copy()
+            if len(hashes) and not known.all():
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = ~known & (hashes[at] == h)
+                partner[hit] = np.where(d == least[at], after[at], least[at])[hit]
+                known |= hit
+            i = pa.array(np.flatnonzero(known))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(i) for c in range(4)), pa.array(partner).take(i)], names=["doc_id", "pos", "from", "to", "partner"])
 
-    return rows.select("doc_id", "pos", "from", "to", "hash").mapInArrow(run, "doc_id long, pos int, from int, to int, partner long")
+    return rows.select("doc_id", "pos", "from", "to", "partner", "hash").mapInArrow(run, "doc_id long, pos int, from int, to int, partner long")
 
 
 def _stretches(rows: DataFrame, least_words: int) -> DataFrame:
@@ -257,6 +262,8 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_w
     shared = _numbers(spark, _shared(order), "shared")
     dropped(made)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    own = F.col("doc_id")
+    texts = marked(texts, own, key_filter(shared, own), "shares").where("shares").drop("shares")
     some = shared.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
     rows = texts.join(some, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("ks").alias("ks"))
     windows = written(_windows(rows, least_words), "windows")
@@ -271,7 +278,7 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_w
         ids.setdefault(r["hash"], set()).add(r["doc_id"])
     several = sorted((x, *sorted(i)[:2]) for x, i in ids.items() if len(i) > 1)
     hashes, least, after = np.array(several, np.int64).reshape(-1, 3).T
-    whole = found.where("hash IS NULL").drop("hash").unionByName(_looked_up(ends, hashes, least, after))
+    whole = _looked_up(found, hashes, least, after)
     out = _numbers(spark, _stretches(whole.repartition(n, "doc_id").sortWithinPartitions("doc_id", "pos"), least_words), "matches")
     dropped(found)
     return out
