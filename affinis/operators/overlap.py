@@ -29,27 +29,47 @@ def six_sums(ratings: DataFrame, least: int = POLICY.min_overlap) -> DataFrame:
     return shared(ratings).groupBy("i", "j").agg(*_sums()).where(F.col("n") >= least)
 
 
-def sharded_sums(ratings: DataFrame, shards: int, least: int = POLICY.min_overlap) -> DataFrame:
-    """Partial sums for each shard of the dimensions, then their sum. Equal to six_sums, since the
-    sums are a commutative monoid; kept to state that as a query."""
-    part = shared(ratings).groupBy("i", "j", F.pmod(F.xxhash64("d"), F.lit(shards)).alias("shard")).agg(*_sums())
-    return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SIX]).where(F.col("n") >= least)
+def _words() -> list:
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    w0, w1 = packed_words(F.lit(1), x, y, x * x, y * y, x * y)
+    return [F.sum(w0).alias("w0"), F.sum(w1).alias("w1")]
+
+
+def _unpacked(sums: DataFrame) -> DataFrame:
+    return sums.select("i", "j", *[c.alias(n) for c, n in zip(unpacked(F.col("w0"), F.col("w1")), SIX, strict=True)])
+
+
+def _narrow(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})
+
+
+def _as_doubles(sums: DataFrame, least: int) -> DataFrame:
+    return sums.where(F.col("n") >= least).select("i", "j", "n", *[F.col(c).cast("double").alias(c) for c in SIX[1:]])
+
+
+def sharded_sums(ratings: DataFrame, shards: int, least: int = POLICY.min_overlap, payload: str = "f64") -> DataFrame:
+    """Partial sums for each shard of the dimensions, then their sum. Equal to the unsharded sums,
+    since partial sums are a commutative monoid in every payload: packed words are added as they are,
+    as pack(a) + pack(b) = pack(a + b), and are unpacked once at the end. Callers must have passed
+    the gate of the payload."""
+    shard = F.pmod(F.xxhash64("d"), F.lit(shards)).alias("shard")
+    if payload == "packed":
+        part = shared(ratings).groupBy("i", "j", shard).agg(*_words())
+        return _as_doubles(_unpacked(part.groupBy("i", "j").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))), least)
+    pairs = shared(ratings)
+    part = (_narrow(pairs) if payload == "i32" else pairs).groupBy("i", "j", shard).agg(*_sums())
+    whole = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SIX])
+    return _as_doubles(whole, least) if payload == "i32" else whole.where(F.col("n") >= least)
 
 
 def packed_sums(ratings: DataFrame, least: int = POLICY.min_overlap) -> DataFrame:
     """Six sums as two bigint sums; callers must have passed the packed gate."""
-    one = F.lit(1)
-    x, y = F.col("x").cast("long"), F.col("y").cast("long")
-    w0, w1 = packed_words(one, x, y, x * x, y * y, x * y)
-    sums = shared(ratings).groupBy("i", "j").agg(F.sum(w0).alias("w0"), F.sum(w1).alias("w1"))
-    out = sums.select("i", "j", *[c.alias(n) for c, n in zip(unpacked(F.col("w0"), F.col("w1")), SIX, strict=True)])
-    return out.where(F.col("n") >= least).select("i", "j", "n", *[F.col(c).cast("double").alias(c) for c in SIX[1:]])
+    return _as_doubles(_unpacked(shared(ratings).groupBy("i", "j").agg(*_words())), least)
 
 
 def narrow_sums(ratings: DataFrame, least: int = POLICY.min_overlap) -> DataFrame:
     """Six sums over 32-bit integers; callers must have passed the i32 gate."""
-    pairs = shared(ratings).withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})
-    return pairs.groupBy("i", "j").agg(*_sums()).where(F.col("n") >= least).select("i", "j", "n", *[F.col(c).cast("double").alias(c) for c in SIX[1:]])
+    return _as_doubles(_narrow(shared(ratings)).groupBy("i", "j").agg(*_sums()), least)
 
 
 def with_similarity(sums: DataFrame) -> DataFrame:
@@ -61,12 +81,17 @@ def model(sums: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return with_similarity(sums).where(emitted(F.col("sim"), policy.eps)).select("i", "j", "n", "sim")
 
 
-def given_pairs(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(i, j, n, sim) of exactly the given pairs: none is added or left out, no overlap gives 0."""
+def sums_of(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Six sums of the given distinct pairs (i, j) that share a dimension; only their rows meet."""
     x = ratings.select(F.col("e").alias("i"), "d", F.col("v").alias("x"))
     y = ratings.select(F.col("e").alias("j"), "d", F.col("v").alias("y"))
+    return pairs.select("i", "j").join(x, "i").join(y, ["j", "d"]).groupBy("i", "j").agg(*_sums())
+
+
+def given_pairs(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(i, j, n, sim) of exactly the given pairs: none is added or left out, no overlap gives 0."""
     asked = pairs.select("i", "j").distinct()
-    sums = asked.join(x, "i").join(y, ["j", "d"]).groupBy("i", "j").agg(*_sums())
+    sums = sums_of(asked, ratings)
     full = asked.join(sums, ["i", "j"], "left").select("i", "j", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SIX])
     return with_similarity(full).select("i", "j", "n", "sim")
 

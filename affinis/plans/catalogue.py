@@ -10,8 +10,8 @@ from affinis.plans import relations as rel
 from affinis.plans.engine import similarity
 from affinis.schemas import SIX
 
+# fixed values
 PREFIX_SIZES = [1, 2, 3, 63, 64, 65, 127, 128, 129, 511, 512, 513]
-LANE_BUCKETS = [(1, 48, 36), (2, 64, 52), (3, 96, 80)]
 TOP_K = 50
 QUERIES: dict = {}
 
@@ -144,12 +144,22 @@ def pearson_dim_sharded(spark, sf_dir):
 
 @query
 def pearson_packed(spark, sf_dir):
-    return similarity(rel.suppliers(spark, sf_dir), payload="packed")
+    return similarity(rel.suppliers(spark, sf_dir), payload="packed", partition="dim")
 
 
 @query
 def pearson_i32(spark, sf_dir):
-    return similarity(rel.suppliers(spark, sf_dir), payload="i32", emit=False)
+    return similarity(rel.suppliers(spark, sf_dir), payload="i32", partition="dim", emit=False)
+
+
+@query
+def pearson_packed_dim(spark, sf_dir):
+    return similarity(rel.suppliers(spark, sf_dir), payload="packed", partition="dim", shards=4)
+
+
+@query
+def pearson_i32_dim(spark, sf_dir):
+    return similarity(rel.suppliers(spark, sf_dir), payload="i32", partition="dim", shards=4)
 
 
 @query
@@ -309,7 +319,7 @@ def _disturbed(m: DataFrame) -> DataFrame:
 @query
 def result_check_pass(spark, sf_dir):
     r = rel.suppliers(spark, sf_dir)
-    return validate.result_check(similarity(r, payload="packed", emit=False), overlap.with_similarity(overlap.six_sums(r)))
+    return validate.result_check(similarity(r, payload="packed", partition="dim", emit=False), overlap.with_similarity(overlap.six_sums(r)))
 
 
 @query

@@ -130,6 +130,8 @@ SELECT i, j, n, {SIM} AS sim FROM six""",
     "pearson_dim_sharded": _chain(SUP) + "SELECT * FROM model",
     "pearson_packed": _chain(SUP) + "SELECT * FROM model",
     "pearson_i32": _chain(SUP) + "SELECT * FROM sims",
+    "pearson_packed_dim": _chain(SUP) + "SELECT * FROM model",
+    "pearson_i32_dim": _chain(SUP) + "SELECT * FROM model",
     "packed_words": _chain(SUP) + "SELECT i, j, (n << 42) | (sx::BIGINT << 21) | sy::BIGINT AS w0, (sxx::BIGINT << 42) | (syy::BIGINT << 21) | sxy::BIGINT AS w1, n, sx::BIGINT AS sx, sy::BIGINT AS sy, sxx::BIGINT AS sxx, syy::BIGINT AS syy, sxy::BIGINT AS sxy FROM six WHERE n >= 3",
     "minhash_signatures": f"WITH {SUP}, {_hashes(50)} SELECT e, k, h FROM sig",
     "lsh_bands": f"WITH {SUP}, {_hashes(50)} SELECT e, k // 2 AS band, (sum(131 * h) & 2147483647)::BIGINT AS bucket FROM sig GROUP BY e, k // 2",

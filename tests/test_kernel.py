@@ -60,10 +60,10 @@ def test_payload_domains(spark, name):
     plain = sorted(map(tuple, similarity(r, emit=False).collect()))
     for payload, ok in zip(("f64", "i32", "packed"), accept, strict=True):
         if ok:
-            assert sorted(map(tuple, similarity(r, payload=payload, emit=False).collect())) == plain
+            assert sorted(map(tuple, similarity(r, payload=payload, partition="dim", shards=2, emit=False).collect())) == plain
         else:
             with pytest.raises(InputRefused):
-                similarity(r, payload=payload)
+                similarity(r, payload=payload, partition="dim")
 
 
 @pytest.mark.parametrize("rows,vmax,payload,ok", [(2097150, 1, "packed", True), (2097151, 1, "packed", True), (2097152, 1, "packed", False), (2097151, 0, "packed", True), (2097152, 0, "packed", False), (83886, 5, "packed", True), (83887, 5, "packed", False), (1363, 5, "packed", True), (2147483647, 1, "i32", True), (2147483648, 1, "i32", False), (2147483648, 0, "i32", False), (2147483648, 9e9, "f64", True)])
@@ -76,7 +76,7 @@ def test_nonfinite_ratings_are_refused(spark, bad):
     r = table(spark, [{**OK[0], 1: bad}, *OK[1:]])
     for payload in ("f64", "i32", "packed"):
         with pytest.raises(InputRefused):
-            similarity(r, payload=payload)
+            similarity(r, payload=payload, partition="dim")
     with pytest.raises(InputRefused):
         ratings.refuse_nonfinite(r)
 
@@ -87,7 +87,7 @@ def test_dimension_shards_change_nothing(spark, shards):
     assert sorted(map(tuple, similarity(r, partition="dim", shards=shards, emit=False).collect())) == sorted(map(tuple, similarity(r, emit=False).collect()))
 
 
-@pytest.mark.parametrize("options", [{"payload": "packed", "partition": "dim", "shards": 2}, {"payload": "f16"}, {"partition": "row"}, {"shards": 2}, {"fast": True}, {"candidates": "lsh", "payload": "i32"}, {"candidates": "some"}])
+@pytest.mark.parametrize("options", [{"payload": "packed"}, {"payload": "i32", "partition": "pair"}, {"partition": "dim", "shards": 0}, {"payload": "f16"}, {"partition": "row"}, {"shards": 2}, {"fast": True}, {"candidates": "lsh", "payload": "i32"}, {"candidates": "some"}])
 def test_options_that_do_not_apply_are_refused(spark, options):
     with pytest.raises(InputRefused):
         similarity(table(spark, OK), **options)
