@@ -34,7 +34,7 @@ from affinis.llm.common import dropped, fewer_files, numbers, small_batches, wri
 
 BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
-PART = 5_000  # chunks whose lattices one partition holds
+PART = 4_000  # chunks whose lattices one partition holds
 HOT = 262_144  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
 WORDS = 300_000  # distinct words that a task holds
@@ -324,11 +324,13 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
     counts = written(chunk_counts(docs, text, m), "chunks")
-    # partitions of a fixed number of chunks hold their edges in memory; beyond that the aggregate sorts
+    # partitions of a fixed number of chunks hold their edges in memory (beyond that the aggregate
+    # sorts); the paths are so short that they go into few files
     spark.conf.set(key, str(2 * PART))
     try:
         dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
-        out = written(fewer_files(lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi"))), "pieces")
+        folded = lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi"))
+        out = written(fewer_files(folded.repartition("chunk")), "pieces")
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     dropped(counts)
@@ -417,14 +419,16 @@ def id_kind(m: Model) -> str:
 
 
 def _blocks(batches, at: int):
-    """(number of the block, its batches), each of about BLOCK code points in column ``at``. The number
-    comes from the place of the rows in the scan, whatever the size of its batches."""
+    """(number of the block, its batches), each of about BLOCK code points in column ``at``; the next
+    column holds the number of the partition. The block's number comes from the place of the rows in
+    the scan, whatever the size of its batches."""
     import pyarrow.compute as pc
-    from pyspark import TaskContext
 
-    k = TaskContext.get().partitionId() << 24
-    held, size = [], 0
+    held, size, k = [], 0, None
     for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(at + 1)[0].as_py() << 24 if k is None else k
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < b.num_rows:
@@ -471,8 +475,9 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True), strict=True)))
     new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
-    rows = docs.select(*names, F.col(text).alias("_text_"))
-    schema = StructType([*rows.schema.fields[:-1], *new.fields])
+    # the partition's number is asked of the scan itself: a union numbers its tasks anew
+    rows = docs.select(*names, F.col(text).alias("_text_"), F.spark_partition_id().alias("_part_"))
+    schema = StructType([*rows.schema.fields[:-2], *new.fields])
 
     def spots(batches):
         find, known = m.cutter.findall, frequent.value
@@ -546,7 +551,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                     yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1]], names=schema.names)
 
     with numbers(spark):
-        some = rows.select("_text_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
+        some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
         found = written(some.select("block", "chunk", "merge", "viterbi").mapInArrow(grouped, "block long, data binary"), "paths")
     dropped(pieces)
     texts = rows.mapInArrow(stowed, "block long, data binary")

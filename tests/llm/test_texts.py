@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.llm import jpeg, language, mixing, pieces, pii, toxicity
+from affinis.llm import common, jpeg, language, mixing, pieces, pii, toxicity
 from affinis.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -113,16 +113,28 @@ def test_packed_ids():
     assert pieces.unpacked(pieces.packed(rows)) == {c: (x, y) for c, x, y in rows}
 
 
-def test_small_blocks_give_the_same(spark, model, library, monkeypatch):
+def test_blocks_do_not_hang_on_batches(monkeypatch):
     import pyarrow as pa
 
-    b = pa.RecordBatch.from_arrays([pa.array(["abc", None, "de", "", "f" * 10, "g"])], names=["t"])
+    b = pa.RecordBatch.from_arrays([pa.array(["abc", None, "de", "", "f" * 10, "g"]), pa.array([1] * 6)], names=["t", "part"])
     monkeypatch.setattr(pieces, "BLOCK", 4)
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 1})())
-    got = [(k - (1 << 24), [t for x in held for t in x.column(0).to_pylist()]) for k, held in pieces._blocks([b, b.slice(0, 2)], 0)]
+    got = [(k - (1 << 24), [t for x in held for t in x.column(0).to_pylist()]) for k, held in pieces._blocks([b, b.slice(0, 0), b.slice(0, 2)], 0)]
     assert got == [(0, ["abc", None, "de"]), (1, ["", "f" * 10]), (2, ["g", "abc"]), (3, [None])]
 
 
+def test_blocks_meet_their_paths(spark, model, monkeypatch, tmp_path):
+    """Both scans number the blocks alike, so that no block has to fold chunks by itself."""
+    docs = Q.table(spark, SF, "documents").repartition(5).select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/d")
+    seen = []
+    monkeypatch.setattr(pieces, "written", lambda df, name: seen.append(common.written(df, name)) or seen[-1])
+    encoded = pieces.encode(spark.read.parquet(f"{tmp_path}/d"), model, hot=0)
+    assert encoded.count() == docs.count()
+    paths = {r.block for r in seen[-1].select("block").collect()}
+    parts = spark.read.parquet(f"{tmp_path}/d").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert seen[-1].columns == ["block", "data"] and {b >> 24 for b in paths} == set(range(parts))
+
+
 def test_piece_edge_cases(spark, odd, empty, model, library):
     got = pieces.decode(pieces.encode(odd, model, hot=3), model).collect()
     assert len(got) == len(ODD) and pieces.encode(empty, model).count() == 0
