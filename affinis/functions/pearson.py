@@ -47,8 +47,3 @@ def unpacked(w0: Column, w1: Column) -> list[Column]:
 def bit_length(x: Column) -> Column:
     """Bits of a nonnegative integer: digits of its binary form, 0 for 0. Exact, unlike a logarithm."""
     return F.when(x == 0, F.lit(0)).otherwise(F.length(F.bin(x)))
-
-
-def shard_bound(total: Column, g: Column, shards: Column) -> Column:
-    """First index of shard g of [0, total)."""
-    return F.floor(total * g / shards).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.schemas import InputRefused
+from affinis.sources.shared import written
 
 # fixed values: characters that are deleted before splitting, and stop words beside those of a file
 DELETED = "([,.!?:;])1234567890$/\\\"%#"
@@ -18,9 +19,12 @@ def token_array(text: Column, stop: list[str] | None = None) -> Column:
     return F.filter(words, lambda t: ~t.isin(listed))
 
 
-def tokens(docs: DataFrame, doc: str, text: str = "text", stop: list[str] | None = None) -> DataFrame:
-    """(doc, word), one row per occurrence. Documents of one ``doc`` are read as one."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(token_array(F.col(text), stop)).alias("word"))
+def tokens(docs: DataFrame, doc: str, text: str = "text", stop: list[str] | DataFrame | None = None) -> DataFrame:
+    """(doc, word), one row per occurrence. Documents of one ``doc`` are read as one. stop: a short
+    list, or a table (word) of any length."""
+    listed = None if isinstance(stop, DataFrame) else stop
+    out = docs.select(F.col(doc).alias("doc"), F.explode(token_array(F.col(text), listed)).alias("word"))
+    return out.join(stop, "word", "left_anti").select("doc", "word") if isinstance(stop, DataFrame) else out
 
 
 def term_counts(words: DataFrame) -> DataFrame:
@@ -28,7 +32,8 @@ def term_counts(words: DataFrame) -> DataFrame:
 
 
 def term_frequency(counts: DataFrame) -> DataFrame:
-    """(doc, word, cnt, tf): count over the largest count of the document."""
+    """(doc, word, cnt, tf): count over the largest count of the document. The table of largest counts
+    is joined back rather than read off a window, which would hold all words of a document at once."""
     top = counts.groupBy("doc").agg(F.max("cnt").alias("top"))
     return counts.join(top, "doc").select("doc", "word", "cnt", (F.col("cnt") / F.col("top")).alias("tf"))
 
@@ -39,12 +44,14 @@ def inverse_frequency(counts: DataFrame, documents: int, rare: float) -> DataFra
     return w.where(F.col("total") > rare).select("word", "df", "total", F.log2(F.lit(documents) / F.col("df")).alias("idf"))
 
 
-def tfidf(docs: DataFrame, doc: str, text: str = "text", stop: list[str] | None = None, rare_share: float = 1e-6) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, text: str = "text", stop: list[str] | DataFrame | None = None, rare_share: float = 1e-6) -> DataFrame:
     """(doc, word, tfidf), rounded to 9 places so that ranks do not hang on the last bit.
 
     Words with at most ``rare_share`` of all tokens are left out."""
-    counts = term_counts(tokens(docs, doc, text, stop))
-    scalars = counts.agg(F.count_distinct("doc").alias("n"), F.sum("cnt").alias("t")).first()
+    # texts are read and counted once; all that follows reads the counts
+    counts = written(term_counts(tokens(docs, doc, text, stop)), "term-counts")
+    per = counts.groupBy("doc").agg(F.sum("cnt").alias("t"))
+    scalars = per.agg(F.count("*").alias("n"), F.sum("t").alias("t")).first()
     idf = inverse_frequency(counts, scalars.n, rare_share * (scalars.t or 0))
     return term_frequency(counts).join(idf, "word").select("doc", "word", F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf"))
 

@@ -41,15 +41,16 @@ def paired_ratio(trials: DataFrame, x: str, y: str) -> DataFrame:
 def bootstrap(trials: DataFrame, x: str, y: str, draws: int = 5000, seed: int = 20260917) -> DataFrame:
     """One row: 2.5 and 97.5 % bounds of the geometric mean over block resamples within segments.
 
-    Each draw picks as many blocks of a segment as it has; picks come from a hash of (seed, draw,
-    segment, place), so runs agree. draws x blocks rows are formed and aggregated side by side."""
-    spark = trials.sparkSession
+    Each draw picks as many blocks of a segment as it has; picks come from md5 of (seed, draw, segment,
+    place), so runs and engines agree. draws x blocks rows are formed and aggregated side by side."""
     r = log_ratios(trials, x, y)
     w = Window.partitionBy("segment").orderBy("block")
-    blocks = r.withColumn("at", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(Window.partitionBy("segment")))
-    sizes = blocks.groupBy("segment").agg(F.count("*").alias("size")).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))))
-    picks = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(sizes)).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "draw", "segment", "place"), F.col("size")).cast("int"))
-    means = picks.join(F.broadcast(blocks.select("segment", "at", "r")), ["segment", "at"]).groupBy("draw").agg(F.avg("r").alias("m"))
+    blocks = r.withColumn("at", F.row_number().over(w) - 1)
+    sizes = r.groupBy("segment").agg(F.count("*").alias("size"))
+    places = blocks.select("segment", "at").join(sizes, "segment").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    name = F.concat_ws("|", F.lit(str(seed)), "draw", "segment", "at")
+    picks = places.select("segment", "draw", F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long"), F.col("size")).cast("int").alias("at"))
+    means = picks.join(blocks.select("segment", "at", "r"), ["segment", "at"]).groupBy("draw").agg(F.avg("r").alias("m"))
     lo, hi = F.percentile("m", 0.025), F.percentile("m", 0.975)
     return means.agg(F.count("*").alias("draws"), F.round(F.exp(lo), 9).alias("low"), F.round(F.exp(hi), 9).alias("high"))
 

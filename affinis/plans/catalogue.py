@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from affinis.operators import content, lsh, overlap, predict, ratings, stats, subsets, validate
 from affinis.plans import relations as rel
 from affinis.plans.engine import similarity
+from affinis.plans.files_catalogue import QUERIES as FILE_QUERIES
 from affinis.schemas import SIX
 
 # fixed values
 PREFIX_SIZES = [1, 2, 3, 63, 64, 65, 127, 128, 129, 511, 512, 513]
 TOP_K = 50
-QUERIES: dict = {}
+QUERIES: dict = dict(FILE_QUERIES)
 
 
 def query(f):
@@ -447,14 +448,13 @@ def fixture_roundtrip(spark, sf_dir):
 @query
 def incremental_sums(spark, sf_dir):
     """Six sums after three micro-batches, equal to those of the whole table."""
-    import tempfile
-    import uuid
-
+    from affinis.sources.shared import fresh
     from affinis.streaming.deltas import SumStore
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    store = SumStore(spark, f"{shared or tempfile.mkdtemp()}/sums-{uuid.uuid4().hex}")
+    store = SumStore(spark, fresh(spark, "sums"))
     r = rel.suppliers(spark, sf_dir)
     for b in range(3):
         store.add(r.where(F.pmod(F.col("d"), F.lit(3)) == b), b)
+        if b == 1:
+            store.compact(b)
     return store.totals().select("i", "j", "n", "sim")

@@ -176,3 +176,44 @@ SELECT config, n AS n_trials, round(m, 9) AS median_s, round(lo, 9) AS min_s, ro
     "incremental_sums": _chain(SUP) + "SELECT i, j, n, sim FROM sims",
 }
 ORACLES["prefix_pairs_boundary"] = _prefix()
+
+# --- files --------------------------------------------------------------------------------------
+
+NAMED = "SELECT 'u' || d AS user_id, 'b' || e AS business_id, v AS stars FROM ratings"
+NAMED_MODEL = "SELECT least('b' || i, 'b' || j) AS a, greatest('b' || i, 'b' || j) AS b, sim FROM model"
+
+
+def _strings(relation: str, e: str, d: str) -> str:
+    """The rating relation under the names that the files hold, so that they sort as strings."""
+    return relation.replace("SELECT e, d, v FROM (SELECT", f"SELECT {e} AS e, {d} AS d, v FROM (SELECT")
+
+
+_ITEMS, _USERS = _strings(SUP, "'b' || e", "'u' || d"), _strings(CUST, "'u' || e", "'b' || d")
+_SCORE = "SELECT count(*) AS n, count(pred) AS answered, round(sqrt(avg((pred - v) * (pred - v))), 6) AS rmse FROM pred"
+_LSH_MODEL = "lshmodel AS (SELECT model.* FROM model JOIN jac USING (i, j))"
+_USER_PRED = """sym AS (SELECT i AS x, j AS y, sim FROM lshmodel UNION ALL SELECT j, i, sim FROM lshmodel), avgs AS (SELECT e, avg(v) AS a FROM ratings GROUP BY e),
+agg AS (SELECT t.e AS u, t.d AS i, sum((r.v - b.a) * s.sim) AS num, sum(abs(s.sim)) AS den FROM ratings t JOIN sym s ON s.x = t.e JOIN ratings r ON r.e = s.y AND r.d = t.d JOIN avgs b ON b.e = r.e GROUP BY t.e, t.d),
+pred AS (SELECT t.v, CASE WHEN num IS NULL OR num = 0 OR den = 0 THEN a.a ELSE a.a + num / den END AS pred FROM ratings t JOIN avgs a ON a.e = t.e LEFT JOIN agg ON agg.u = t.e AND agg.i = t.d)"""
+
+ORACLES |= {
+    "source_reviews": f"WITH {SUP} {NAMED}",
+    "source_test_pairs": f"WITH {SUP} SELECT user_id, business_id FROM ({NAMED})",
+    "source_numbered_lines": f"WITH {SUP} SELECT count(*) AS n, 0::BIGINT AS first, count(*) - 1 AS last, (count(*) * (count(*) - 1) // 2)::BIGINT AS total, count(*) AS numbers FROM ratings",
+    "source_numbered_reviews": f"WITH {SUP} SELECT business_id, max(user_id) AS user_id, min(user_id) AS first_user FROM ({NAMED}) GROUP BY business_id",
+    "source_model": _chain(SUP) + NAMED_MODEL,
+    "sink_model_by_name": _chain(SUP) + NAMED_MODEL,
+    "sink_results": _chain(SUP) + "SELECT row_number() OVER (ORDER BY i, j) - 1 AS k, sim FROM sims",
+    "source_averages": ORACLES["entity_averages_with_unk"],
+    "source_stop_words": f"WITH {TOKENS}, stop AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(lower(text), '{_DEL}', ''), '\\s+')) AS word FROM benchmark) SELECT * FROM cnt WHERE word NOT IN (SELECT word FROM stop WHERE word IS NOT NULL)",
+    "source_sections": f"{CONTENT}, t20 AS (SELECT * FROM top WHERE rank <= 20) SELECT 'b' AS section, doc AS id, (rank - 1)::INTEGER AS at, word FROM t20 UNION ALL SELECT 'u', doc, 0, word FROM t20 WHERE rank = 1",
+    "source_trace": "SELECT (user_id % 4)::BIGINT AS device, CASE WHEN event_id % 2 = 0 THEN 'stats' ELSE 'reduce' END AS name, (10 * event_id)::BIGINT AS s, (10 * event_id + user_id % 7 + 1)::BIGINT AS e FROM events WHERE event_id < 1000",
+    "source_records": f"WITH {TRIALS} SELECT config, count(*) AS n, round(sum(seconds), 6) AS seconds FROM trials GROUP BY config",
+    "train_predict_item": _chain(_ITEMS, SYM, ITEM_PRED) + _SCORE,
+    "train_predict_user": _chain(_USERS, _hashes(50), _jaccard(0.01), _LSH_MODEL, _USER_PRED) + _SCORE,
+    "fixture_roundtrip": "SELECT unnest(['digests', 'emitted_count', 'golden_recomputed', 'dims_ascending', 'pair_canonical', 'pairs_sorted']) AS rule, 0::BIGINT AS violations",
+    "bootstrap_ci": f"""WITH {TRIALS}, lr AS (SELECT segment, block, ln(a.seconds / b.seconds) AS r FROM trials a JOIN trials b USING (block, segment) WHERE a.config = 'A' AND b.config = 'R'),
+bl AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY block) - 1 AS pos, count(*) OVER (PARTITION BY segment) AS size FROM lr),
+pk AS (SELECT segment, draw, ('0x' || substr(md5('20260917|' || draw || '|' || segment || '|' || pos), 1, 12))::BIGINT % size AS pos FROM bl, generate_series(0, 4999) g(draw)),
+mn AS (SELECT draw, avg(r) AS m FROM pk JOIN bl USING (segment, pos) GROUP BY draw)
+SELECT count(*) AS draws, round(exp(quantile_cont(m, 0.025)), 9) AS low, round(exp(quantile_cont(m, 0.975)), 9) AS high FROM mn""",
+}

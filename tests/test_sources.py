@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import content, overlap, stats
+from affinis.operators import content, overlap, stats, subsets
+from affinis.plans import recommender
 from affinis.schemas import InputRefused, ValidationFailed
 from affinis.sources import files, fixture, trace
 from affinis.streaming.deltas import SumStore, event_counts, maintain
@@ -37,7 +38,10 @@ def test_models_averages_stop_words(spark, tmp_path):
     a = write(tmp_path / "avg.json", ['{"u1": 3.5, "UNK": 3.0}'])
     assert {r.id: r.avg for r in files.averages(spark, a).collect()} == {"u1": 3.5, "UNK": 3.0}
     assert files.averages_beside("/x/y/train.json", "user_avg.json") == "/x/y/user_avg.json"
-    assert "the" in files.stop_words(spark, write(tmp_path / "stop", ["the", "a"]))
+    stop = files.stop_words(spark, write(tmp_path / "stop", ["the", "a", "the"]))
+    assert sorted(r.word for r in stop.collect()) == sorted([*content.EXTRA_STOP, "a", "the"])
+    d = spark.createDataFrame([("b", "the cat A hat")], "doc string, text string")
+    assert sorted(r.word for r in content.tokens(d, "doc", stop=stop).collect()) == ["cat", "hat"]
 
 
 def test_sectioned_file_roundtrip(spark, tmp_path):
@@ -135,6 +139,52 @@ def test_stream_of_cells_equals_the_whole(spark, tmp_path):
     assert key(store.totals()) == key(want)
 
 
+def test_batches_run_again_and_compaction_change_nothing(spark, tmp_path):
+    rows = [(e, d, float((e * 5 + d) % 7 + 1)) for e in range(8) for d in range(6)]
+    r = spark.createDataFrame(rows, "e long, d long, v double")
+    twice = r.union(r.select("e", "d", (F.col("v") + 1).alias("v")))
+    want = overlap.with_similarity(overlap.six_sums(r.select("e", "d", (F.col("v") + 1).alias("v"))))
+    key = lambda d: sorted(map(tuple, d.select("i", "j", "n", "sim").collect()))
+    store = SumStore(spark, f"{tmp_path}/store")
+    for b in (0, 1, 1, 2):  # a batch that is run again
+        store.add(twice.where(F.pmod(F.col("d"), F.lit(3)) == b), b)
+        store.compact(b - 1)
+    assert key(store.totals()) == key(want)
+    store.compact(2)
+    assert key(store.totals()) == key(want)
+    late = SumStore(spark, f"{tmp_path}/late")
+    late.add(r.withColumn("ord", F.lit(2)).union(r.select("e", "d", (F.col("v") + 1).alias("v"), F.lit(1).alias("ord"))), 0)
+    assert key(late.totals()) == key(overlap.with_similarity(overlap.six_sums(r)))
+
+
+def test_results_keep_their_places(spark, tmp_path):
+    sims = spark.range(5000).select((F.col("id") % 71).alias("i"), F.col("id").alias("j"), F.rand(3).alias("sim"))
+    files.write_results(sims, f"{tmp_path}/out")
+    want = [r.sim for r in sims.orderBy("i", "j").collect()]
+    assert [r.sim for r in files.results(spark, f"{tmp_path}/out").orderBy("k").collect()] == want
+
+
+def test_shard_ranges_beyond_doubles(spark):
+    total = 2**53 + 3
+    ranges = subsets.shard_ranges(spark, total, 7).orderBy("g").collect()
+    assert [(r.begin, r.end) for r in ranges] == [(total * g // 7, total * (g + 1) // 7) for g in range(7)]
+
+
+def test_train_and_predict_from_files(spark, tmp_path):
+    """The last line of a pair counts; an unknown item falls back to the overall average of the file."""
+    rows = [("u1", "b1", 1), ("u1", "b1", 4), ("u2", "b1", 5), ("u3", "b1", 1), ("u1", "b2", 4), ("u2", "b2", 5), ("u3", "b2", 1), ("u4", "b2", 2), ("u4", "b3", 3)]
+    train = write(tmp_path / "train.json", [json.dumps({"user_id": u, "business_id": b, "stars": s, "text": ""}) for u, b, s in rows])
+    test = write(tmp_path / "test.json", [json.dumps({"user_id": u, "business_id": b}) for u, b in (("u4", "b1"), ("u9", "b9"))])
+    paths = [f"file://{tmp_path}/{x}" for x in ("model", "avg", "out")]
+    recommender.train(spark, train, paths[0], "item", averages_path=paths[1])
+    assert [(r.a, r.b) for r in files.model(spark, paths[0]).collect()] == [("b1", "b2")]
+    recommender.predict(spark, train, test, paths[0], paths[2], "item", averages_path=paths[1])
+    got = {(r.user_id, r.business_id): r.stars for r in files.reviews(spark, paths[2]).collect()}
+    assert got["u4", "b1"] == 2.0 and got["u9", "b9"] == pytest.approx(sum([4, 5, 1, 4, 5, 1, 2, 3]) / 8)
+    with pytest.raises(InputRefused):
+        recommender.train(spark, train, paths[0], "page")
+
+
 def test_event_windows(spark):
     e = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (1, "2024-01-01 23:00:00"), (1, "2024-01-02 00:00:00")], "user_id long, ts string").select("user_id", F.to_timestamp("ts").alias("ts"))
     assert sorted(r.n for r in event_counts(e).collect()) == [1, 2]
