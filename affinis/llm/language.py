@@ -20,6 +20,7 @@ from affinis.llm.common import bounded_sample, held_out, mapped, small_batches
 
 BITS = 16
 GRAM = 4
+CELLS = 1 << 22  # numbers that the table gives at once, whatever the number of languages
 HAS_LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters become spaces; all bytes of longer code points stay.
 TO_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -42,6 +43,9 @@ def grams(joined: bytes) -> np.ndarray:
     return (v * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
+BLANKS = grams(b"    ")[0]
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = 20_000) -> Model:
     """Learn from a sample of at most about ``rows`` rows with text and language, held-out rows apart."""
     import pyarrow as pa
@@ -67,9 +71,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     for i, k in enumerate(languages):
         own = got[got["lang"] == k]
         table[own["gram"].to_numpy(), i] += own["n"].to_numpy()
-    table[grams(b"       ")[0]] = 1  # blanks tell nothing
     table = np.log(table / table.sum(axis=0)) if languages else table
-    return Model(languages, (table - table.mean(axis=1, keepdims=True)).astype(np.float32) if languages else table)
+    table = (table - table.mean(axis=1, keepdims=True)).astype(np.float32) if languages else table
+    table[BLANKS] = 0  # blanks tell nothing, however many of them follow a word
+    return Model(languages, table)
 
 
 def mixtures(texts: list[str | None], model: Model, rounds: int = 8, most: int | None = None, penalty: float = 2.0, floor: float = -12.0):
@@ -88,8 +93,16 @@ def mixtures(texts: list[str | None], model: Model, rounds: int = 8, most: int |
         return np.zeros((n, k)), np.zeros(n, int)
     # each position's gram counts for the word whose first letter is at or after the gram's start
     h = grams(joined)
-    low = model.table[h[start[0] - 1 :]]
-    ll = np.add.reduceat(low, start - start[0], axis=0)
+    edges = np.cumsum([len(p) for p in parts])[:-1]
+    h[edges - 1] = h[edges - 2] = BLANKS  # they reach into the next text
+    ll = np.empty((len(start), k), np.float32)
+    ends = np.append(start[1:], len(h) + start[0]) - start[0]
+    lo = 0
+    while lo < len(start):  # words whose table rows fill CELLS numbers, at least one
+        hi = max(lo + 1, int(np.searchsorted(ends, start[lo] - start[0] + CELLS // k, side="right")))
+        a, b = start[lo] - 1, start[0] - 1 + ends[hi - 1]
+        ll[lo:hi] = np.add.reduceat(model.table[h[a:b]], start[lo:hi] - start[lo], axis=0)
+        lo = hi
     ll -= ll.max(axis=1, keepdims=True)
     np.maximum(ll, floor, out=ll)
     p = np.exp(ll)
@@ -143,7 +156,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     def make():
         def work(texts):
-            pi, size = mixtures(texts, model)
+            # in parts of bounded size: rows by words by languages are held several times
+            sizes = np.cumsum([len(t or "") for t in texts]) // max(1, CELLS * 4 // max(1, len(model.languages)))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)] if len(texts) else [0]
+            parts = [mixtures(texts[a:b], model) for a, b in zip(cuts, cuts[1:], strict=False)]
+            pi, size = np.concatenate([x for x, _ in parts]) if parts else np.zeros((0, len(model.languages))), np.concatenate([n for _, n in parts]) if parts else []
             lang, score, names, shares = [], [], [], []
             for t, x, s in zip(texts, pi, size, strict=True):
                 if not s or not HAS_LETTER.search(t or ""):

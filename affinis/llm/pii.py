@@ -13,6 +13,7 @@ text. Tagged addresses are completed by what their form joins to them.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -26,7 +27,8 @@ from affinis.llm.common import mapped, ragged
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match can only start where a run of digits does, and takes whole runs: so no digit is read often
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -416,7 +418,10 @@ def all_spans(texts: list[str | None], f: Field) -> list[tuple[list[Span], list[
     out = []
     for text, more in zip(texts, field_spans(texts, f), strict=True):
         base = base_spans(text)
-        kept = [s for s in more if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        starts, reach = [], []  # base spans by their start, and how far those up to there reach
+        for _, a, b in sorted(base, key=lambda s: s[1]) if more else ():
+            starts.append(a), reach.append(max(b, reach[-1] if reach else 0))
+        kept = [s for s in more if not (i := bisect.bisect_left(starts, s[2])) or reach[i - 1] <= s[1]]
         out.append((sorted(base, key=order), sorted(base + kept, key=order)))
     return out
 

@@ -4,9 +4,10 @@
    neighbours in key order, and a hot group of equal texts can still be split by id.
 2. A sample of keys is drawn with a chance in proportion to the record's size, so its quantiles
    are quantiles of bytes. Its size is bounded by ``sample`` whatever the input.
-3. Every ``sample / ranges``-th key becomes a splitter. Records are dealt to the ranges between them;
-   ranges that hold more than twice their share of bytes or of rows draw further keys and are cut
-   again, until none is overfull or no more keys can be told apart.
+3. Every ``sample / ranges``-th key becomes a splitter, and no range has more than about
+   ``rows_each`` rows. Records are dealt to the ranges between the splitters; ranges that hold
+   more than twice their share of bytes or of rows draw further keys and are cut again, until none is
+   overfull, unless all its rows have one key (rows that are equal in text and id).
 4. Inside a range records are ranked by key. With the ranges' totals (one short row per range) this
    gives each record its exact place in the global order by bytes, and the shard follows from it.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from affinis.llm.common import written
 
 HASH_CHARS = 16
+LEAST_EACH = 1000  # rows that are worth a range
 
 
 def _key(text: Column, doc_id: Column) -> Column:
@@ -59,32 +61,37 @@ def _cuts(keys: list[str], every: int) -> list[str]:
     return out
 
 
-def sharded(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", ranges: int = 256, sample: int = 4096, rounds: int = 4) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", ranges: int = 256, sample: int = 4096, rows_each: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Law: ``bytes``. Sizes of shards differ from the mean by less than the larger of the longest
     record and 2 % of a shard. Rows of equal text stay in one shard if together they are no larger
     than that; a larger group is cut by id. Null texts count as empty, with size 1. Repeated rows
     are dealt like any others, a null id ranks as -1. Slots count from 0 in each shard. Extra columns
-    are ignored; an empty table gives an empty table.
+    are ignored; an empty table gives an empty table. Small tables have fewer ranges than ``ranges``,
+    and those of more than ``ranges * rows_each`` rows have more; ``sample`` keys go with ``ranges``.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     light = written(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), _key(body, F.col(doc_id)).alias("key")), "light")
     total, rows, longest = light.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    each = max(1, sample // ranges)
+    ranges = max(1, min(ranges, rows // LEAST_EACH), -(-rows // rows_each))
+    sample = each * ranges
     cuts = _cuts(_drawn(light, total, sample, 0), max(1, sample // ranges))
-    for turn in range(1, rounds + 1):
+    turn = 0
+    while True:
+        turn += 1
         dealt = light.withColumn("range", _range_of(cuts))
-        load = {r["range"]: (r.b, r.n) for r in dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-        over = [i for i, (b, n) in load.items() if b > 2 * total / ranges or n > 2 * rows / ranges]
+        load = {r["range"]: (r.b, r.n) for r in dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").collect()}
+        over = [i for i, (b, n) in load.items() if (b > 2 * total / ranges and b > 2 * longest) or n > 2 * rows / ranges + 1]
         if not over:
             break
         part = dealt.where(F.col("range").isin(over))
         held = sum(max(load[i][0] / max(total, 1), load[i][1] / max(rows, 1)) for i in over)
         more = _drawn(part.withColumn("size", F.greatest("size", F.lit(total / max(rows, 1)))), max(1, int(held * total)), max(64, int(8 * ranges * held)), turn)
-        fresh = sorted(set(cuts) | set(_cuts(more, 4)))
-        if len(fresh) == len(cuts) or len(fresh) > 4 * ranges:
-            break
-        cuts = fresh
+        # where too few keys were drawn, the greatest key of a range cuts it too
+        tops = [] if turn % 4 else [r.hi for r in part.groupBy("range").agg(F.max("key").alias("hi")).collect()]
+        cuts = sorted(set(cuts) | set(_cuts(more, 4)) | set(tops))
     dealt = light.withColumn("range", _range_of(cuts)).withColumn("group", F.substring("key", 1, HASH_CHARS))
     totals = sorted((r["range"], r.b, r.n) for r in dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
     spot, at_b, at_n = {}, 0, 0

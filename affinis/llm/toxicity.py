@@ -173,23 +173,23 @@ def features(text: str | None, matcher: Matcher, model: Model) -> np.ndarray:
     return out
 
 
-def mine(words: DataFrame, positives: int, negatives: int, most: int = 2000) -> list[tuple[str, float, bool]]:
-    """Terms from (term, stem, n1, n0): document counts in toxic and other rows."""
+def mine(words: DataFrame, positives: int, negatives: int) -> list[tuple[str, float, bool]]:
+    """Terms from (term, stem, n1, n0): document counts in toxic and other rows. All that pass the
+    thresholds; their number is bounded by the words of the sample."""
     base = positives / max(1, positives + negatives)
     share = F.col("n1") / (F.col("n1") + F.col("n0"))
     expected = (F.col("n1") + F.col("n0")) * base
     z = (F.col("n1") - expected) / F.sqrt(expected * F.lit(max(1e-9, 1 - base)) + F.lit(0.25))
-    rows = words.where((F.col("n1") >= 3) & (share >= 0.75) & (z >= 4.5)).select("term", "stem", "n1", "n0", z.alias("z")).orderBy(F.desc("z"), "term", "stem").limit(most).collect()
+    rows = words.where((F.col("n1") >= 3) & (share >= 0.75) & (z >= 4.5)).select("term", "stem", "n1", "n0", z.alias("z")).orderBy(F.desc("z"), "term", "stem").collect()
     odds = lambda r: float(np.clip(np.log((r.n1 + 0.5) / (r.n0 + 0.5)) - np.log(max(positives, 1) / max(negatives, 1)), 0.5, 6))
-    stems = sorted((r for r in rows if r.stem), key=lambda r: len(r.term))
-    kept: list[str] = []
-    for r in stems:  # a longer stem of a kept stem adds nothing
-        if not any(r.term.startswith(k) for k in kept):
-            kept.append(r.term)
+    kept: set[str] = set()
+    for r in sorted((r for r in rows if r.stem), key=lambda r: len(r.term)):  # a longer stem of a kept stem adds nothing
+        if not any(r.term[:k] in kept for k in range(1, len(r.term))):
+            kept.add(r.term)
     return [(r.term, odds(r), r.stem) for r in rows if not r.stem or r.term in kept]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, most_terms: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Model:
     """Learn terms and weights from a sample of at most about ``rows`` labelled rows that are not
     held out. The sampled labels (two short columns) are the side that is broadcast. Rows with a null
     id or label are passed over; an id with several labels counts as toxic if one of them is 1."""
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, most_terms: in
                 yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(stem, pa.bool_()), pa.array(y1, pa.int64())], names=["term", "stem", "y1"])
 
         counts = rows_.mapInArrow(spread, "term string, stem boolean, y1 long").groupBy("term", "stem").agg(F.sum("y1").alias("n1"), F.sum(1 - F.col("y1")).alias("n0"))
-        terms = mine(counts, pos, neg, most_terms)
+        terms = mine(counts, pos, neg)
         model = Model(terms, np.array([-3.0, 3.0, 0.5, 0.5, 0.0, 0.5, 0.0]))
         if not pos or not neg:
             return model

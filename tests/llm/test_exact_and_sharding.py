@@ -88,3 +88,21 @@ def test_sharding_edge_cases(spark):
     assert len(rows) == len(ODD)
     _law(rows, 4)
     assert {r["size"] for r in rows if r.doc_id in (3, 4)} == {1}
+
+
+def test_ranges_grow_and_hot_groups_are_cut(spark, monkeypatch):
+    """A third of all rows have one text; ranges of few rows are cut until none is overfull."""
+    monkeypatch.setattr(S, "LEAST_EACH", 10)
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")))).alias("text"))
+    rows = S.sharded(d, shards=4, ranges=8, rows_each=100).collect()
+    _law(rows, 4)
+    size = [sum(r["size"] for r in rows if r.shard == k) for k in range(4)]
+    assert len(rows) == 3000 and max(size) - min(size) <= 2 * max(51, 0.02 * sum(size) / 4) + 2
+
+
+def test_rows_with_one_key_do_not_hold_up(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_EACH", 10)
+    d = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = S.sharded(d, shards=4, ranges=8).collect()
+    assert len(rows) == 500
+    _law(rows, 4)
