@@ -25,8 +25,10 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
+from struct import pack
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ PART = 4_000  # chunks whose lattices one partition holds
 HOT = 262_144  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
 WORDS = 300_000  # distinct words that a task holds
+LEVEL = 3  # of compression of the texts that are sent to their blocks
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COARSE = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -317,9 +320,9 @@ def bounds_of(path: int) -> list[int]:
     return [i for i in range(path.bit_length()) if path >> i & 1]
 
 
-def dictionary(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
+def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True) -> DataFrame:
     """(chunk, n, merge, viterbi): every distinct chunk of at most LONGEST code points with its two
-    paths. Written to the shared folder."""
+    paths; unless ``both``, the path that the model does not ask for is 0. Written to the shared folder."""
     spark = docs.sparkSession
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
@@ -329,7 +332,8 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
     spark.conf.set(key, str(2 * PART))
     try:
         dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
-        folded = lattices(dealt, m).select("chunk", "n", merge_path(m).alias("merge"), viterbi_path(m).alias("viterbi"))
+        paths = {"merge": merge_path, "viterbi": viterbi_path}
+        folded = lattices(dealt, m).select("chunk", "n", *((f(m) if both or k == m.algorithm else F.lit(0).cast("bigint")).alias(k) for k, f in paths.items()))
         out = written(fewer_files(folded.repartition("chunk")), "pieces")
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
@@ -361,46 +365,43 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.coder.word(BLANK + word)
         for held, ids in zip(self.coder.words, got, strict=True):
-            if len(held) >= WORDS:
-                held.clear()
             held[word] = ids
         return got[self.which]
 
 
 class Coder:
-    """Ids of texts from the paths of chunks, as bytes. One for each task."""
+    """Ids of texts from the ids of chunks, as bytes. One for each task."""
 
-    def __init__(self, m: Model, frequent: dict[str, tuple[int, int]], both: bool):
+    def __init__(self, m: Model, frequent: dict[str, tuple[bytes, bytes]], both: bool):
         self.m, self.frequent, self.both, self.find = m, frequent, both, m.cutter.findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # of frequent chunks, and of those beyond LONGEST
         self.rare: dict[str, tuple[bytes, bytes]] = {}
         self.words = _Words(self, 0), _Words(self, 1)
+        self.forget()
 
-    def block(self) -> None:
-        """Forget what belongs to the block before."""
+    def forget(self) -> None:
+        """Keep frequent chunks only."""
         self.rare = {}
-        for held in self.words:
+        for held, ids in zip(self.words, _by_word(self.frequent), strict=True):
             held.clear()
+            held.update(ids)
 
-    def spelled(self, chunk: str, merge: list[int], viterbi: list[int]) -> tuple[bytes, bytes]:
-        """Ids of a chunk between the boundaries of the model's algorithm, and those of the other one."""
-        one, two = (viterbi, merge) if self.m.algorithm == "viterbi" else (merge, viterbi)
-        kind = id_kind(self.m)
-        first = np.array(ids_at(chunk, one, self.m), kind).tobytes()
-        return first, b"" if not self.both else first if one == two else np.array(ids_at(chunk, two, self.m), kind).tobytes()
+    def learn(self, chunks: dict[str, tuple[bytes, bytes]]) -> None:
+        """Take in the ids of a block's chunks; what stands behind one blank is a word by itself."""
+        if len(self.rare) + len(chunks) > WORDS or len(self.words[0]) > 2 * WORDS + len(self.frequent):
+            self.forget()
+        self.rare.update(chunks)
+        for held, ids in zip(self.words, _by_word(chunks), strict=True):
+            held.update(ids)
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        got = self.known.get(chunk) or self.rare.get(chunk)
+        got = self.frequent.get(chunk) or self.rare.get(chunk)
         if got is None:
-            paths = self.frequent.get(chunk)
-            got = self.spelled(chunk, *(map(bounds_of, paths) if paths else (bounds_merge(chunk, self.m), bounds_viterbi(chunk, self.m))))
-            if paths or len(chunk) > LONGEST and len(self.known) < 2 * HOT:
-                self.known[chunk] = got
+            got = spelled(chunk, bounds_merge(chunk, self.m), bounds_viterbi(chunk, self.m) if self.both or self.m.algorithm == "viterbi" else [], self.m, self.both)
+            if len(self.rare) < 2 * WORDS:
+                self.rare[chunk] = got
         return got
 
     def word(self, word: str) -> tuple[bytes, bytes]:
-        if word in self.rare or word in self.frequent:
-            return self.chunk(word)
         got = [self.chunk(c) for c in self.find(word)]
         return got[0] if len(got) == 1 else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
@@ -414,6 +415,23 @@ class Coder:
         return one, two
 
 
+def _by_word(chunks: dict[str, tuple[bytes, bytes]]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    whole = [(c[1:], x) for c, x in chunks.items() if c[0] == BLANK and c[1:2] not in ("", BLANK)]
+    return {w: x[0] for w, x in whole}, {w: x[1] for w, x in whole}
+
+
+def spelled(chunk: str, merge: list[int], viterbi: list[int], m: Model, both: bool) -> tuple[bytes, bytes]:
+    """Ids of a chunk between the boundaries of the model's algorithm, and those of the other one."""
+    one, two = (viterbi, merge) if m.algorithm == "viterbi" else (merge, viterbi)
+    kind = "H" if len(m.pieces) <= 1 << 16 else "I"
+    ids = ids_at(chunk, one, m)
+    first = pack(f"<{len(ids)}{kind}", *ids)
+    if not both or one == two:
+        return first, first if both else b""
+    ids = ids_at(chunk, two, m)
+    return first, pack(f"<{len(ids)}{kind}", *ids)
+
+
 def id_kind(m: Model) -> str:
     return "<u2" if len(m.pieces) <= 1 << 16 else "<u4"
 
@@ -446,12 +464,13 @@ def _blocks(batches, at: int):
 
 
 def packed(rows: list[tuple[str, bytes, bytes]]) -> bytes:
-    """Chunks and their ids as bytes: count, lengths, chunks, ids."""
+    """Chunks and their ids as compressed bytes: count, lengths, chunks, ids."""
     cols = [[c.encode("utf-8", "surrogatepass") for c, _, _ in rows], [x for _, x, _ in rows], [x for _, _, x in rows]]
-    return b"".join([np.array([len(rows), *(len(x) for col in cols for x in col)], "<u4").tobytes(), *(x for col in cols for x in col)])
+    return zstandard.compress(b"".join([np.array([len(rows), *(len(x) for col in cols for x in col)], "<u4").tobytes(), *(x for col in cols for x in col)]), 3)
 
 
 def unpacked(data: bytes) -> dict[str, tuple[bytes, bytes]]:
+    data = zstandard.decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     ends = (4 + 12 * n + np.cumsum(np.frombuffer(data, "<u4", 3 * n, 4))).tolist()
     cut = [data[s:e] for s, e in zip([4 + 12 * n, *ends], ends, strict=False)]
@@ -470,9 +489,9 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
 
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = dictionary(docs, m, text)
+    pieces = dictionary(docs, m, text, both)
     top = _hot(pieces, hot).select("chunk", "merge", "viterbi").toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True), strict=True)))
+    frequent = spark.sparkContext.broadcast({c: spelled(c, bounds_of(x), bounds_of(y), m, both) for c, x, y in zip(*(top.column(k).to_pylist() for k in range(3)), strict=True)})
     new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
     # the partition's number is asked of the scan itself: a union numbers its tasks anew
@@ -489,14 +508,14 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                     if t:
                         one, two = words_of(t, m)
                         words.update(one), rest.update(two)
-            rest.update([w for w in [BLANK + w for w in words] if w not in known])
-            out = {c for w in rest for c in find(w) if c not in known and len(c) <= LONGEST}
+            out = {c for c in [BLANK + w for w in words if w.isalpha()] if c not in known and len(c) <= LONGEST}
+            rest.update([BLANK + w for w in words if not w.isalpha()])
+            out.update([c for w in rest for c in find(w) if c not in known and len(c) <= LONGEST])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(list(out), pa.string())], names=["block", "chunk"])
 
     def grouped(batches):
         """The ids of a task's chunks, packed by block."""
-        coder = Coder(m, {}, both)
 
         def out():
             blocks = []
@@ -512,7 +531,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
         for b in batches:
             for block, chunk, one, two in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if chunk != last:  # rows of a chunk come one after the other
-                    last, row = chunk, (chunk, *coder.spelled(chunk, bounds_of(one), bounds_of(two)))
+                    last, row = chunk, (chunk, *spelled(chunk, bounds_of(one), bounds_of(two), m, both))
                 by[block].append(row)
             n += b.num_rows
             if n >= WORDS:
@@ -524,20 +543,17 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     def stowed(batches):
         for block, held in _blocks(batches, len(names)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
                 for b in held:
                     w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
-        coder, at, kind = Coder(m, frequent.value, both), None, np.dtype(id_kind(m))
+        coder, kind = Coder(m, frequent.value, both), np.dtype(id_kind(m))
         for b in batches:
-            for block, is_text, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if block != at:
-                    coder.block()
-                    at = block
-                if not is_text:
-                    coder.rare.update(unpacked(data))
+            for is_text, data in zip(*(b.column(c).to_pylist() for c in (1, 2)), strict=True):
+                if not is_text:  # comes before the texts of its block
+                    coder.learn(unpacked(data))
                     continue
                 for rows_ in pa.ipc.open_stream(data):
                     got = [coder.text(t) for t in rows_.column(len(names)).to_pylist()]
@@ -553,6 +569,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     with numbers(spark):
         some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
         found = written(some.select("block", "chunk", "merge", "viterbi").mapInArrow(grouped, "block long, data binary"), "paths")
+    del some
     dropped(pieces)
     texts = rows.mapInArrow(stowed, "block long, data binary")
     every = found.select("block", F.lit(False).alias("is_text"), "data").unionByName(texts.select("block", F.lit(True).alias("is_text"), "data"))
@@ -582,8 +599,8 @@ def decoded(ids: list[int], m: Model) -> str:
 def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) plus decoded, the text of the ids (null where they are null).
 
-    Whole columns of ids are looked up and joined in Arrow; only rows with byte or unknown pieces are
-    read one by one."""
+    Whole columns of ids are looked up and joined in Arrow; only rows with bytes of longer characters
+    or unknown pieces are read one by one."""
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql.types import StringType, StructField, StructType
@@ -594,7 +611,8 @@ def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | Non
     schema = StructType([*src.schema.fields[:-1], StructField("decoded", StringType())])
 
     def run(batches):
-        table = pa.array([p.replace(BLANK, " ") if p in m.ids else None for p in m.pieces], pa.string())
+        plain = {i: chr(b) for b, i in enumerate(m.bytes_[:128])}  # bytes that are characters by themselves
+        table = pa.array([p.replace(BLANK, " ") if p in m.ids else plain.get(i) for i, p in enumerate(m.pieces)], pa.string())
         for b in batches:
             rows = b.column(b.num_columns - 1)
             sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -602,9 +620,9 @@ def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | Non
             text = pc.binary_join(pieces, "").to_pylist()
             out = []
             for i, t in enumerate(text):
-                if t is None:  # some id is no text, or there are no ids at all
-                    row = rows[i].as_py()
-                    out.append(None if row is None else decoded(row, m))
+                if t is None:  # some id is a byte of a longer character or unknown, or there are no ids at all
+                    row = rows[i]
+                    out.append(decoded(row.values.to_numpy().tolist(), m) if row.is_valid else None)
                 elif not rows[i].is_valid:
                     out.append(None)
                 else:

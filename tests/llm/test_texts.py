@@ -103,6 +103,7 @@ def test_best_paths_are_those_of_the_unigram_library(spark, model, unigram):
 
 def test_blocks_that_miss_paths_fold_by_themselves(model, library):
     coder = pieces.Coder(model, {}, True)
+    coder.learn({"▁never": (b"", b"")})
     t = "Thedreat  ofoneainhe, 12 é" + "z" * 60
     ids, other = (np.frombuffer(x, pieces.id_kind(model)).tolist() for x in coder.text(t))
     assert ids == library.encode(t) and pieces.decoded(other, model) == t
