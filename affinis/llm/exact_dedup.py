@@ -52,12 +52,15 @@ def _salt(doc_id: Column, salts: int) -> Column:
 
 def exact_groups(rows: DataFrame, salts: int) -> DataFrame:
     """Of rows (digest, salt, norm, rank): one row per (text class, salt that occurs in it) with
-    digest, norm, salt, keep_id, group_size."""
-    salted = rows.groupBy("digest", "salt", "norm").agg(F.max("rank").alias("rank"), F.count("*").alias("n"))
-    whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("seen"))
-    low = F.expr(f"rank % {SPAN}BD")
-    keep = F.expr(f"{TOP}BD") - low
-    return whole.select("digest", "norm", F.when(low > 0, keep).cast("bigint").alias("keep_id"), "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
+    digest, norm, salt, best (the greatest rank), group_size."""
+    salted = rows.groupBy("digest", "salt", "norm").agg(F.max("rank").alias("best"), F.count("*").alias("n"))
+    whole = salted.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("seen"))
+    return whole.select("digest", "norm", "best", "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(seen, s) & 1L) = 1L)")).alias("salt"))
+
+
+def _id_of(rank: Column) -> Column:
+    low = rank % F.expr(f"{SPAN}BD")
+    return F.when(low > 0, F.expr(f"{TOP}BD") - low).cast("bigint")
 
 
 def repeated_digests(light: DataFrame) -> DataFrame:
@@ -65,6 +68,23 @@ def repeated_digests(light: DataFrame) -> DataFrame:
     return light.groupBy("digest", "salt").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
 
 
+def _parts(docs: DataFrame, text: str, doc_id: str, salts: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest) of all rows; the filter of repeated digests; and all columns of the rows that
+    it lets through, with _digest_, salt, norm, rank."""
+    if not 1 <= salts <= 62:  # a salt is a bit of a bigint
+        raise ValueError("salts must be between 1 and 62")
+    small_batches(docs.sparkSession)
+    salt = _salt(F.col(doc_id), salts)
+    light = written(docs.select(F.col(doc_id).alias("doc_id"), digest_of(F.col(text)).alias("digest"), salt.alias("salt")), "digests")
+    words = key_filter(repeated_digests(light), F.col("digest"), bits)
+    rows = marked(docs.withColumn("_digest_", digest_of(F.col(text))), F.col("_digest_"), words, "_twice_", bits)
+    return light, words, rows
+
+
+def _several(rows: DataFrame, text: str, doc_id: str, salts: int, *kept: Column) -> DataFrame:
+    return rows.where("_twice_").select(F.col("_digest_").alias("digest"), _salt(F.col(doc_id), salts).alias("salt"), normalised(F.col(text)).alias("norm"), _rank(F.col(doc_id), F.col(text)).alias("rank"), *kept)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16, bits: int = FILTER_BITS) -> DataFrame:
     """All columns of ``docs`` are left behind but the id: doc_id, keep_id, group_size, kept,
     text_sha256, one row per row of ``docs``.
@@ -74,22 +94,29 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sal
     Repeated rows of one id all count in group_size and carry the same verdict. Extra columns, of any
     name, are ignored. An empty table gives an empty table.
     """
-    if not 1 <= salts <= 62:  # a salt is a bit of a bigint
-        raise ValueError("salts must be between 1 and 62")
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    salt = _salt(F.col("doc_id"), salts).alias("salt")
-    light = written(source.select("doc_id", digest_of(F.col("text")).alias("digest"), salt), "digests")
-    digest = F.col("digest")
-    words = key_filter(repeated_digests(light), digest, bits)
+    light, words, rows = _parts(source, "text", "doc_id", salts, bits)
     sha = F.lower(F.hex("digest")).alias("text_sha256")
-    single = marked(light, digest, words, "twice", bits).where("NOT twice").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
-    several = marked(source.withColumn("digest", digest_of(F.col("text"))), digest, words, "twice", bits).where("twice").select("doc_id", "digest", salt, normalised(F.col("text")).alias("norm"), _rank(F.col("doc_id"), F.col("text")).alias("rank"))
-    groups = exact_groups(several.drop("doc_id"), salts)
+    single = marked(light, F.col("digest"), words, "twice", bits).where("NOT twice").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), sha)
+    several = _several(rows, "text", "doc_id", salts, F.col("doc_id"))
+    groups = exact_groups(several.drop("doc_id"), salts).withColumn("keep_id", _id_of(F.col("best")))
     judged = several.drop("rank").join(groups, ["digest", "salt", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
     return single.unionByName(fewer_files(judged))
 
 
+def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = 16, bits: int = FILTER_BITS) -> DataFrame:
+    """All columns of one row of each class of equal texts: the row that ``exact_dedup`` keeps. Of rows
+    that share that id too, the one with the greatest text stays. Rows whose text occurs once are
+    passed on where they are."""
+    _, _, rows = _parts(docs, text, doc_id, salts, bits)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    several = _several(rows, text, doc_id, salts, F.struct(*names).alias("row"))
+    groups = exact_groups(several.drop("row"), salts)
+    best = several.join(groups, ["digest", "salt", "norm"]).where("rank = best")
+    one = best.groupBy("digest", "norm").agg(F.max_by("row", F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).alias("row")).select("row.*")
+    return rows.where("NOT _twice_").select(*names).unionByName(one)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
      g AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)

@@ -346,4 +346,15 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     return fewer_files(every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-__all__ = ["features", "least_matches", "near_dedup", "shingles", "signature", "survivors"]
+def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 75, miss: float = 1e-4) -> DataFrame:
+    """All columns of the rows that ``near_dedup`` keeps: one document of each class, the one with the
+    least id, and all rows with a null id. Rows that are surely kept are passed on where they are; only
+    those whose id may be a dropped one meet the list of these."""
+    gone = written(fewer_files(near_dedup(docs, text, doc_id, words, percent, miss).where("NOT kept").select(F.col("doc_id").alias("_gone_")).distinct()), "gone")
+    rows = marked(docs, F.col(doc_id), key_filter(gone, F.col("_gone_")), "_maybe_")
+    left = rows.where("_maybe_").join(gone, F.col(doc_id) == F.col("_gone_"), "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.where("NOT _maybe_").select(*names).unionByName(left.select(*names))
+
+
+__all__ = ["features", "least_matches", "near_dedup", "shingles", "signature", "survivors", "without_near_copies"]

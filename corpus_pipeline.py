@@ -18,39 +18,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told by the mixture model; those without letters go."""
+    """Documents whose language is told by the mixture model; those without letters go, among them
+    null and empty texts. Repeated rows and rows without an id stay."""
     model = language.train(docs)
     return language.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of equal texts, the one that exact_dedup keeps. A null id stays where no
-    row of the class has an id; rows that share an id stay each if their texts differ."""
-    stay = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id_"), F.col("text_sha256").alias("_class_")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("_of_", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))
-    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id_")) & (F.col("_of_") == F.col("_class_")), "left_semi")
-    # of rows with the same id and class, the longest text
-    best = F.max_by(F.struct(*COLUMNS), F.struct(F.length("text"), F.col("text")))
-    return rows.groupBy("_of_").agg(F.coalesce(best, F.first(F.struct(*COLUMNS))).alias("_row_")).select("_row_.*")
+    row of the class has an id; rows that share an id stay each if their texts differ. Null and empty
+    texts are one class."""
+    return exact_dedup.without_copies(docs.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id. Rows with a null id
-    all stay; so do all rows of an id that is kept."""
-    stay = minhash.near_dedup(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id_")).distinct()
-    rows = docs.select(*COLUMNS)
-    return rows.join(stay, F.col("doc_id") == F.col("_id_"), "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    all stay, as do null and empty texts; so do all rows of an id that is kept."""
+    return minhash.without_near_copies(docs.select(*COLUMNS))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their fitted rates. A rate above 1 keeps a document once, so that the
-    copies which the stages before have removed do not come back."""
+    """Documents drawn by their fitted rates: as many rows of each as its copies, so that the totals of
+    the domains meet their targets also where a rate is above 1. The choice hangs on the id alone, so
+    repeated rows share it; null and empty texts, which have no tokens, are drawn like any others."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"))
-    return mixing.mixed(docs.select(*COLUMNS), model).where("copies >= 1").select(*COLUMNS)
+    drawn = mixing.mixed(docs.select(*COLUMNS), model).where("copies >= 1")
+    return drawn.withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with the text that they decode to in place of the original one."""
+    """Ids of each document, with the text that they decode to in place of the original one. Null and
+    empty texts have no ids and an empty text; repeated rows and null ids stay."""
     model = pieces.model_of(spark)
     encoded = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], both=False).drop("other_ids", "n_other")
     return pieces.decode(encoded, model).withColumnRenamed("decoded", "text")
