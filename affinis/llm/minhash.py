@@ -357,4 +357,17 @@ def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     return rows.where("NOT _maybe_").select(*names).unionByName(left.select(*names))
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT i, j FROM inter JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 75 * (a.n + b.n - c)),
+both_ways AS (SELECT i AS a, j AS b FROM link UNION ALL SELECT j, i FROM link),
+reach(doc_id, r) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = r),
+least AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.c, d.doc_id) AS component_id, coalesce(least.c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
 __all__ = ["features", "least_matches", "near_dedup", "shingles", "signature", "survivors", "without_near_copies"]

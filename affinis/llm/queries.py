@@ -73,5 +73,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_repeats": repeats.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_minhash": minhash.ORACLE,
 }

@@ -315,4 +315,22 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.withColumn(text, F.when(F.col("_cuts_").isNull(), F.col(text)).otherwise(pieces)).select(*docs.columns)
 
 
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS ts FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+u AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM t),
+c AS (SELECT doc_id, t, k, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM u),
+w AS (SELECT doc_id, t, stop - length(t) AS start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM c WHERE NOT regexp_matches(t, '^[\x20\x09-\x0D]')),
+l AS (SELECT doc_id, list(t ORDER BY pos) AS ws, list(start ORDER BY pos) AS starts, list(stop ORDER BY pos) AS stops FROM w GROUP BY doc_id HAVING count(*) >= 50),
+x AS (SELECT doc_id, starts, stops, ws, unnest(range(0, len(ws) - 49)) AS pos FROM l),
+h AS (SELECT doc_id, pos, starts[pos + 1] AS start, stops[pos + 50] AS stop, md5(array_to_string(ws[pos + 1:pos + 50], ' ')) AS h FROM x),
+two AS (SELECT h, min(doc_id) AS a, max(doc_id) AS z FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+second AS (SELECT h.h, min(h.doc_id) AS b FROM h JOIN two ON two.h = h.h AND h.doc_id > two.a GROUP BY h.h),
+m AS (SELECT h.doc_id, h.pos, h.start, h.stop, CASE WHEN h.doc_id = two.a THEN second.b ELSE two.a END AS partner FROM h JOIN two ON two.h = h.h JOIN second ON second.h = h.h),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, partner ORDER BY pos) AS g FROM m),
+s AS (SELECT doc_id, partner, min(pos) AS first, max(pos) + 50 AS last, min(start) AS start, max(stop) AS stop FROM i GROUP BY doc_id, partner, g),
+r AS (SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last, partner ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s),
+q AS (SELECT *, sum(CASE WHEN seen IS NULL OR first > seen THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY first, last, partner ROWS UNBOUNDED PRECEDING) AS part FROM r)
+SELECT doc_id, min(first)::INTEGER AS start_word, max(last)::INTEGER AS end_word, min(start)::INTEGER AS start_char, max(stop)::INTEGER AS end_char, (max(last) - min(first))::INTEGER AS n_words, min(partner) AS partner_id, count(*) AS matches, min(partner) < doc_id AS duplicate FROM q GROUP BY doc_id, part
+"""
+
 __all__ = ["anchors", "chosen", "keys", "matches", "merged", "repeated", "without_repeats", "word_hashes"]
