@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
+from affinis.llm.common import dropped, fewer_files, numbers, ragged, small_batches, written
 
 BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
@@ -183,6 +183,23 @@ def words_of(text: str, m: Model) -> tuple[list[str], list[str]]:
     return [], COARSE.findall(escaped(text, m.prefix))
 
 
+def cut_word(m: Model):
+    """A function that gives the chunks of a word with one blank before it: what the cutter finds, with
+    short ways for letters alone, and for letters before one ASCII sign or digit."""
+    find = m.cutter.findall
+    if m.cutter is COARSE:
+        return lambda w: find(BLANK + w)
+
+    def cut(w: str) -> list[str]:
+        if w.isalpha():
+            return [BLANK + w]
+        if w[-1:] < "\x80" and not w[-1:].isalpha() and w[:-1].isalpha():
+            return [BLANK + w[:-1], w[-1]]
+        return find(BLANK + w)
+
+    return cut
+
+
 def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> DataFrame:
     """(chunk, n): distinct chunks of all texts with their counts, combined in each task first."""
     from collections import Counter
@@ -190,7 +207,7 @@ def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> Da
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
-    find = m.cutter.findall
+    find, cut = m.cutter.findall, cut_word(m)
 
     def run(batches):
         held: Counter = Counter()
@@ -198,9 +215,9 @@ def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> Da
 
         def out():
             made: dict[str, int] = {}
-            for lead, words in ((BLANK, held), ("", odd)):
+            for chunks_of, words in ((cut, held), (find, odd)):
                 for w, n in words.items():
-                    for c in (lead + w,) if lead and w.isalpha() else find(lead + w):  # letters stay together
+                    for c in chunks_of(w):
                         made[c] = made.get(c, 0) + n
             held.clear(), odd.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(made.keys()), pa.string()), pa.array(list(made.values()), pa.int64())], names=["chunk", "n"])
@@ -363,7 +380,7 @@ class _Words(dict):
         self.coder, self.which = coder, which
 
     def __missing__(self, word: str) -> bytes:
-        got = self.coder.word(BLANK + word)
+        got = self.coder.joined(self.coder.cut(word))
         for held, ids in zip(self.coder.words, got, strict=True):
             held[word] = ids
         return got[self.which]
@@ -373,7 +390,7 @@ class Coder:
     """Ids of texts from the ids of chunks, as bytes. One for each task."""
 
     def __init__(self, m: Model, frequent: dict[str, tuple[bytes, bytes]], both: bool):
-        self.m, self.frequent, self.both, self.find = m, frequent, both, m.cutter.findall
+        self.m, self.frequent, self.both, self.find, self.cut = m, frequent, both, m.cutter.findall, cut_word(m)
         self.rare: dict[str, tuple[bytes, bytes]] = {}
         self.words = _Words(self, 0), _Words(self, 1)
         self.forget()
@@ -401,8 +418,8 @@ class Coder:
                 self.rare[chunk] = got
         return got
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        got = [self.chunk(c) for c in self.find(word)]
+    def joined(self, chunks: list[str]) -> tuple[bytes, bytes]:
+        got = [self.chunk(c) for c in chunks]
         return got[0] if len(got) == 1 else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
 
     def text(self, text: str | None) -> tuple[bytes, bytes]:
@@ -410,10 +427,47 @@ class Coder:
         if not text:
             return b"", b""
         words, rest = words_of(text, self.m)
-        got = [self.word(w) for w in rest]
+        got = [self.joined(self.find(w)) for w in rest]
         one, two = (b"".join([x[k] for x in got]) + b"".join(map(self.words[k].__getitem__, words)) if k == 0 or self.both else b"" for k in range(2))
         return one, two
 
+    def texts(self, column) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, how many each text has) of a column of texts, for each algorithm that is asked for.
+        Words are looked up once for the whole column; texts with blanks in a row one by one."""
+        import pyarrow.compute as pc
+
+        kind = np.dtype(id_kind(self.m))
+        parts = pc.split_pattern(column.fill_null(""), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        counts = parts.value_lengths().to_numpy()
+        empty = np.array([not w for w in words], bool)
+        odd = np.add.reduceat(empty[at], np.cumsum(counts) - counts) > 0 if len(at) else np.zeros(0, bool)
+        if not self.m.prefix:  # the first word has no blank before it
+            odd[:] = True
+        normal = np.repeat(~odd, counts)
+        alone = {i: self.text(column[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        used = np.zeros(len(words), bool)
+        used[at[normal]] = True
+        out = []
+        for k in range(2 if self.both else 1):
+            ids = [self.words[k][w] if u else b"" for w, u in zip(words, used.tolist(), strict=True)]
+            each = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+            flat = np.frombuffer(b"".join(ids), kind)
+            sizes = each[at] * normal
+            whole = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(at) else np.zeros(0, np.int64)
+            got = flat[np.repeat((np.cumsum(each) - each)[at], sizes) + ragged(sizes)]
+            if alone:
+                cuts = np.cumsum(whole)
+                pieces_, start = [], 0
+                for i, x in alone.items():
+                    own = np.frombuffer(x[k], kind)
+                    pieces_ += [got[start : cuts[i]], own]
+                    start, whole[i] = cuts[i], len(own)
+                got = np.concatenate([*pieces_, got[start:]])
+            out.append((got.astype(np.int32), whole))
+        return out
+
 
 def _by_word(chunks: dict[str, tuple[bytes, bytes]]) -> tuple[dict[str, bytes], dict[str, bytes]]:
     whole = [(c[1:], x) for c, x in chunks.items() if c[0] == BLANK and c[1:2] not in ("", BLANK)]
@@ -499,7 +553,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     schema = StructType([*rows.schema.fields[:-2], *new.fields])
 
     def spots(batches):
-        find, known = m.cutter.findall, frequent.value
+        find, cut, known = m.cutter.findall, cut_word(m), frequent.value
         for block, held in _blocks(batches, 0):
             words: set[str] = set()
             rest: set[str] = set()
@@ -508,8 +562,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                     if t:
                         one, two = words_of(t, m)
                         words.update(one), rest.update(two)
-            out = {c for c in [BLANK + w for w in words if w.isalpha()] if c not in known and len(c) <= LONGEST}
-            rest.update([BLANK + w for w in words if not w.isalpha()])
+            out = {c for w in words for c in cut(w) if c not in known and len(c) <= LONGEST}
             out.update([c for w in rest for c in find(w) if c not in known and len(c) <= LONGEST])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(list(out), pa.string())], names=["block", "chunk"])
@@ -549,21 +602,18 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
-        coder, kind = Coder(m, frequent.value, both), np.dtype(id_kind(m))
+        coder = Coder(m, frequent.value, both)
         for b in batches:
             for is_text, data in zip(*(b.column(c).to_pylist() for c in (1, 2)), strict=True):
                 if not is_text:  # comes before the texts of its block
                     coder.learn(unpacked(data))
                     continue
                 for rows_ in pa.ipc.open_stream(data):
-                    got = [coder.text(t) for t in rows_.column(len(names)).to_pylist()]
                     lists = []
-                    for k in range(2):
-                        sizes = np.array([len(x[k]) for x in got], np.int64) // kind.itemsize
-                        flat = np.frombuffer(b"".join([x[k] for x in got]), kind).astype(np.int32)
-                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat)), pa.array(sizes.astype(np.int32))))
+                    for ids, sizes in coder.texts(rows_.column(len(names))):
+                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids)), pa.array(sizes.astype(np.int32))))
                     if not both:
-                        lists[1] = pa.nulls(len(got), pa.list_(pa.int32())), pa.nulls(len(got), pa.int32())
+                        lists.append((pa.nulls(rows_.num_rows, pa.list_(pa.int32())), pa.nulls(rows_.num_rows, pa.int32())))
                     yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1]], names=schema.names)
 
     with numbers(spark):

@@ -109,6 +109,22 @@ def test_blocks_that_miss_paths_fold_by_themselves(model, library):
     assert ids == library.encode(t) and pieces.decoded(other, model) == t
 
 
+def test_columns_equal_single_texts(model):
+    import pyarrow as pa
+
+    texts = ["a b, c. d5 e_ f", None, "", " x", "x ", "two  blanks", "Ünï-cöde Ⅷx xⅧ ² a²", "\n\n a\tb", "x" * 100, "日本 🙂", "a\u2581b"]
+    for both in (True, False):
+        coder = pieces.Coder(model, {}, both)
+        for (ids, sizes), k in zip(coder.texts(pa.array(texts)), range(2), strict=False):
+            want = [np.frombuffer(coder.text(t)[k], pieces.id_kind(model)).tolist() for t in texts]
+            ends = np.cumsum(sizes)
+            assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == want
+        assert [s.tolist() for _, s in coder.texts(pa.array([], pa.string()))] == [[]] * (1 + both)
+    cut = pieces.cut_word(model)
+    for w in " ".join(t or "" for t in texts).split(" "):
+        assert cut(w) == model.cutter.findall(pieces.BLANK + w)
+
+
 def test_packed_ids():
     rows = [("▁a", b"12", b""), ("", b"", b"3"), ("é" * 40, b"4" * 300, b"5")]
     assert pieces.unpacked(pieces.packed(rows)) == {c: (x, y) for c, x, y in rows}
