@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, fewer_files, numbers, ragged, small_batches, written
+from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
 
 BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
@@ -183,6 +183,11 @@ def words_of(text: str, m: Model) -> tuple[list[str], list[str]]:
     return [], COARSE.findall(escaped(text, m.prefix))
 
 
+def _stem(w: str) -> str | None:
+    """The letters of a word of letters and one ASCII sign or digit at its end."""
+    return w[:-1] if w[-1:] < "\x80" and not w[-1:].isalpha() and w[:-1].isalpha() else None
+
+
 def cut_word(m: Model):
     """A function that gives the chunks of a word with one blank before it: what the cutter finds, with
     short ways for letters alone, and for letters before one ASCII sign or digit."""
@@ -193,9 +198,8 @@ def cut_word(m: Model):
     def cut(w: str) -> list[str]:
         if w.isalpha():
             return [BLANK + w]
-        if w[-1:] < "\x80" and not w[-1:].isalpha() and w[:-1].isalpha():
-            return [BLANK + w[:-1], w[-1]]
-        return find(BLANK + w)
+        stem = _stem(w)
+        return find(BLANK + w) if stem is None else [BLANK + stem, w[-1]]
 
     return cut
 
@@ -380,8 +384,9 @@ class _Words(dict):
         self.coder, self.which = coder, which
 
     def __missing__(self, word: str) -> bytes:
-        got = self.coder.joined(self.coder.cut(word))
-        for held, ids in zip(self.coder.words, got, strict=True):
+        coder = self.coder
+        got = coder.joined(coder.cut(word)) if (stem := coder.stem(word)) is None else tuple([held[stem] + x for held, x in zip(coder.words, coder.chunk(word[-1]), strict=True)])
+        for held, ids in zip(coder.words, got, strict=True):
             held[word] = ids
         return got[self.which]
 
@@ -391,6 +396,7 @@ class Coder:
 
     def __init__(self, m: Model, frequent: dict[str, tuple[bytes, bytes]], both: bool):
         self.m, self.frequent, self.both, self.find, self.cut = m, frequent, both, m.cutter.findall, cut_word(m)
+        self.stem = _stem if m.cutter is not COARSE else lambda w: None
         self.rare: dict[str, tuple[bytes, bytes]] = {}
         self.words = _Words(self, 0), _Words(self, 1)
         self.forget()
@@ -445,18 +451,18 @@ class Coder:
         odd = np.add.reduceat(empty[at], np.cumsum(counts) - counts) > 0 if len(at) else np.zeros(0, bool)
         if not self.m.prefix:  # the first word has no blank before it
             odd[:] = True
-        normal = np.repeat(~odd, counts)
         alone = {i: self.text(column[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-        used = np.zeros(len(words), bool)
-        used[at[normal]] = True
+        normal = np.repeat(~odd, counts)
+        order = at[normal].tolist() if alone else at.tolist()
+        used = [True] * len(words)
+        if alone:
+            used = np.bincount(order, minlength=len(words)).astype(bool).tolist()
         out = []
         for k in range(2 if self.both else 1):
-            ids = [self.words[k][w] if u else b"" for w, u in zip(words, used.tolist(), strict=True)]
+            ids = [self.words[k][w] if u else b"" for w, u in zip(words, used, strict=True)]
             each = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
-            flat = np.frombuffer(b"".join(ids), kind)
-            sizes = each[at] * normal
-            whole = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(at) else np.zeros(0, np.int64)
-            got = flat[np.repeat((np.cumsum(each) - each)[at], sizes) + ragged(sizes)]
+            whole = np.add.reduceat(each[at] * normal, np.cumsum(counts) - counts) if len(at) else np.zeros(0, np.int64)
+            got = np.frombuffer(b"".join(map(ids.__getitem__, order)), kind)
             if alone:
                 cuts = np.cumsum(whole)
                 pieces_, start = [], 0
