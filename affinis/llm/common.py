@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -12,23 +11,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.sources.shared import shared_dir
+
 #: Rows and bytes of one Arrow batch. Texts are long, so batches are held below Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='affinis-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def written(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back. This cuts the lineage, and what was
     written outlives the executor that wrote it."""
@@ -110,7 +102,7 @@ def numbers(spark: SparkSession):
     was = spark.conf.get(rows), spark.conf.get(size)
     if was == (str(BATCH_ROWS), str(BATCH_BYTES)):
         spark.conf.set(rows, str(NUMBERS))
-        spark.conf.set(size, str(BATCH_BYTES // 4))
+        spark.conf.set(size, str(BATCH_BYTES // 2))
     try:
         yield
     finally:

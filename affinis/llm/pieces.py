@@ -37,9 +37,9 @@ from affinis.llm.common import dropped, fewer_files, numbers, small_batches, wri
 BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
 PART = 4_000  # chunks whose lattices one partition holds
-HOT = 262_144  # entries of the broadcast table of frequent chunks
+HOT = 131_072  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
-WORDS = 300_000  # distinct words that a task holds
+WORDS = 200_000  # distinct words that a task holds
 LEVEL = 3  # of compression of the texts that are sent to their blocks
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COARSE = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -384,44 +384,61 @@ class _Words(dict):
         self.coder, self.which = coder, which
 
     def __missing__(self, word: str) -> bytes:
-        coder = self.coder
-        got = coder.joined(coder.cut(word)) if (stem := coder.stem(word)) is None else tuple([held[stem] + x for held, x in zip(coder.words, coder.chunk(word[-1]), strict=True)])
-        for held, ids in zip(coder.words, got, strict=True):
-            held[word] = ids
+        got = self.coder.word(word)
+        self.coder.keep(word, got)
         return got[self.which]
 
 
+def _whole(chunk: str) -> bool:
+    """Whether a chunk is a word with one blank before it."""
+    return chunk[0] == BLANK and chunk[1:2] not in ("", BLANK)
+
+
 class Coder:
-    """Ids of texts from the ids of chunks, as bytes. One for each task."""
+    """Ids of texts from the ids of chunks, as bytes. One for each task. ``frequent``: ids of frequent
+    chunks; ``words``: those of words in hand, without their blanks; ``rare``: those of other chunks."""
 
     def __init__(self, m: Model, frequent: dict[str, tuple[bytes, bytes]], both: bool):
         self.m, self.frequent, self.both, self.find, self.cut = m, frequent, both, m.cutter.findall, cut_word(m)
         self.stem = _stem if m.cutter is not COARSE else lambda w: None
         self.rare: dict[str, tuple[bytes, bytes]] = {}
         self.words = _Words(self, 0), _Words(self, 1)
-        self.forget()
-
-    def forget(self) -> None:
-        """Keep frequent chunks only."""
-        self.rare = {}
-        for held, ids in zip(self.words, _by_word(self.frequent), strict=True):
-            held.clear()
-            held.update(ids)
-
-    def learn(self, chunks: dict[str, tuple[bytes, bytes]]) -> None:
-        """Take in the ids of a block's chunks; what stands behind one blank is a word by itself."""
-        if len(self.rare) + len(chunks) > WORDS or len(self.words[0]) > 2 * WORDS + len(self.frequent):
-            self.forget()
-        self.rare.update(chunks)
-        for held, ids in zip(self.words, _by_word(chunks), strict=True):
-            held.update(ids)
+
+    def block(self) -> None:
+        """A block begins: forget those before it if they have left too much."""
+        if len(self.words[0]) + len(self.rare) > WORDS // 2:
+            self.rare.clear()
+            for held in self.words:
+                held.clear()
+
+    def keep(self, word: str, ids: tuple[bytes, bytes]) -> None:
+        self.words[0][word] = ids[0]
+        if self.both:
+            self.words[1][word] = ids[1]
+
+    def learn(self, chunks: list[tuple[str, tuple[bytes, bytes]]]) -> None:
+        """Take in the ids of a block's chunks."""
+        for c, ids in chunks:
+            if _whole(c):
+                self.keep(c[1:], ids)
+            else:
+                self.rare[c] = ids
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         got = self.frequent.get(chunk) or self.rare.get(chunk)
+        if got is None and _whole(chunk) and chunk[1:] in self.words[0]:
+            got = self.words[0][chunk[1:]], self.words[1][chunk[1:]] if self.both else b""
         if got is None:
             got = spelled(chunk, bounds_merge(chunk, self.m), bounds_viterbi(chunk, self.m) if self.both or self.m.algorithm == "viterbi" else [], self.m, self.both)
-            if len(self.rare) < 2 * WORDS:
-                self.rare[chunk] = got
+            self.rare[chunk] = got
+        return got
+
+    def word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids of a word with one blank before it."""
+        got = self.frequent.get(BLANK + word)
+        if got is None:
+            stem = self.stem(word)
+            got = self.joined(self.cut(word) if stem is None else [BLANK + stem, word[-1]])
         return got
 
     def joined(self, chunks: list[str]) -> tuple[bytes, bytes]:
@@ -475,11 +492,6 @@ class Coder:
         return out
 
 
-def _by_word(chunks: dict[str, tuple[bytes, bytes]]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    whole = [(c[1:], x) for c, x in chunks.items() if c[0] == BLANK and c[1:2] not in ("", BLANK)]
-    return {w: x[0] for w, x in whole}, {w: x[1] for w, x in whole}
-
-
 def spelled(chunk: str, merge: list[int], viterbi: list[int], m: Model, both: bool) -> tuple[bytes, bytes]:
     """Ids of a chunk between the boundaries of the model's algorithm, and those of the other one."""
     one, two = (viterbi, merge) if m.algorithm == "viterbi" else (merge, viterbi)
@@ -529,12 +541,12 @@ def packed(rows: list[tuple[str, bytes, bytes]]) -> bytes:
     return zstandard.compress(b"".join([np.array([len(rows), *(len(x) for col in cols for x in col)], "<u4").tobytes(), *(x for col in cols for x in col)]), 3)
 
 
-def unpacked(data: bytes) -> dict[str, tuple[bytes, bytes]]:
+def unpacked(data: bytes) -> list[tuple[str, tuple[bytes, bytes]]]:
     data = zstandard.decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     ends = (4 + 12 * n + np.cumsum(np.frombuffer(data, "<u4", 3 * n, 4))).tolist()
     cut = [data[s:e] for s, e in zip([4 + 12 * n, *ends], ends, strict=False)]
-    return dict(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
+    return list(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
 
 
 def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT) -> DataFrame:
@@ -608,9 +620,13 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
-        coder = Coder(m, frequent.value, both)
+        coder, at = Coder(m, frequent.value, both), None
         for b in batches:
-            for is_text, data in zip(*(b.column(c).to_pylist() for c in (1, 2)), strict=True):
+            for i in range(b.num_rows):
+                block, is_text, data = (b.column(c)[i].as_py() for c in range(3))
+                if block != at:
+                    coder.block()
+                    at = block
                 if not is_text:  # comes before the texts of its block
                     coder.learn(unpacked(data))
                     continue

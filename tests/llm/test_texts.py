@@ -103,7 +103,7 @@ def test_best_paths_are_those_of_the_unigram_library(spark, model, unigram):
 
 def test_blocks_that_miss_paths_fold_by_themselves(model, library):
     coder = pieces.Coder(model, {}, True)
-    coder.learn({"▁never": (b"", b"")})
+    coder.learn([("▁never", (b"", b"")), ("?!", (b"", b""))])
     t = "Thedreat  ofoneainhe, 12 é" + "z" * 60
     ids, other = (np.frombuffer(x, pieces.id_kind(model)).tolist() for x in coder.text(t))
     assert ids == library.encode(t) and pieces.decoded(other, model) == t
@@ -127,7 +127,7 @@ def test_columns_equal_single_texts(model):
 
 def test_packed_ids():
     rows = [("▁a", b"12", b""), ("", b"", b"3"), ("é" * 40, b"4" * 300, b"5")]
-    assert pieces.unpacked(pieces.packed(rows)) == {c: (x, y) for c, x, y in rows}
+    assert pieces.unpacked(pieces.packed(rows)) == [(c, (x, y)) for c, x, y in rows]
 
 
 def test_blocks_do_not_hang_on_batches(monkeypatch):
