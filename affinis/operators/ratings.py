@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.pearson import finite
 from affinis.schemas import InputRefused
+from affinis.sources.shared import written
 
 
 def oriented(triples: DataFrame, mode: str, user: str = "user_id", item: str = "business_id", value: str = "stars", order: list[str] | None = None) -> DataFrame:
@@ -38,17 +39,11 @@ def supported(ratings: DataFrame, least: int = 3) -> DataFrame:
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """(column, idx): distinct values numbered from 0 in ascending order.
 
-    Ranges of values are numbered side by side, each from where the ranges before it end. The
-    table of ranges has one short row for each, which bounds what is broadcast."""
+    Distinct values are dealt to ranges once; ranges are numbered side by side, each from where the
+    ranges before it end. The table of ranges has one short row for each, which bounds what is
+    broadcast."""
     distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
-    size = distinct.count()
-    pieces = max(1, min(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 1000 + 1))
-    # quantile boundaries only spread the work: numbers are exact whatever they are
-    cuts = sorted({r[0] for r in distinct.orderBy(F.xxhash64(column)).limit(64 * pieces).collect()})[:: 64] if pieces > 1 else []
-    part = F.lit(0)
-    for c in cuts[1:]:
-        part = part + (F.col(column) >= F.lit(c)).cast("int")
-    parted = distinct.withColumn("_p", part)
+    parted = written(distinct.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "distinct")
     sizes = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_at")
     w = Window.partitionBy("_p").orderBy(column)
