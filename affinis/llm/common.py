@@ -70,10 +70,10 @@ def marked(rows: DataFrame, key: Column, words: DataFrame, name: str, bits: int
 
 
 def fewer_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most an eighth of the session's shuffle partitions, though never in fewer than two
-    for each core: for short rows, whose files would be many and tiny."""
+    """``df`` in at most an eighth of the session's shuffle partitions, though never in fewer than four
+    for each core, where files would be many and tiny."""
     spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -645,7 +645,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     dropped(pieces)
     texts = rows.mapInArrow(stowed, "block long, data binary")
     every = found.select("block", F.lit(False).alias("is_text"), "data").unionByName(texts.select("block", F.lit(True).alias("is_text"), "data"))
-    return every.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(put, schema)
+    return fewer_files(every.repartition("block").sortWithinPartitions("block", "is_text")).mapInArrow(put, schema)
 
 
 def decoded(ids: list[int], m: Model) -> str:
