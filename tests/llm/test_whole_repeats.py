@@ -79,3 +79,21 @@ def test_copies_beyond_shorter_neighbours(spark):
     want, later = brute(texts)
     assert equal(covered(repeats.repeated(d).collect(), texts), want)
     assert equal(covered(repeats.matches(d).where("partner < doc_id").collect(), texts, "start", "stop"), later)
+
+
+@pytest.mark.parametrize("shared", [20, 34, 40, 49])
+def test_half_copies_hide_nothing(spark, shared):
+    """Passages of 50 words in two documents each, and 30 documents that hold less than 50 words of them."""
+    rnd = np.random.RandomState(shared)
+    noise = lambda n: [f"x{v}" for v in rnd.randint(0, 10**9, n)]
+    texts = {}
+    for k in range(20):
+        p = noise(50)
+        for _ in range(2):
+            texts[len(texts)] = " ".join([*noise(rnd.randint(0, 40)), *p, *noise(rnd.randint(0, 40))])
+        for _ in range(30):
+            a = rnd.randint(0, 51 - shared)
+            texts[len(texts)] = " ".join([*noise(rnd.randint(0, 40)), *p[a : a + shared], *noise(rnd.randint(0, 40))])
+    rows = repeats.repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for k in range(20) for i in (32 * k, 32 * k + 1))
+    assert all(r.n_words == 50 and r.partner_id == r.doc_id + (1 if r.doc_id % 32 == 0 else -1) for r in rows)
