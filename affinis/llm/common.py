@@ -143,7 +143,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        step = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        step = written(fewer_files(small.union(low.select("u", F.col("m").alias("v"))).distinct()), "star")
         seen = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(now)
         now = step

@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     import pyarrow as pa
 
     hubs = pairs.groupBy("a").agg(F.count("*").alias("m")).where(f"m > {HUB}")
-    salted = pairs.join(hubs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / HUB)), F.lit(0)))
+    salted = pairs.join(hubs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / HUB)), F.lit(0))).repartition("a", "salt")
     part = F.floor((F.row_number().over(Window.partitionBy("a", "salt").orderBy("b")) - 1) / GROUP).alias("part")
     grouped = salted.select("a", "salt", "b", part)
     ends = grouped.select("a", "salt", "part", F.col("b").alias("id")).union(grouped.groupBy("a", "salt", "part").agg(F.first("a").alias("id")))

@@ -347,7 +347,7 @@ def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True)
     spark = docs.sparkSession
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
-    counts = written(chunk_counts(docs, text, m), "chunks")
+    counts = written(fewer_files(chunk_counts(docs, text, m)), "chunks")
     # partitions of a fixed number of chunks hold their edges in memory (beyond that the aggregate
     # sorts); the paths are so short that they go into few files
     spark.conf.set(key, str(2 * PART))
@@ -405,11 +405,10 @@ class Coder:
         self.words = _Words(self, 0), _Words(self, 1)
 
     def block(self) -> None:
-        """A block begins: forget those before it if they have left too much."""
-        if len(self.words[0]) + len(self.rare) > WORDS // 2:
-            self.rare.clear()
-            for held in self.words:
-                held.clear()
+        """A block begins: forget those before it."""
+        self.rare.clear()
+        for held in self.words:
+            held.clear()
 
     def keep(self, word: str, ids: tuple[bytes, bytes]) -> None:
         self.words[0][word] = ids[0]
@@ -549,8 +548,9 @@ def unpacked(data: bytes) -> list[tuple[str, tuple[bytes, bytes]]]:
     return list(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
 
 
-def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT) -> DataFrame:
-    """Columns ``keep`` (default: all) plus ids, n_ids, other_ids and n_other.
+def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT, back: bool = False) -> DataFrame:
+    """Columns ``keep`` (default: all) plus ids, n_ids, other_ids and n_other; with ``back`` also decoded,
+    the text that the ids decode to, as ``decode`` gives it.
 
     ids are the model's ids of the whole text. other_ids are those of the other algorithm (the
     best-score path for a BPE model, merging for a unigram model), null unless ``both``. Null and
@@ -564,7 +564,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     pieces = dictionary(docs, m, text, both)
     top = _hot(pieces, hot).select("chunk", "merge", "viterbi").toArrow()
     frequent = spark.sparkContext.broadcast({c: spelled(c, bounds_of(x), bounds_of(y), m, both) for c, x, y in zip(*(top.column(k).to_pylist() for k in range(3)), strict=True)})
-    new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int")
+    new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int" + ", decoded string" * back)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
     # the partition's number is asked of the scan itself: a union numbers its tasks anew
     rows = docs.select(*names, F.col(text).alias("_text_"), F.spark_partition_id().alias("_part_"))
@@ -620,7 +620,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
-        coder, at = Coder(m, frequent.value, both), None
+        coder, at, text_of = Coder(m, frequent.value, both), None, column_decoder(m)
         for b in batches:
             for i in range(b.num_rows):
                 block, is_text, data = (b.column(c)[i].as_py() for c in range(3))
@@ -636,11 +636,11 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                         lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids)), pa.array(sizes.astype(np.int32))))
                     if not both:
                         lists.append((pa.nulls(rows_.num_rows, pa.list_(pa.int32())), pa.nulls(rows_.num_rows, pa.int32())))
-                    yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1]], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1], *([text_of(lists[0][0])] if back else [])], names=schema.names)
 
     with numbers(spark):
         some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
-        found = written(some.select("block", "chunk", "merge", "viterbi").mapInArrow(grouped, "block long, data binary"), "paths")
+        found = written(fewer_files(some.select("block", "chunk", "merge", "viterbi")).mapInArrow(grouped, "block long, data binary"), "paths")
     del some
     dropped(pieces)
     texts = rows.mapInArrow(stowed, "block long, data binary")
@@ -668,13 +668,34 @@ def decoded(ids: list[int], m: Model) -> str:
     return text[1:] if m.prefix and text[:1] == " " else text
 
 
-def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) plus decoded, the text of the ids (null where they are null).
-
-    Whole columns of ids are looked up and joined in Arrow; only rows with bytes of longer characters
-    or unknown pieces are read one by one."""
+def column_decoder(m: Model):
+    """A function from a column of lists of ids to that of their texts, null for null. All ids are looked
+    up and joined at once; only rows with bytes of longer characters or unknown pieces go one by one."""
     import pyarrow as pa
     import pyarrow.compute as pc
+
+    plain = {i: chr(b) for b, i in enumerate(m.bytes_[:128])}  # bytes that are characters by themselves
+    table = pa.array([p.replace(BLANK, " ") if p in m.ids else plain.get(i) for i, p in enumerate(m.pieces)], pa.string())
+
+    def run(rows):
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), table.take(rows.flatten()))
+        out = []
+        for i, t in enumerate(pc.binary_join(pieces, "").to_pylist()):
+            if not rows[i].is_valid:
+                out.append(None)
+            elif t is None:  # some id is a byte of a longer character or unknown
+                out.append(decoded(rows[i].values.to_numpy().tolist(), m))
+            else:
+                out.append(t[1:] if m.prefix and t[:1] == " " else t)
+        return pa.array(out, pa.string())
+
+    return run
+
+
+def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all) plus decoded, the text of the ids (null where they are null)."""
+    import pyarrow as pa
     from pyspark.sql.types import StringType, StructField, StructType
 
     small_batches(encoded.sparkSession)
@@ -683,23 +704,9 @@ def decode(encoded: DataFrame, m: Model, ids: str = "ids", keep: list[str] | Non
     schema = StructType([*src.schema.fields[:-1], StructField("decoded", StringType())])
 
     def run(batches):
-        plain = {i: chr(b) for b, i in enumerate(m.bytes_[:128])}  # bytes that are characters by themselves
-        table = pa.array([p.replace(BLANK, " ") if p in m.ids else plain.get(i) for i, p in enumerate(m.pieces)], pa.string())
+        text_of = column_decoder(m)
         for b in batches:
-            rows = b.column(b.num_columns - 1)
-            sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), table.take(rows.flatten()))
-            text = pc.binary_join(pieces, "").to_pylist()
-            out = []
-            for i, t in enumerate(text):
-                if t is None:  # some id is a byte of a longer character or unknown, or there are no ids at all
-                    row = rows[i]
-                    out.append(decoded(row.values.to_numpy().tolist(), m) if row.is_valid else None)
-                elif not rows[i].is_valid:
-                    out.append(None)
-                else:
-                    out.append(t[1:] if m.prefix and t[:1] == " " else t)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], text_of(b.column(b.num_columns - 1))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 

@@ -12,9 +12,8 @@ from affinis.llm.common import held_out, table
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.model_of(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, model, keep=["doc_id"]).withColumn("other_hash", F.xxhash64("other_ids")).drop("other_ids")
-    back = pieces.decode(encoded, model)
-    return back.select("doc_id", "n_ids", "n_other", "other_hash", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
+    encoded = pieces.encode(docs, model, keep=["doc_id"], back=True)
+    return encoded.select("doc_id", "n_ids", "n_other", F.xxhash64("other_ids").alias("other_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with the text that they decode to in place of the original one. Null and
     empty texts have no ids and an empty text; repeated rows and null ids stay."""
     model = pieces.model_of(spark)
-    encoded = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], both=False).drop("other_ids", "n_other")
-    return pieces.decode(encoded, model).withColumnRenamed("decoded", "text")
+    encoded = pieces.encode(docs, model, keep=["doc_id", "lang", "source", "n_chars"], both=False, back=True)
+    return encoded.drop("other_ids", "n_other").withColumnRenamed("decoded", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -153,7 +153,9 @@ def test_blocks_meet_their_paths(spark, model, monkeypatch, tmp_path):
 
 
 def test_piece_edge_cases(spark, odd, empty, model, library):
-    got = pieces.decode(pieces.encode(odd, model, hot=3), model).collect()
+    both_ways = pieces.encode(odd, model, hot=3, back=True).withColumnRenamed("decoded", "with_it")
+    got = pieces.decode(both_ways, model).collect()
+    assert all(r.decoded == r.with_it for r in got)
     assert len(got) == len(ODD) and pieces.encode(empty, model).count() == 0
     for r in got:
         want = next(t for i, t, *_ in ODD if i == r.doc_id)
