@@ -20,7 +20,7 @@ from affinis.llm.common import bounded_sample, held_out, mapped, small_batches
 
 BITS = 16
 GRAM = 4
-CELLS = 1 << 22  # numbers that the table gives at once, whatever the number of languages
+CELLS = 1 << 18  # numbers that the table gives at once, whatever the number of languages
 HAS_LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters become spaces; all bytes of longer code points stay.
 TO_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
