@@ -69,10 +69,13 @@ def stored(spark, tmp_path):
     return tmp_path / "f"
 
 
-def test_fixture_is_valid_and_read_in_parts(spark, stored):
+def test_fixture_is_valid_and_read_in_parts(spark, stored, monkeypatch):
     fixture.require_valid(spark, str(stored))
     read = lambda part: sorted(map(tuple, spark.read.format("csr_fixture").option("path", str(stored)).option("part", part).load().collect()))
     assert read(2) == read(1000) and len(read(2)) == fixture.checked(str(stored))[1]
+    whole = [r for b in fixture.FixtureReader(str(stored), "ratings", 1000).read(fixture.InputPartition((0, 6))) for r in b.to_pylist()]
+    monkeypatch.setattr(fixture, "BATCH", 2)
+    assert whole == [r for b in fixture.FixtureReader(str(stored), "ratings", 1000).read(fixture.InputPartition((0, 6))) for r in b.to_pylist()]
 
 
 def test_corrupted_golden_is_found(spark, stored):
