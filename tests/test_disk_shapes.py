@@ -97,3 +97,7 @@ def test_result_check_forms_similarities_once(spark):
 
 def test_crosscheck_forms_similarities_once(spark):
     assert "MapInArrow" not in plan(QUERIES["model_crosscheck"](spark, SF))
+
+
+def test_membership_difference_forms_similarities_once(spark):
+    assert "MapInArrow" not in plan(QUERIES["model_membership_difference"](spark, SF))
