@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
+from affinis.sources.shared import freed
 
 BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
@@ -643,6 +644,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
         found = written(fewer_files(some.select("block", "chunk", "merge", "viterbi")).mapInArrow(grouped, "block long, data binary"), "paths")
     del some
     dropped(pieces)
+    freed(spark)  # the shuffles of chunks and paths go before the texts are dealt
     texts = rows.mapInArrow(stowed, "block long, data binary")
     every = found.select("block", F.lit(False).alias("is_text"), "data").unionByName(texts.select("block", F.lit(True).alias("is_text"), "data"))
     return fewer_files(every.repartition("block").sortWithinPartitions("block", "is_text")).mapInArrow(put, schema)
