@@ -13,7 +13,8 @@
    ``ids``.
 4. Documents are put together from the chunks, in blocks of bounded size. Paths of frequent chunks
    come from a broadcast table of fixed size. All others are joined by chunk and sent to the blocks
-   that hold them, where they meet the block's documents.
+   that hold them, where they meet the block's documents and become ids. Texts are cut, looked up and
+   joined a block at a time, in columns.
 
 A block is named by its place in the scan. Where a scan deals its rows otherwise when it is read
 again, a block misses paths and folds those chunks by itself, with the same result.
@@ -22,7 +23,6 @@ again, a block misses paths and folds those chunks by itself, with the same resu
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
 from struct import pack
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm.common import dropped, fewer_files, numbers, small_batches, written
+from affinis.llm.common import dropped, fewer_files, numbers, ragged, small_batches, written
 from affinis.sources.shared import freed
 
 BLANK = "▁"
@@ -40,10 +40,13 @@ LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundarie
 PART = 4_000  # chunks whose lattices one partition holds
 HOT = 131_072  # entries of the broadcast table of frequent chunks
 BLOCK = 4 << 20  # code points of the documents that are put together at once
-WORDS = 200_000  # distinct words that a task holds
-LEVEL = 3  # of compression of the texts that are sent to their blocks
+COUNTED = 16 << 20  # bytes of texts whose chunks a task counts at once
+ROWS = 1 << 20  # paths that a task packs at once
+SENT = 256  # rows of one batch of results
+LEVEL = 5  # of compression of the texts that are sent to their blocks
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COARSE = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
+END = "\U0010ffff"  # ends a chunk while units are cut in columns
 
 
 @dataclass
@@ -71,6 +74,22 @@ class Model:
         whole = re.compile(rf"{BLANK}*(?:{letters}|\d|{signs}|{control})?")
         return fine if all(whole.fullmatch(p) for p in self.ids) else COARSE
 
+    @cached_property
+    def column_cutter(self) -> str:
+        """The cutter for columns, whose regular expressions know other tables of letters: the kinds of
+        all signs of two bytes are asked of Python and written out."""
+        if self.cutter is COARSE:
+            return f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+        spans: dict[str, list[list[int]]] = {"letters": [], "digit": [], "signs": [], "control": []}
+        for c in (c for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and chr(c) != BLANK):
+            kind = "control" if c < 32 and c != 13 else "digit" if re.fullmatch(r"\d", chr(c)) else "signs" if len(self.cutter.findall(f"!{chr(c)}")) == 1 else "letters"
+            if spans[kind] and spans[kind][-1][1] == c - 1:
+                spans[kind][-1][1] = c
+            else:
+                spans[kind].append([c, c])
+        letters, digit, signs, control = ("[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans[k]) + "]" for k in spans)
+        return f"{BLANK}*{letters}+|{BLANK}*{digit}|{BLANK}*{signs}+|{BLANK}+|{control}"
+
     @cached_property
     def penalty(self) -> float:
         """Score of a code point that is no piece, as the library sets it."""
@@ -205,36 +224,83 @@ def cut_word(m: Model):
     return cut
 
 
-def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = WORDS) -> DataFrame:
-    """(chunk, n): distinct chunks of all texts with their counts, combined in each task first."""
-    from collections import Counter
+def units(column, m: Model):
+    """(units, at, counts) of a column of texts: the distinct words of their escaped forms with the
+    blanks before them, the places of all words among these, and how many words each text has. Chunks
+    never go on behind a blank, so words can be cut one by one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
+    texts = column.fill_null("")
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    at, counts = coded.indices.to_numpy(), parts.value_lengths().to_numpy()
+    words = pc.binary_join_element_wise(pa.scalar(BLANK), coded.dictionary, "")
+    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    odd = np.full(len(texts), not m.prefix)  # without a prefix the first word has no blank before it
+    if empty.any():
+        odd |= np.add.reduceat(empty[at], np.cumsum(counts) - counts) > 0
+    if not odd.any():
+        return words, at, counts
+    # blanks in a row, and texts that are empty
+    lists = [COARSE.findall(escaped(texts[i].as_py(), m.prefix)) for i in np.flatnonzero(odd).tolist()]
+    own = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+    normal, counts = at[np.repeat(~odd, counts)], counts.copy()
+    counts[odd] = list(map(len, lists))
+    tag = np.repeat(odd, counts)
+    at = np.empty(len(tag), np.int64)
+    at[~tag], at[tag] = normal, own.indices.to_numpy() + len(words)
+    used = np.bincount(at, minlength=len(words) + len(own.dictionary)) > 0
+    return pa.concat_arrays([words, own.dictionary]).filter(pa.array(used)), (np.cumsum(used) - 1)[at], counts
+
+
+def cut_units(found, m: Model):
+    """(chunks, counts): the chunks of a column of units, and how many each has. What the cutter finds."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(pc.replace_substring_regex(found, m.column_cutter, rf"\0{END}"), END)
+    counts = parts.value_lengths().to_numpy()
+    slow = pc.match_substring_regex(found, r"[\x{10000}-\x{10ffff}]").to_numpy(zero_copy_only=False)
+    mine = np.repeat(~slow, counts)
+    mine[np.cumsum(counts) - 1] = False  # what stands behind the end of the last chunk
+    chunks, counts = parts.flatten().filter(pa.array(mine)), counts - 1
+    if slow.any():
+        lists = [m.cutter.findall(u) for u in found.filter(pa.array(slow)).to_pylist()]
+        counts[slow] = list(map(len, lists))
+        tag = np.repeat(slow, counts)
+        order = np.empty(len(tag), np.int64)
+        order[~tag], order[tag] = np.arange(len(chunks)), len(chunks) + np.arange(tag.sum())
+        chunks = pa.concat_arrays([chunks, pa.array([c for x in lists for c in x], pa.string())]).take(pa.array(order))
+    return chunks, counts
+
+
+def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = COUNTED) -> DataFrame:
+    """(chunk, n): distinct chunks of all texts with their counts, combined in each task first."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
-    find, cut = m.cutter.findall, cut_word(m)
+    m.column_cutter  # noqa: B018 - found here, once, and not in every task
 
     def run(batches):
-        held: Counter = Counter()
-        odd: Counter = Counter()
+        held: list = []
 
         def out():
-            made: dict[str, int] = {}
-            for chunks_of, words in ((cut, held), (find, odd)):
-                for w, n in words.items():
-                    for c in chunks_of(w):
-                        made[c] = made.get(c, 0) + n
-            held.clear(), odd.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(made.keys()), pa.string()), pa.array(list(made.values()), pa.int64())], names=["chunk", "n"])
+            found, at, _ = units(pa.concat_arrays(held), m)
+            held.clear()
+            chunks, counts = cut_units(found, m)
+            coded = chunks.dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), np.repeat(np.bincount(at, minlength=len(found)), counts), len(coded.dictionary))
+            return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], names=["chunk", "n"])
 
+        size = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    words, rest = words_of(t, m)
-                    held.update(words), odd.update(rest)
-            if len(held) + len(odd) >= flush:
+            held.append(b.column(0))
+            size += b.column(0).nbytes
+            if size >= flush:
                 yield out()
-        if held or odd:
+                size = 0
+        if held:
             yield out()
 
     return docs.select(F.col(text)).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
@@ -378,120 +444,110 @@ def _hot(pieces: DataFrame, most: int) -> DataFrame:
     return pieces.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
-class _Words(dict):
-    """Looks words up, and asks ``coder`` for those that are not there yet."""
-
-    def __init__(self, coder: Coder, which: int):
-        self.coder, self.which = coder, which
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.coder.word(word)
-        self.coder.keep(word, got)
-        return got[self.which]
-
-
-def _whole(chunk: str) -> bool:
-    """Whether a chunk is a word with one blank before it."""
-    return chunk[0] == BLANK and chunk[1:2] not in ("", BLANK)
-
-
 class Coder:
-    """Ids of texts from the ids of chunks, as bytes. One for each task. ``frequent``: ids of frequent
-    chunks; ``words``: those of words in hand, without their blanks; ``rare``: those of other chunks."""
+    """Ids of texts from the ids of chunks, as bytes. One for each task. ``frequent``: columns of the
+    frequent chunks and their ids (or nothing); what is learnt besides goes with its block."""
+
+    def __init__(self, m: Model, frequent, both: bool):
+        import pyarrow as pa
 
-    def __init__(self, m: Model, frequent: dict[str, tuple[bytes, bytes]], both: bool):
-        self.m, self.frequent, self.both, self.find, self.cut = m, frequent, both, m.cutter.findall, cut_word(m)
-        self.stem = _stem if m.cutter is not COARSE else lambda w: None
+        self.m, self.both, self.find, self.cut = m, both, m.cutter.findall, cut_word(m)
+        self.frequent = tuple(frequent) or (pa.array([], pa.string()), *(pa.array([], pa.binary()) for _ in range(2)))
         self.rare: dict[str, tuple[bytes, bytes]] = {}
-        self.words = _Words(self, 0), _Words(self, 1)
+        self.columns: list[tuple] = []
 
     def block(self) -> None:
         """A block begins: forget those before it."""
-        self.rare.clear()
-        for held in self.words:
-            held.clear()
-
-    def keep(self, word: str, ids: tuple[bytes, bytes]) -> None:
-        self.words[0][word] = ids[0]
-        if self.both:
-            self.words[1][word] = ids[1]
+        self.rare.clear(), self.columns.clear()
 
     def learn(self, chunks: list[tuple[str, tuple[bytes, bytes]]]) -> None:
         """Take in the ids of a block's chunks."""
-        for c, ids in chunks:
-            if _whole(c):
-                self.keep(c[1:], ids)
-            else:
-                self.rare[c] = ids
+        self.rare.update(chunks)
+
+    def learn_paths(self, data: bytes) -> None:
+        """Take in chunks and their paths as ``packed_paths`` gives them."""
+        chunks, paths = unpacked_paths(data)
+        self.columns.append((chunks, *spelled_columns(chunks, paths, self.m, self.both)))
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        got = self.frequent.get(chunk) or self.rare.get(chunk)
-        if got is None and _whole(chunk) and chunk[1:] in self.words[0]:
-            got = self.words[0][chunk[1:]], self.words[1][chunk[1:]] if self.both else b""
+        """Ids of a chunk that no column has: it is folded here, unless it was before."""
+        got = self.rare.get(chunk)
         if got is None:
             got = spelled(chunk, bounds_merge(chunk, self.m), bounds_viterbi(chunk, self.m) if self.both or self.m.algorithm == "viterbi" else [], self.m, self.both)
             self.rare[chunk] = got
         return got
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids of a word with one blank before it."""
-        got = self.frequent.get(BLANK + word)
-        if got is None:
-            stem = self.stem(word)
-            got = self.joined(self.cut(word) if stem is None else [BLANK + stem, word[-1]])
-        return got
-
-    def joined(self, chunks: list[str]) -> tuple[bytes, bytes]:
-        got = [self.chunk(c) for c in chunks]
-        return got[0] if len(got) == 1 else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
-
     def text(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of the model's algorithm and of the other one."""
-        if not text:
-            return b"", b""
-        words, rest = words_of(text, self.m)
-        got = [self.joined(self.find(w)) for w in rest]
-        one, two = (b"".join([x[k] for x in got]) + b"".join(map(self.words[k].__getitem__, words)) if k == 0 or self.both else b"" for k in range(2))
-        return one, two
+        """Ids of the model's algorithm and of the other one, by the plain way: a check of ``texts``."""
+        words, rest = words_of(text, self.m) if text else ([], [])
+        got = [self.chunk(c) for w in rest for c in self.find(w)] + [self.chunk(c) for w in words for c in self.cut(w)]
+        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
     def texts(self, column) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, how many each text has) of a column of texts, for each algorithm that is asked for.
-        Words are looked up once for the whole column; texts with blanks in a row one by one."""
+        """(ids, how many each text has) of a column of texts, for each algorithm that is asked for."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         kind = np.dtype(id_kind(self.m))
-        parts = pc.split_pattern(column.fill_null(""), " ")
-        coded = parts.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        counts = parts.value_lengths().to_numpy()
-        empty = np.array([not w for w in words], bool)
-        odd = np.add.reduceat(empty[at], np.cumsum(counts) - counts) > 0 if len(at) else np.zeros(0, bool)
-        if not self.m.prefix:  # the first word has no blank before it
-            odd[:] = True
-        alone = {i: self.text(column[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-        normal = np.repeat(~odd, counts)
-        order = at[normal].tolist() if alone else at.tolist()
-        used = [True] * len(words)
-        if alone:
-            used = np.bincount(order, minlength=len(words)).astype(bool).tolist()
+        found, at, sizes = units(column, self.m)
+        chunks, counts = cut_units(found, self.m)
+        known = [pa.concat_arrays(x) for x in zip(self.frequent, *self.columns, strict=True)]
+        place = pc.index_in(chunks, value_set=known[0])
+        if place.null_count:
+            lost = chunks.filter(place.is_null()).unique()
+            own = [self.chunk(c) for c in lost.to_pylist()]
+            known = [pa.concat_arrays([known[0], lost]), *(pa.concat_arrays([x, pa.array([o[k] for o in own], pa.binary())]) for k, x in enumerate(known[1:]))]
+            place = pc.index_in(chunks, value_set=known[0])
+        ends, whole = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(sizes))
         out = []
-        for k in range(2 if self.both else 1):
-            ids = [self.words[k][w] if u else b"" for w, u in zip(words, used, strict=True)]
-            each = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
-            whole = np.add.reduceat(each[at] * normal, np.cumsum(counts) - counts) if len(at) else np.zeros(0, np.int64)
-            got = np.frombuffer(b"".join(map(ids.__getitem__, order)), kind)
-            if alone:
-                cuts = np.cumsum(whole)
-                pieces_, start = [], 0
-                for i, x in alone.items():
-                    own = np.frombuffer(x[k], kind)
-                    pieces_ += [got[start : cuts[i]], own]
-                    start, whole[i] = cuts[i], len(own)
-                got = np.concatenate([*pieces_, got[start:]])
-            out.append((got.astype(np.int32), whole))
+        for ids in known[1 : 3 if self.both else 2]:
+            starts, data = _buffers(ids.take(place))
+            each = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(starts[ends].astype(np.int32)), pa.py_buffer(data)])
+            starts, data = _buffers(each.take(pa.array(at)))
+            out.append((data.view(kind).astype(np.int32), np.diff(starts[whole]) // kind.itemsize))
         return out
 
 
+def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
+    """(where each value begins and the last one ends, bytes) of a column of strings or bytes."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    return starts - starts[0], data
+
+
+def spelled_columns(chunks, paths: list[np.ndarray], m: Model, both: bool):
+    """Columns of the ids of chunks along the paths of the model's algorithm and of the other one; the
+    other is empty unless ``both``. As ``spelled`` has them, for all chunks at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = np.dtype(id_kind(m))
+    starts, data = _buffers(chunks)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin
+    first = np.searchsorted(heads, starts)  # the first code point of each chunk
+    counts = np.diff(first)
+    at = ragged(counts)
+    value_set, own = pa.array(list(m.ids), pa.string()), np.array(list(m.ids.values()), np.int64)
+    out = []
+    for path in paths[: 2 if both else 1]:
+        cuts = heads[(np.repeat(path, counts) >> at & 1) > 0]
+        sizes = np.diff(np.append(cuts, len(data)))
+        parts = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data))
+        place = pc.index_in(parts, value_set=value_set)
+        lost = place.is_null().to_numpy(zero_copy_only=False)
+        many = np.where(lost, sizes if m.bytes_ else 1, 1)
+        ids = np.empty(many.sum(), kind)
+        tag = np.repeat(lost, many)
+        ids[~tag] = own[place.drop_null().to_numpy()] if len(own) else 0
+        if lost.any():
+            ids[tag] = np.array(m.bytes_)[data[np.repeat(cuts[lost], sizes[lost]) + ragged(sizes[lost])]] if m.bytes_ else m.unknown
+        ends = np.append(0, np.cumsum(many))[np.searchsorted(cuts, starts)] * kind.itemsize
+        out.append(pa.BinaryArray.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)]))
+    return out if both else [*out, pa.array([b""] * len(chunks), pa.binary())]
+
+
 def spelled(chunk: str, merge: list[int], viterbi: list[int], m: Model, both: bool) -> tuple[bytes, bytes]:
     """Ids of a chunk between the boundaries of the model's algorithm, and those of the other one."""
     one, two = (viterbi, merge) if m.algorithm == "viterbi" else (merge, viterbi)
@@ -549,6 +605,24 @@ def unpacked(data: bytes) -> list[tuple[str, tuple[bytes, bytes]]]:
     return list(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
 
 
+def packed_paths(chunks, paths: list[np.ndarray]) -> bytes:
+    """A column of chunks of at most LONGEST code points and its paths as compressed bytes. Of the second
+    path it is kept where it differs; bytes of numbers stand by their place, which makes them smaller."""
+    starts, data = _buffers(chunks)
+    told = [paths[0], *(p ^ paths[0] for p in paths[1:])]
+    return packed([(data.tobytes().decode("utf-8", "surrogatepass"), np.diff(starts).astype("u1").tobytes(), b"".join([p.astype("<i8").view("u1").reshape(-1, 8).T.tobytes() for p in told]))])
+
+
+def unpacked_paths(data: bytes):
+    import pyarrow as pa
+
+    ((text, (sizes, told)),) = unpacked(data)
+    sizes = np.frombuffer(sizes, "u1")
+    chunks = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(text.encode("utf-8", "surrogatepass")))
+    paths = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(told, "u1").reshape(-1, 8, len(sizes))]
+    return chunks, [paths[0], *(p ^ paths[0] for p in paths[1:])]
+
+
 def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT, back: bool = False) -> DataFrame:
     """Columns ``keep`` (default: all) plus ids, n_ids, other_ids and n_other; with ``back`` also decoded,
     the text that the ids decode to, as ``decode`` gives it.
@@ -558,13 +632,16 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     empty texts have no ids. Repeated rows get equal ids. Columns with the new names give way.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
     small_batches(spark)
     pieces = dictionary(docs, m, text, both)
-    top = _hot(pieces, hot).select("chunk", "merge", "viterbi").toArrow()
-    frequent = spark.sparkContext.broadcast({c: spelled(c, bounds_of(x), bounds_of(y), m, both) for c, x, y in zip(*(top.column(k).to_pylist() for k in range(3)), strict=True)})
+    own_first = ["viterbi", "merge"] if m.algorithm == "viterbi" else ["merge", "viterbi"]  # the model's paths, then the others
+    top = _hot(pieces, hot).select("chunk", *own_first).toArrow()
+    often = pa.concat_arrays([pa.array([], pa.string()), *top.column(0).chunks])
+    frequent = spark.sparkContext.broadcast((often, *spelled_columns(often, [top.column(k).to_numpy() for k in (1, 2)], m, both)))
     new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int" + ", decoded string" * back)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
     # the partition's number is asked of the scan itself: a union numbers its tasks anew
@@ -572,52 +649,43 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
     schema = StructType([*rows.schema.fields[:-2], *new.fields])
 
     def spots(batches):
-        find, cut, known = m.cutter.findall, cut_word(m), frequent.value
+        known = frequent.value[0]
         for block, held in _blocks(batches, 0):
-            words: set[str] = set()
-            rest: set[str] = set()
-            for b in held:
-                for t in b.column(0).to_pylist():
-                    if t:
-                        one, two = words_of(t, m)
-                        words.update(one), rest.update(two)
-            out = {c for w in words for c in cut(w) if c not in known and len(c) <= LONGEST}
-            out.update([c for w in rest for c in find(w) if c not in known and len(c) <= LONGEST])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(list(out), pa.string())], names=["block", "chunk"])
+            chunks = cut_units(units(pa.concat_arrays([b.column(0) for b in held]), m)[0], m)[0].unique()
+            new = pc.and_(pc.invert(pc.is_in(chunks, value_set=known)), pc.less_equal(pc.utf8_length(chunks), LONGEST))
+            chunks = chunks.filter(new)
+            if len(chunks):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks), block)), chunks], names=["block", "chunk"])
 
     def grouped(batches):
-        """The ids of a task's chunks, packed by block."""
+        """The paths of a task's chunks, packed by block."""
 
         def out():
-            blocks = []
-            for block, rows in by.items():
-                blocks.append(block), data.append(packed(rows))
-            made = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
-            by.clear(), data.clear()
-            return made
-
-        by: defaultdict[int, list] = defaultdict(list)
-        data: list[bytes] = []
-        n, last, row = 0, None, None
+            rows_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            order = np.argsort(rows_.column(0).to_numpy(), kind="stable")
+            at, chunks, paths = rows_.column(0).to_numpy()[order], rows_.column(1).take(pa.array(order)), [rows_.column(k).to_numpy()[order] for k in ((2, 3) if both else (2,))]
+            blocks, starts = np.unique(at, return_index=True)
+            data = [packed_paths(chunks[s:e], [p[s:e] for p in paths]) for s, e in zip(starts.tolist(), [*starts.tolist()[1:], len(at)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(data, pa.binary())], names=["block", "data"])
+
+        held: list = []
+        n = 0
         for b in batches:
-            for block, chunk, one, two in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if chunk != last:  # rows of a chunk come one after the other
-                    last, row = chunk, (chunk, *spelled(chunk, bounds_of(one), bounds_of(two), m, both))
-                by[block].append(row)
+            if b.num_rows:
+                held.append(b)
             n += b.num_rows
-            if n >= WORDS:
+            if n >= ROWS:
                 yield out()
                 n = 0
-        if by:
+        if held:
             yield out()
 
     def stowed(batches):
         for block, held in _blocks(batches, len(names)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
-                for b in held:
-                    w.write_batch(b)
+                w.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*(b.columns for b in held), strict=True)], schema=held[0].schema))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def put(batches):
@@ -629,19 +697,21 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                     coder.block()
                     at = block
                 if not is_text:  # comes before the texts of its block
-                    coder.learn(unpacked(data))
+                    coder.learn_paths(data)
                     continue
                 for rows_ in pa.ipc.open_stream(data):
                     lists = []
                     for ids, sizes in coder.texts(rows_.column(len(names))):
-                        lists.append((pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids)), pa.array(sizes.astype(np.int32))))
+                        lists += [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids)), pa.array(sizes.astype(np.int32))]
                     if not both:
-                        lists.append((pa.nulls(rows_.num_rows, pa.list_(pa.int32())), pa.nulls(rows_.num_rows, pa.int32())))
-                    yield pa.RecordBatch.from_arrays([*rows_.columns[: len(names)], *lists[0], *lists[1], *([text_of(lists[0][0])] if back else [])], names=schema.names)
+                        lists += [pa.nulls(rows_.num_rows, pa.list_(pa.int32())), pa.nulls(rows_.num_rows, pa.int32())]
+                    for at_row in range(0, rows_.num_rows, SENT):
+                        part = [x.slice(at_row, SENT) for x in (*rows_.columns[: len(names)], *lists)]
+                        yield pa.RecordBatch.from_arrays([*part, *([text_of(part[len(names)])] if back else [])], names=schema.names)
 
     with numbers(spark):
-        some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", "merge", "viterbi"), "chunk")
-        found = written(fewer_files(some.select("block", "chunk", "merge", "viterbi")).mapInArrow(grouped, "block long, data binary"), "paths")
+        some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", *own_first), "chunk")
+        found = written(fewer_files(some.select("block", "chunk", *own_first)).mapInArrow(grouped, "block long, data binary"), "paths")
     del some
     dropped(pieces)
     freed(spark)  # the shuffles of chunks and paths go before the texts are dealt
