@@ -1,8 +1,9 @@
 """SentencePiece encoding as a relational lattice.
 
 1. Texts are escaped and cut into chunks where no piece of the model can reach across (at blanks,
-   and between letters, digits and other signs if the model's pieces allow it). Distinct chunks are
-   counted over the whole table, so all further work is done once for each of them.
+   and between letters, digits and other signs if the model's pieces allow it). The chunks of each block
+   of texts are listed once. Distinct ones are counted over the whole table, so all further work is
+   done once for each of them.
 2. Every chunk is exploded into its substrings of bounded length, which are equi-joined to the piece
    table. The matches are the edges of the chunk's lattice, grouped by chunk. The join side that is
    broadcast is the piece table, whose size the model fixes.
@@ -39,8 +40,8 @@ BLANK = "▁"
 LONGEST = 34  # code points of a chunk that is folded in SQL; cost and boundaries of a path fit a bigint
 PART = 4_000  # chunks whose lattices one partition holds
 HOT = 131_072  # entries of the broadcast table of frequent chunks
-BLOCK = 4 << 20  # code points of the documents that are put together at once
-COUNTED = 16 << 20  # bytes of texts whose chunks a task counts at once
+BLOCK = 8 << 20  # code points of the documents that are put together at once
+COUNTED = 1 << 19  # chunks of blocks that a task counts at once
 ROWS = 1 << 20  # paths that a task packs at once
 SENT = 256  # rows of one batch of results
 LEVEL = 5  # of compression of the texts that are sent to their blocks
@@ -275,35 +276,55 @@ def cut_units(found, m: Model):
     return chunks, counts
 
 
-def chunk_counts(docs: DataFrame, text: str, m: Model, flush: int = COUNTED) -> DataFrame:
-    """(chunk, n): distinct chunks of all texts with their counts, combined in each task first."""
+def block_chunks(rows: DataFrame, m: Model) -> DataFrame:
+    """(block, data): the distinct chunks of each block of texts with their counts, packed. ``rows``: texts
+    and the numbers of their partitions."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
+    small_batches(rows.sparkSession)
     m.column_cutter  # noqa: B018 - found here, once, and not in every task
 
+    def run(batches):
+        for block, held in _blocks(batches, 0):
+            found, at, _ = units(pa.concat_arrays([b.column(0) for b in held]), m)
+            chunks, counts = cut_units(found, m)
+            chunks, n = _summed(chunks, np.repeat(np.bincount(at, minlength=len(found)), counts))
+            if len(chunks):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed_chunks(chunks, [n])], pa.binary())], names=["block", "data"])
+
+    return rows.mapInArrow(run, "block long, data binary")
+
+
+def _summed(chunks, n: np.ndarray):
+    """The distinct chunks of a column, and the sums of their numbers."""
+    coded = chunks.dictionary_encode()
+    return coded.dictionary, np.bincount(coded.indices.to_numpy(), n, len(coded.dictionary)).astype(np.int64)
+
+
+def chunk_counts(lists: DataFrame, flush: int = COUNTED) -> DataFrame:
+    """(chunk, n): distinct chunks of all blocks with their counts, combined in each task first."""
+    import pyarrow as pa
+
     def run(batches):
         held: list = []
 
         def out():
-            found, at, _ = units(pa.concat_arrays(held), m)
+            made = _summed(pa.concat_arrays([c for c, _ in held]), np.concatenate([n for _, (n,) in held]))
             held.clear()
-            chunks, counts = cut_units(found, m)
-            coded = chunks.dictionary_encode()
-            n = np.bincount(coded.indices.to_numpy(), np.repeat(np.bincount(at, minlength=len(found)), counts), len(coded.dictionary))
-            return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], names=["chunk", "n"])
+            return pa.RecordBatch.from_arrays([made[0], pa.array(made[1])], names=["chunk", "n"])
 
         size = 0
         for b in batches:
-            held.append(b.column(0))
-            size += b.column(0).nbytes
-            if size >= flush:
-                yield out()
-                size = 0
+            for data in b.column(0):
+                held.append(unpacked_chunks(data.as_py()))
+                size += len(held[-1][0])
+                if size >= flush:
+                    yield out()
+                    size = 0
         if held:
             yield out()
 
-    return docs.select(F.col(text)).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return lists.select("data").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
 #: An edge is one bigint: end . start (6 bits each) . late (1 bit) . rank (29 bits, the lower the
@@ -344,21 +365,27 @@ def late_pieces(m: Model) -> set[str]:
     return {p for p, v in own.items() if any(whole(p[:k]) and whole(p[k:]) and (later(p[:k], v) or later(p[k:], v)) for k in range(1, len(p)))}
 
 
-def lattices(chunks: DataFrame, m: Model) -> DataFrame:
-    """(chunk, n, edges): packed edges in order of end and start; code points that are no piece have
-    an edge of their own. ``chunks`` must be dealt by chunk: then neither the explode, the join nor
-    the grouping moves rows."""
+def lattices(chunks: DataFrame, m: Model, merges: bool = True) -> DataFrame:
+    """(chunk, n, edges, merges): packed edges in order of end and start; code points that are no piece
+    have an edge of their own. ``merges`` are the edges of more than one code point in order of rank.
+    ``chunks`` are distinct and must be dealt by chunk: then neither the explode, the join nor the
+    grouping moves rows."""
     spark = chunks.sparkSession
     rank, lost, _ = ranks(m)
     late = late_pieces(m)
-    table = spark.createDataFrame([(p, (p in late) << LATE_AT | rank[p]) for p in m.ids], "piece string, code long")
+    table = spark.createDataFrame([(p, (p in late) << LATE_AT | rank[p]) for p in m.ids], "own string, code long").withColumn("hash", F.xxhash64("own"))
     # two plain explodes, so that substrings are cut in generated code and not in a lambda
     starts = chunks.where(F.length("chunk") <= LONGEST).select("chunk", "n", F.explode(F.expr("sequence(0, length(chunk) - 1)")).alias("s"))
     spans = starts.select("chunk", "n", "s", F.explode(F.expr(f"sequence(1, least({m.widest}, length(chunk) - s))")).alias("l"))
     place = F.expr(f"shiftleft(cast(s AS bigint), {START_AT}) | shiftleft(cast(s + l AS bigint), {END_AT})").alias("place")
-    sub = spans.select("chunk", "n", place, "l", F.expr("substring(chunk, s + 1, l)").alias("piece"))
-    edge = F.coalesce("code", F.lit(lost)).bitwiseOR(F.col("place"))
-    return sub.join(F.broadcast(table), "piece", "left").where("code IS NOT NULL OR l = 1").groupBy("chunk").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    sub = spans.select("chunk", "n", "s", place, "l", F.expr("substring(chunk, s + 1, l)").alias("piece"))
+    # a key of one number is looked up faster than a string; that the strings are equal is asked of what it finds
+    found = sub.withColumn("_hash_", F.xxhash64("piece")).join(F.broadcast(table), (F.col("_hash_") == F.col("hash")) & ~(F.col("piece") != F.col("own")), "left").where("code IS NOT NULL OR l = 1")
+    code = F.coalesce("code", F.lit(lost))
+    edges = F.sort_array(F.collect_list(code.bitwiseOR(F.col("place")))).alias("edges")
+    # an edge to be merged is a number of rank . start (6 bits) . late (1 bit) . end (6 bits)
+    turn = F.expr(f"if(l > 1, shiftleft(code & {RANKS}, 13) | shiftleft(cast(s AS bigint), 7) | (shiftright(code, {LATE_AT}) & 1) << 6 | (s + l), null)")
+    return found.groupBy("chunk", "n").agg(edges, *([F.sort_array(F.collect_list(turn)).alias("merges")] if merges else []))
 
 
 def viterbi_path(m: Model) -> Column:
@@ -382,14 +409,12 @@ def viterbi_path(m: Model) -> Column:
 
 
 def merge_path(m: Model) -> Column:
-    """Fold of ``edges`` to the path that best-first merging leaves. An edge can be merged if both its
+    """Fold of ``merges`` to the path that best-first merging leaves. An edge can be merged if both its
     ends are boundaries and one boundary lies between them.
 
     One pass over the edges in order of rank does it, unless a merge makes an edge possible whose turn
     is over. Only late edges can be such; where one is, the path becomes -1 and a fold that looks for
     the best edge before every merge takes over."""
-    # edges as numbers of rank . start (6 bits) . late (1 bit) . end (6 bits), in that order
-    order = f"sort_array(transform(filter(edges, x -> shiftright(x, {END_AT}) - (shiftright(x, {START_AT}) & 63) > 1), x -> shiftleft(x & {RANKS}, 13) | shiftleft(shiftright(x, {LATE_AT}) & 127, 6) | shiftright(x, {END_AT})))"
     s, e = "cast(shiftright({0}, 7) & 63 AS int)", "cast({0} & 63 AS int)"
     ends = f"(shiftleft(1L, {s}) | shiftleft(1L, {e}))"
     inner = f"(shiftleft(1L, {e}) - shiftleft(2L, {s}))"
@@ -400,7 +425,7 @@ def merge_path(m: Model) -> Column:
     step = f"if(path >= 0 AND {can('path', 'y')}, if(size(late) > 0 AND exists(late, z -> z < y AND {can('(' + merged + ')', 'z')}), -1L, {merged}), path)"
     slow = f"""aggregate(sequence(1, greatest(length(chunk) - 1, 1)), {start}, (path, k) -> path & ~coalesce(get(transform(slice(filter(js, y -> {can('path', 'y')}), 1, 1), y -> {inner.format('y')}), 0), 0L))"""
     fast = f"aggregate(array({late}), 0L, (o, late) -> aggregate(js, {start}, (path, y) -> {step}))"
-    return F.expr(f"aggregate(array({order}), 0L, (o, js) -> CASE WHEN size(js) = 0 THEN {start} ELSE aggregate(array({fast}), 0L, (u, quick) -> CASE WHEN quick >= 0 THEN quick ELSE {slow} END) END)")
+    return F.expr(f"aggregate(array(merges), 0L, (o, js) -> CASE WHEN size(js) = 0 THEN {start} ELSE aggregate(array({fast}), 0L, (u, quick) -> CASE WHEN quick >= 0 THEN quick ELSE {slow} END) END)")
 
 
 def bounds_of(path: int) -> list[int]:
@@ -408,20 +433,23 @@ def bounds_of(path: int) -> list[int]:
     return [i for i in range(path.bit_length()) if path >> i & 1]
 
 
-def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True) -> DataFrame:
+def dictionary(docs: DataFrame, m: Model, text: str = "text", both: bool = True, lists: DataFrame | None = None) -> DataFrame:
     """(chunk, n, merge, viterbi): every distinct chunk of at most LONGEST code points with its two
-    paths; unless ``both``, the path that the model does not ask for is 0. Written to the shared folder."""
+    paths; unless ``both``, the path that the model does not ask for is 0. Written to the shared folder.
+    ``lists``: what ``block_chunks`` gives of the texts, where it is at hand."""
     spark = docs.sparkSession
+    if lists is None:
+        lists = block_chunks(docs.select(F.col(text), F.spark_partition_id()), m)
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
-    counts = written(fewer_files(chunk_counts(docs, text, m)), "chunks")
+    counts = written(fewer_files(chunk_counts(lists)), "chunks")
     # partitions of a fixed number of chunks hold their edges in memory (beyond that the aggregate
     # sorts); the paths are so short that they go into few files
     spark.conf.set(key, str(2 * PART))
     try:
         dealt = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // PART)), "chunk")
         paths = {"merge": merge_path, "viterbi": viterbi_path}
-        folded = lattices(dealt, m).select("chunk", "n", *((f(m) if both or k == m.algorithm else F.lit(0).cast("bigint")).alias(k) for k, f in paths.items()))
+        folded = lattices(dealt, m, both or m.algorithm == "merge").select("chunk", "n", *((f(m) if both or k == m.algorithm else F.lit(0).cast("bigint")).alias(k) for k, f in paths.items()))
         out = written(fewer_files(folded.repartition("chunk")), "pieces")
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
@@ -465,8 +493,8 @@ class Coder:
         self.rare.update(chunks)
 
     def learn_paths(self, data: bytes) -> None:
-        """Take in chunks and their paths as ``packed_paths`` gives them."""
-        chunks, paths = unpacked_paths(data)
+        """Take in chunks and their paths as ``packed_chunks`` gives them."""
+        chunks, paths = unpacked_chunks(data)
         self.columns.append((chunks, *spelled_columns(chunks, paths, self.m, self.both)))
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
@@ -605,22 +633,22 @@ def unpacked(data: bytes) -> list[tuple[str, tuple[bytes, bytes]]]:
     return list(zip([c.decode("utf-8", "surrogatepass") for c in cut[:n]], zip(cut[n : 2 * n], cut[2 * n :], strict=True), strict=True))
 
 
-def packed_paths(chunks, paths: list[np.ndarray]) -> bytes:
-    """A column of chunks of at most LONGEST code points and its paths as compressed bytes. Of the second
-    path it is kept where it differs; bytes of numbers stand by their place, which makes them smaller."""
+def packed_chunks(chunks, numbers: list[np.ndarray]) -> bytes:
+    """A column of chunks and columns of their numbers as compressed bytes. Of a second column it is kept
+    where it differs; bytes of numbers stand by their place, which makes them smaller."""
     starts, data = _buffers(chunks)
-    told = [paths[0], *(p ^ paths[0] for p in paths[1:])]
-    return packed([(data.tobytes().decode("utf-8", "surrogatepass"), np.diff(starts).astype("u1").tobytes(), b"".join([p.astype("<i8").view("u1").reshape(-1, 8).T.tobytes() for p in told]))])
+    told = [np.diff(starts), numbers[0], *(x ^ numbers[0] for x in numbers[1:])]
+    sizes, *told = (x.astype("<i8").view("u1").reshape(-1, 8).T.tobytes() for x in told)
+    return packed([(data.tobytes().decode("utf-8", "surrogatepass"), sizes, b"".join(told))])
 
 
-def unpacked_paths(data: bytes):
+def unpacked_chunks(data: bytes):
     import pyarrow as pa
 
-    ((text, (sizes, told)),) = unpacked(data)
-    sizes = np.frombuffer(sizes, "u1")
+    ((text, told),) = unpacked(data)
+    sizes, *told = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(b"".join(told), "u1").reshape(-1, 8, len(told[0]) // 8))
     chunks = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(text.encode("utf-8", "surrogatepass")))
-    paths = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(told, "u1").reshape(-1, 8, len(sizes))]
-    return chunks, [paths[0], *(p ^ paths[0] for p in paths[1:])]
+    return chunks, [told[0], *(x ^ told[0] for x in told[1:])]
 
 
 def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None, both: bool = True, hot: int = HOT, back: bool = False) -> DataFrame:
@@ -637,25 +665,26 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
 
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = dictionary(docs, m, text, both)
+    # the partition's number is asked of the scan itself: a union numbers its tasks anew
+    lists = written(block_chunks(docs.select(F.col(text).alias("_text_"), F.spark_partition_id().alias("_part_")), m), "lists")
+    pieces = dictionary(docs, m, text, both, lists)
     own_first = ["viterbi", "merge"] if m.algorithm == "viterbi" else ["merge", "viterbi"]  # the model's paths, then the others
     top = _hot(pieces, hot).select("chunk", *own_first).toArrow()
     often = pa.concat_arrays([pa.array([], pa.string()), *top.column(0).chunks])
     frequent = spark.sparkContext.broadcast((often, *spelled_columns(often, [top.column(k).to_numpy() for k in (1, 2)], m, both)))
     new = StructType.fromDDL("ids array<int>, n_ids int, other_ids array<int>, n_other int" + ", decoded string" * back)
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new.names}]
-    # the partition's number is asked of the scan itself: a union numbers its tasks anew
     rows = docs.select(*names, F.col(text).alias("_text_"), F.spark_partition_id().alias("_part_"))
     schema = StructType([*rows.schema.fields[:-2], *new.fields])
 
     def spots(batches):
         known = frequent.value[0]
-        for block, held in _blocks(batches, 0):
-            chunks = cut_units(units(pa.concat_arrays([b.column(0) for b in held]), m)[0], m)[0].unique()
-            new = pc.and_(pc.invert(pc.is_in(chunks, value_set=known)), pc.less_equal(pc.utf8_length(chunks), LONGEST))
-            chunks = chunks.filter(new)
-            if len(chunks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks), block)), chunks], names=["block", "chunk"])
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                chunks = unpacked_chunks(data.as_py())[0]
+                chunks = chunks.filter(pc.and_(pc.invert(pc.is_in(chunks, value_set=known)), pc.less_equal(pc.utf8_length(chunks), LONGEST)))
+                if len(chunks):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunks), block)), chunks], names=["block", "chunk"])
 
     def grouped(batches):
         """The paths of a task's chunks, packed by block."""
@@ -666,7 +695,7 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
             order = np.argsort(rows_.column(0).to_numpy(), kind="stable")
             at, chunks, paths = rows_.column(0).to_numpy()[order], rows_.column(1).take(pa.array(order)), [rows_.column(k).to_numpy()[order] for k in ((2, 3) if both else (2,))]
             blocks, starts = np.unique(at, return_index=True)
-            data = [packed_paths(chunks[s:e], [p[s:e] for p in paths]) for s, e in zip(starts.tolist(), [*starts.tolist()[1:], len(at)], strict=True)]
+            data = [packed_chunks(chunks[s:e], [p[s:e] for p in paths]) for s, e in zip(starts.tolist(), [*starts.tolist()[1:], len(at)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(data, pa.binary())], names=["block", "data"])
 
         held: list = []
@@ -710,10 +739,10 @@ def encode(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
                         yield pa.RecordBatch.from_arrays([*part, *([text_of(part[len(names)])] if back else [])], names=schema.names)
 
     with numbers(spark):
-        some = rows.select("_text_", "_part_").mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", *own_first), "chunk")
+        some = lists.mapInArrow(spots, "block long, chunk string").join(pieces.select("chunk", *own_first), "chunk")
         found = written(fewer_files(some.select("block", "chunk", *own_first)).mapInArrow(grouped, "block long, data binary"), "paths")
     del some
-    dropped(pieces)
+    dropped(pieces, lists)
     freed(spark)  # the shuffles of chunks and paths go before the texts are dealt
     texts = rows.mapInArrow(stowed, "block long, data binary")
     every = found.select("block", F.lit(False).alias("is_text"), "data").unionByName(texts.select("block", F.lit(True).alias("is_text"), "data"))

@@ -33,11 +33,13 @@ def test_units_and_chunks_are_what_the_cutter_finds(model):
         assert sorted(set(at.tolist())) == list(range(len(words)))
 
 
-def test_chunk_counts_of_odd_texts(spark, model):
+def test_chunk_counts_of_odd_texts(spark, model, monkeypatch):
     want = Counter(c for t in ODD for c in model.cutter.findall(pieces.escaped(t)))
-    docs = spark.createDataFrame([(t,) for t in ODD], "text string").coalesce(1)
+    docs = spark.createDataFrame([(t, 0) for t in ODD], "text string, part int").coalesce(1)
+    monkeypatch.setattr(pieces, "BLOCK", 20)
     for flush in (1, pieces.COUNTED):
-        assert {r.chunk: r.n for r in pieces.chunk_counts(docs, "text", model, flush).collect()} == dict(want)
+        lists = pieces.block_chunks(docs, model)
+        assert {r.chunk: r.n for r in pieces.chunk_counts(lists, flush).collect()} == dict(want)
 
 
 def test_ids_along_paths_and_their_packing(model):
@@ -46,12 +48,12 @@ def test_ids_along_paths_and_their_packing(model):
     bounds = [(pieces.bounds_merge(c, model), pieces.bounds_viterbi(c, model)) for c in chunks]
     paths = [np.array([sum(1 << i for i in b[k]) for b in bounds]) for k in range(2)]
     for both in (True, False):
-        got_chunks, got = pieces.unpacked_paths(pieces.packed_paths(pa.array(chunks), paths[: 1 + both]))
+        got_chunks, got = pieces.unpacked_chunks(pieces.packed_chunks(pa.array(chunks), paths[: 1 + both]))
         assert got_chunks.to_pylist() == chunks and all((a == b).all() for a, b in zip(got, paths, strict=False))
         ids = pieces.spelled_columns(got_chunks, got, model, both)
         assert list(zip(*(x.to_pylist() for x in ids), strict=True)) == [pieces.spelled(c, *b, model, both) for c, b in zip(chunks, bounds, strict=True)]
     rows = [(c, *pieces.spelled(c, *b, model, True)) for c, b in zip(chunks, bounds, strict=True)]
-    assert len(pieces.packed_paths(pa.array(chunks), paths)) < 0.7 * len(pieces.packed(rows))
+    assert len(pieces.packed_chunks(pa.array(chunks), paths)) < 0.7 * len(pieces.packed(rows))
 
 
 def test_words_cost_no_call_of_their_own(model):
