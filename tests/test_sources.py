@@ -161,6 +161,35 @@ def test_batches_run_again_and_compaction_change_nothing(spark, tmp_path):
     assert key(late.totals()) == key(overlap.with_similarity(overlap.six_sums(r)))
 
 
+def test_partial_sums_are_merged_in_turns_and_go(spark, tmp_path, monkeypatch):
+    """The shuffle of a turn goes before the next one; lists and merged rows do not stay; a result that
+    was formed before stays whole."""
+    from affinis.sources import shared
+    from affinis.streaming import deltas
+
+    r = spark.createDataFrame([(e, d, float((e * 5 + d) % 7 + 1)) for e in range(40) for d in range(9)], "e long, d long, v double")
+    want = overlap.with_similarity(overlap.six_sums(r, 1))
+    key = lambda d: sorted(map(tuple, d.select("i", "j", *deltas.SIX, "sim").collect()))
+    monkeypatch.setattr(deltas, "TURN", 6000)
+    root, turns = shared.shared_dir(spark).removeprefix("file://") + "/affinis", []
+    monkeypatch.setattr(deltas, "freed", turns.append)
+    lists = lambda: {x for x in os.listdir(root) if x.startswith("lists-")} if os.path.isdir(root) else set()
+    before = lists()
+    store = SumStore(spark, f"{tmp_path}/store")
+    for b in range(3):
+        store.add(r.where(F.pmod(F.col("d"), F.lit(3)) == b), b)
+    assert lists() == before
+    early = store.totals(1)
+    turns.clear()
+    store.compact(1)
+    assert len(turns) > 2
+    assert {x for k in ("base", "sums") for x in os.listdir(tmp_path / "store" / k)} == {"batch=1", "batch=2"} and not os.path.exists(tmp_path / "store/merging")
+    assert key(store.totals(1)) == key(early) == key(want)
+    store.compact(2)
+    store.add(r.where("d % 3 = 1"), 1)  # run again after it was merged
+    assert os.listdir(tmp_path / "store/base") == ["batch=2"] and key(store.totals(1)) == key(want)
+
+
 def test_results_keep_their_places(spark, tmp_path):
     sims = spark.range(5000).select((F.col("id") % 71).alias("i"), F.col("id").alias("j"), F.rand(3).alias("sim"))
     files.write_results(sims, f"{tmp_path}/out")
