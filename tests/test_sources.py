@@ -79,6 +79,25 @@ def test_fixture_is_valid_and_read_in_parts(spark, stored, monkeypatch):
     assert whole == [r for b in fixture.FixtureReader(str(stored), "ratings", 1000).read(fixture.InputPartition((0, 6))) for r in b.to_pylist()]
 
 
+def test_fixture_is_gathered_in_chunks(spark, stored, tmp_path, monkeypatch):
+    """The driver holds ROWS rows at most; ids may be texts; an entity of more rows comes whole."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(e, d, float((e * 7 + d * 3) % 5 + 1)) for e in range(6) for d in range(5) if (e + d) % 4]
+    most, made = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: most.append((df.columns, len(t := made(df)))) or t)
+    for limit in (7,):
+        monkeypatch.setattr(fixture, "ROWS", limit)
+        for kind in ("long", "string"):
+            r = spark.createDataFrame([(e, d, v) if kind == "long" else (f"{e}", f"{d}", v) for e, d, v in rows], f"e {kind}, d {kind}, v double")
+            most.clear()
+            meta = fixture.export(r, overlap.with_similarity(overlap.six_sums(r)), out := str(tmp_path / f"{kind}{limit}"))
+            chunks = [n for columns, n in most if "n" not in columns]
+            assert len(chunks) > 4 and max(chunks) <= max(limit, 5)
+            assert meta["files"] == json.loads((stored / "meta.json").read_text())["files"]
+            fixture.checked(out)
+
+
 def test_corrupted_golden_is_found(spark, stored):
     g = np.fromfile(stored / "golden.bin")
     g[0] += 1e-6
