@@ -69,6 +69,16 @@ def test_shuffles_of_a_written_table_go_before_the_next_step(spark):
     assert left() <= before + 1_000_000
 
 
+def test_the_driver_makes_no_files_for_written_tables(spark):
+    """For each it would start a process, which doubles its memory for a moment."""
+    root = Path(shared.shared_dir(spark).removeprefix("file://")) / "affinis"
+    before = set(root.iterdir()) if root.exists() else set()
+    QUERIES["lsh_jaccard_pairs_100"](spark, SF)
+    made = [p for p in root.iterdir() if p not in before]
+    assert {"ratings", "signatures", "candidates"} <= {p.name.split("-")[0] for p in made}
+    assert not any((p / "_SUCCESS").exists() for p in made)
+
+
 def refused(*_, **__):
     raise AssertionError("must not be called")
 
